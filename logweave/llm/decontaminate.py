@@ -76,8 +76,9 @@ class Index:
                 self.sizes.append(len(w))
                 self.bags.append(Counter(grams.tolist()))
         df = Counter(g for bag in self.bags for g in bag)
-        self.other = math.log(1 + len(self.bags))
-        self.weight = {g: math.log(1 + len(self.bags) / n) for g, n in df.items()}
+        # whole numbers, so that sums are exact in any order
+        self.other = self._weight(1)
+        self.weight = {g: self._weight(n) for g, n in df.items()}
         self.weights = [sum(c * self.weight[g] for g, c in bag.items()) for bag in self.bags]
         self.by_size: dict[int, Lookup] = {}
         grams_of = defaultdict(set)
@@ -87,8 +88,8 @@ class Index:
             self.by_size[size] = Lookup(np.array(sorted(grams), dtype=np.uint64))
         self.any = {n: Lookup(np.unique(np.concatenate([x.keys for s, x in self.by_size.items() if min(SHINGLE, s) == n])), 20) for n in {min(SHINGLE, s) for s in self.by_size}}
         self.keys = np.array(sorted(self.weight), dtype=np.uint64)
-        self.key_weights = np.array([self.weight[g] for g in self.keys.tolist()])
-        self.prints = np.concatenate([packed((signs(np.array(list(bag), dtype=np.uint64)) * np.array([c * self.weight[g] for g, c in bag.items()])[:, None]).sum(axis=0, keepdims=True)) for bag in self.bags]) if self.bags else np.zeros((0, 2), dtype=np.uint64)
+        self.key_weights = np.array([self.weight[g] for g in self.keys.tolist()], dtype=np.int64)
+        self.prints = np.concatenate([packed((signs(np.array(list(bag), dtype=np.uint64)) * np.array([c * self.weight[g] for g, c in bag.items()], dtype=np.int64)[:, None]).sum(axis=0, keepdims=True)) for bag in self.bags]) if self.bags else np.zeros((0, 2), dtype=np.uint64)
         self.size_of = np.array(self.sizes, dtype=np.int64)
         self.tables = []
         blocks = self.prints.view(np.uint16).reshape(-1, BLOCKS) if self.bags else np.zeros((0, BLOCKS), dtype=np.uint16)
@@ -97,6 +98,9 @@ class Index:
             order = np.argsort(values, kind="stable")
             self.tables.append((np.searchsorted(values[order], np.arange((1 << BLOCK_BITS) + 1)), (order // len(MASKS)).astype(np.int32)))
 
+    def _weight(self, df: int) -> int:
+        return max(1, round(1000 * math.log(1 + len(self.bags) / df)))
+
     def near(self, prints: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All (window, item, distance) within RADIUS, for windows of one size."""
         windows, items = [], []
@@ -154,7 +158,7 @@ class Index:
         part = grams[g : g + (b - a) + size - n + 1]
         key = np.minimum(np.searchsorted(self.keys, part), len(self.keys) - 1)
         weight = np.where(self.keys[key] == part, self.key_weights[key], self.other)
-        sums = np.zeros((len(part) + 1, 64 * 2))
+        sums = np.zeros((len(part) + 1, 128), dtype=np.int64)
         np.cumsum(signs(part) * weight[:, None], axis=0, out=sums[1:])
         span = size - n + 1
         w, e, distance = self.near(packed(sums[span:] - sums[:-span]), size)
