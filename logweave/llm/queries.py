@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from logweave.llm import decontaminate, licences, quality
+from logweave.llm import decontaminate, licences, mixing, quality, sharding, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,18 +19,109 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(documents, quality.fit(documents, table(spark, sf_dir, "labels")))
 
 
+def op2_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = """
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 2 * CAST(sum(size) AS BIGINT) AS cap,
+    [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS weight FROM d GROUP BY source),
+l AS (
+  SELECT *, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS no,
+    (sum(source_size) OVER () * 150 / 100.0::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s),
+t AS (SELECT *, least(cap::DOUBLE, weight * (SELECT level FROM l WHERE level <= cap / weight ORDER BY no LIMIT 1)) AS target FROM l),
+p AS (
+  SELECT d.*, t.source_size, t.target, least(t.cap, CAST(floor(t.target + 0.5) AS BIGINT)) AS stop,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY digest, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+b AS (
+  SELECT source, ceil(least(cap, CAST(floor(target + 0.5) AS BIGINT)) / 2048)::BIGINT AS blocks,
+    sum(ceil(least(cap, CAST(floor(target + 0.5) AS BIGINT)) / 2048)::BIGINT) OVER (ORDER BY source NULLS LAST) AS upto, sum(ceil(least(cap, CAST(floor(target + 0.5) AS BIGINT)) / 2048)::BIGINT) OVER () AS n FROM t),
+k AS (
+  SELECT b.source, b.blocks, r.slot, row_number() OVER (PARTITION BY b.source ORDER BY r.slot) - 1 AS block
+  FROM (SELECT range AS slot, (range::HUGEINT * 2654435769 % 4294967296)::BIGINT AS point FROM range((SELECT coalesce(max(n), 0)::BIGINT FROM b))) r
+  JOIN b ON floor((b.upto - b.blocks) * 4294967296.0::DOUBLE / b.n) <= r.point AND r.point < floor(b.upto * 4294967296.0::DOUBLE / b.n)),
+g AS (
+  SELECT p.doc_id, p.source, p.start, p.size, min(k.slot) AS first_slot
+  FROM (SELECT *, start + n * source_size AS lo, least(start + n * source_size + size, stop) AS hi FROM p, (VALUES (0), (1)) v(n)) p
+  JOIN k ON p.source IS NOT DISTINCT FROM k.source AND k.block < k.blocks AND p.hi > p.lo AND k.block BETWEEN p.lo // 2048 AND (p.hi - 1) // 2048 GROUP BY ALL)
+SELECT p.doc_id, CAST(p.size AS BIGINT) AS size, p.source_size, p.target, p.source,
+  CAST(greatest(0, least(stop, p.start + p.size) - p.start) + greatest(0, least(stop, source_size + p.start + p.size) - (source_size + p.start)) AS BIGINT) AS taken, g.first_slot
+FROM p LEFT JOIN g ON p.doc_id = g.doc_id AND p.source IS NOT DISTINCT FROM g.source AND p.start = g.start AND p.size = g.size"""
+
+
 def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+#: (kind, pattern, category, action, day) of the list that stands in every run.
+URL_ENTRIES = [
+    ("domain", "casino-win.example.com", "gambling", "add", "2024-02-01"),
+    ("domain", "casino-win.example.com", "gambling", "remove", "2024-09-01"),
+    ("domain", "free-bets.example.com", "gambling", "add", "2024-01-15"),
+    ("domain", "adult-x.example.net", "adult", "add", "2024-03-01"),
+    ("domain", "adult-x.example.net", "adult", "remove", "2024-05-01"),
+    ("domain", "adult-x.example.net", "adult", "add", "2024-08-01"),
+    ("prefix", "tionble.example.org/en", "mirror", "add", "2024-04-01"),
+]
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures are the pages; the fetch day follows from page_id. The list has, besides URL_ENTRIES, each host whose
+    length is 2 modulo 5: added on a day that its length gives, and removed 100 days later."""
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(365)).cast("int"))
+    captures = table(spark, sf_dir, "pages").select("page_id", "url", day.alias("day"))
+    fixed = spark.sql("select * from values " + ", ".join(str(x) for x in URL_ENTRIES) + " as t(kind, pattern, category, action, day)").withColumn("day", F.col("day").cast("date"))
+    hosts = captures.select(urls.host(F.col("url")).alias("pattern")).where("length(pattern) % 5 = 2").distinct()
+    added = F.date_add(F.lit("2024-01-01").cast("date"), (F.length("pattern") * 7 % 180).cast("int"))
+    acts = F.explode(F.array(F.struct(F.lit("add").alias("action"), added.alias("day")), F.struct(F.lit("remove").alias("action"), F.date_add(added, 100).alias("day"))))
+    listed = hosts.select(F.lit("domain").alias("kind"), "pattern", F.lit("listed").alias("category"), acts.alias("act")).select("kind", "pattern", "category", "act.*")
+    found = urls.screen(captures, fixed.unionByName(listed))
+    return found.withColumn("fetch_day", F.col("fetch_day").cast("string"))
+
+
+OP7_SQL = """
+WITH c AS (
+  SELECT page_id, url, DATE '2024-01-01' + CAST(page_id % 365 AS INT) AS day,
+    nullif(rtrim(regexp_extract(lower(url), '^[a-z][a-z0-9+.\\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '.'), '') AS host,
+    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+h AS (SELECT DISTINCT host AS pattern, DATE '2024-01-01' + CAST(length(host) * 7 % 180 AS INT) AS day FROM c WHERE length(host) % 5 = 2),
+e AS (
+  SELECT * FROM (VALUES """ + ", ".join(f"('{k}', '{p}', '{c}', '{a}', DATE '{d}')" for k, p, c, a, d in URL_ENTRIES) + """) t(kind, pattern, category, action, day)
+  UNION ALL SELECT 'domain', pattern, 'listed', 'add', day FROM h
+  UNION ALL SELECT 'domain', pattern, 'listed', 'remove', day + 100 FROM h),
+i AS (
+  SELECT * FROM (SELECT *, lead(day) OVER (PARTITION BY kind, pattern, category ORDER BY day) AS until FROM e) WHERE action = 'add'),
+m AS (
+  SELECT c.page_id, c.url, i.pattern, i.category, row_number() OVER (PARTITION BY c.page_id ORDER BY length(i.pattern) DESC, i.pattern DESC, i.category DESC) AS no, count(*) OVER (PARTITION BY c.page_id) AS n
+  FROM c JOIN i ON i.day <= c.day AND (i.until IS NULL OR c.day < i.until)
+    AND CASE i.kind WHEN 'domain' THEN c.host = i.pattern OR ends_with(c.host, '.' || i.pattern) ELSE c.host || c.path = i.pattern OR starts_with(c.host || c.path, i.pattern || '/') END)
+SELECT c.page_id, c.host, CAST(c.day AS VARCHAR) AS fetch_day, m.n IS NOT NULL AS blocked, coalesce(m.n, 0) AS n_active, m.pattern, m.category
+FROM c LEFT JOIN m ON m.page_id = c.page_id AND m.no = 1"""
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_kd_sharding": op2_kd_sharding,
+    "op3_source_mixing": op3_source_mixing,
     "op4_license_scans": op4_license_scans,
+    "op7_url_filters": op7_url_filters,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_source_mixing": OP3_SQL,
+    "op7_url_filters": OP7_SQL,
+}
