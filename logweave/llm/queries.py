@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import decontaminate, licences, mixing, quality, sharding, urls
+from logweave.llm import decontaminate, licences, mixing, quality, sharding, tokens, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.materialise(table(spark, sf_dir, "documents"))
+
+
 #: (kind, pattern, category, action, day) of the list that stands in every run.
 URL_ENTRIES = [
     ("domain", "casino-win.example.com", "gambling", "add", "2024-02-01"),
@@ -117,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_kd_sharding": op2_kd_sharding,
     "op3_source_mixing": op3_source_mixing,
     "op4_license_scans": op4_license_scans,
+    "op5_token_output": op5_token_output,
     "op7_url_filters": op7_url_filters,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
