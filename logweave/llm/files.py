@@ -19,7 +19,7 @@ def written(uri: str):
     system.create_dir(path.rsplit("/", 1)[0], recursive=True)
     temporary = f"{path}.{uuid.uuid4().hex}.part"
     try:
-        with system.open_output_stream(temporary) as out:
+        with system.open_output_stream(temporary, compression=None) as out:
             yield out
         system.move(temporary, path)
     except BaseException:
@@ -31,7 +31,7 @@ def written(uri: str):
 @contextmanager
 def opened(uri: str):
     system, path = open_fs(uri)
-    with system.open_input_stream(path) as stream:
+    with system.open_input_stream(path, compression=None) as stream:
         yield stream
 
 

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import decontaminate, licences, mixing, quality, sharding, tokens, urls
+from logweave.llm import chat, decontaminate, licences, mixing, quality, sharding, tokens, urls, warc
+from logweave.llm.session import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +67,10 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.materialise(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(warc.write(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+
+
 #: (kind, pattern, category, action, day) of the list that stands in every run.
 URL_ENTRIES = [
     ("domain", "casino-win.example.com", "gambling", "add", "2024-02-01"),
@@ -116,14 +121,23 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    return chat.read_back(stored(chat.format_turns(turns.unionByName(more)), "chat"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_kd_sharding": op2_kd_sharding,
     "op3_source_mixing": op3_source_mixing,
     "op4_license_scans": op4_license_scans,
     "op5_token_output": op5_token_output,
+    "op6_warc": op6_warc,
     "op7_url_filters": op7_url_filters,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op10_chat_formatting": op10_chat_formatting,
 }
 
 ORACLE_SQL: dict[str, str] = {
