@@ -26,7 +26,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.llm import text as tx
@@ -97,22 +97,24 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     batch["doc_id"][lo:hi].cast(pa.int64()),
                     batch["rid"][lo:hi],
+                    batch["text_hash"][lo:hi],
                     pa.array([d if k else None for d, k in zip(digests, n.tolist())], pa.binary()),
                     pa.array(n, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(list_at), pa.array(tokens.ravel())),
                 ],
-                names=["doc_id", "rid", "digest", "n", "tokens"],
+                names=["doc_id", "rid", "text_hash", "digest", "n", "tokens"],
             )
 
 
-def _rid():
+def _rid() -> Column:
     """What a document's text is found again by."""
     return F.coalesce("doc_id", F.xxhash64("text")).cast("long")
 
 
 def describe(documents: DataFrame) -> DataFrame:
-    """(doc_id, rid, digest, n, tokens) of every document; digest is null without words."""
-    return documents.select("doc_id", _rid().alias("rid"), "text").mapInArrow(_describe, "doc_id long, rid long, digest binary, n long, tokens array<int>")
+    """(doc_id, rid, text_hash, digest, n, tokens) of every document; digest is null without words."""
+    narrow = documents.select("doc_id", _rid().alias("rid"), F.xxhash64("text").alias("text_hash"), "text")
+    return narrow.mapInArrow(_describe, "doc_id long, rid long, text_hash long, digest binary, n long, tokens array<int>")
 
 
 def _children(rows: DataFrame, level: int) -> DataFrame:
@@ -316,9 +318,8 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def join(documents: DataFrame) -> DataFrame:
-    """One row per document: doc_id, class_id (the smallest doc_id of its connected component) and n_links (the other
-    documents at a similarity of 0.8 or more)."""
+def classify(documents: DataFrame) -> DataFrame:
+    """(doc_id, rid, text_hash, label, n_links) of every document; label names its component, null without words."""
     described = stored(describe(documents), "jaccard-documents")
     worded = described.where("digest is not null")
     classes = stored(worded.groupBy("digest").agg(F.min("rid").alias("rid"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("copies")), "jaccard-classes")
@@ -327,7 +328,30 @@ def join(documents: DataFrame) -> DataFrame:
     labels = components(found.select(F.col("digest").alias("a"), F.col("root").alias("b")))
     known = classes.select("digest", "copies").join(summed, "digest", "left").join(labels.withColumnRenamed("node", "digest"), "digest", "left")
     known = known.select("digest", F.coalesce("label", "digest").alias("label"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    rows = stored(worded.select("doc_id", "digest").join(known, "digest").select("doc_id", "label", "n_links"), "jaccard-rows")
-    ids = rows.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    alone = described.where("digest is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return rows.join(ids, "label").select("doc_id", "class_id", "n_links").unionByName(alone)
+    row = ["doc_id", "rid", "text_hash", "label", "n_links"]
+    alone = described.where("digest is null").select("doc_id", "rid", "text_hash", F.lit(None).cast("binary").alias("label"), F.lit(0).cast("long").alias("n_links"))
+    return stored(worded.select("doc_id", "rid", "text_hash", "digest").join(known, "digest").select(*row).unionByName(alone), "jaccard-rows")
+
+
+def join(documents: DataFrame) -> DataFrame:
+    """One row per document: doc_id, class_id (the smallest doc_id of its connected component) and n_links (the other
+    documents at a similarity of 0.8 or more)."""
+    rows = classify(documents)
+    worded = rows.where("label is not null")
+    ids = worded.groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    alone = rows.where("label is null").select("doc_id", F.col("doc_id").alias("class_id"), "n_links")
+    return worded.join(ids, "label").select("doc_id", "class_id", "n_links").unionByName(alone)
+
+
+def keep_one(documents: DataFrame) -> DataFrame:
+    """One document of each component, that with the smallest doc_id, with all its columns; all documents without words."""
+    rows = classify(documents)
+    best = F.min(F.struct(F.col("doc_id").isNull(), "rid", "text_hash")).alias("best")
+    chosen = rows.where("label is not null").groupBy("label").agg(best).select("best.rid", "best.text_hash", F.lit(False).alias("each"))
+    chosen = chosen.unionByName(rows.where("label is null").select("rid", "text_hash", F.lit(True).alias("each")).distinct())
+    # the wide rows keep their own columns apart, so that no name can clash
+    wide = documents.select(F.struct("*").alias("row"), _rid().alias("rid"), F.xxhash64("text").alias("text_hash"))
+    joined = wide.join(chosen, ["rid", "text_hash"])
+    own = F.when(F.col("each"), F.monotonically_increasing_id()).otherwise(F.lit(0))
+    no = F.row_number().over(Window.partitionBy("rid", "text_hash", "own").orderBy("rid"))
+    return joined.withColumn("own", own).withColumn("no", no).where("no = 1").select("row.*")
