@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from logweave.plans import cmd, kv
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = kv.QUERIES | cmd.QUERIES
+ORACLE_SQL: dict[str, str] = kv.ORACLE_SQL | cmd.ORACLE_SQL
