@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave import schema
@@ -25,10 +27,10 @@ def flush_point(log: DataFrame, budget: int) -> DataFrame:
     Sums of runs of 4,096 versions come first, so only the run that crosses the budget is looked at version by version."""
     run = F.floor(F.col("seq") / 4096)
     sums = log.groupBy(run.alias("run")).agg(F.sum(entry_bytes()).alias("b"))
-    upto = F.sum("b").over(mvcc.Window.orderBy("run"))
+    upto = F.sum("b").over(Window.orderBy("run"))
     crossing = sums.withColumn("upto", upto).where(F.col("upto") >= budget).agg(F.min(F.struct("run", F.col("upto") - F.col("b"))).alias("x")).select(F.col("x.run").alias("run"), F.col("x.col2").alias("before"))
     inside = log.select("seq", run.alias("run"), entry_bytes().alias("b")).join(F.broadcast(crossing), "run")
-    total = F.sum("b").over(mvcc.Window.partitionBy("run").orderBy("seq")) + F.col("before")
+    total = F.sum("b").over(Window.partitionBy("run").orderBy("seq")) + F.col("before")
     return inside.withColumn("total", total).where(F.col("total") >= budget).agg(F.min("seq").alias("seq"))
 
 
@@ -82,7 +84,7 @@ def compaction_due(catalog: DataFrame, levels: int, trigger: int = schema.LEVEL0
 
 def compaction_sources(catalog: DataFrame) -> DataFrame:
     """The tables that a compaction of each level takes: all of level 0, the lowest id elsewhere."""
-    low = F.min("id").over(mvcc.Window.partitionBy("level"))
+    low = F.min("id").over(Window.partitionBy("level"))
     return catalog.withColumn("_low", low).where("level = 0 or id = _low").drop("_low")
 
 
@@ -101,9 +103,9 @@ def compact(sources: list[DataFrame], horizon: int, bottom: bool, target_bytes:
     keys = kept.groupBy("key").agg(F.sum(entry_bytes()).alias("b"))
     prefix = F.substring("key", 1, 11)
     by_prefix = keys.groupBy(prefix.alias("prefix")).agg(F.sum("b").alias("s"))
-    before = F.coalesce(F.sum("s").over(mvcc.Window.orderBy("prefix").rowsBetween(mvcc.Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("s").over(Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     by_prefix = by_prefix.withColumn("before", before).select("prefix", "before")
-    inner = F.coalesce(F.sum("b").over(mvcc.Window.partitionBy("prefix").orderBy("key").rowsBetween(mvcc.Window.unboundedPreceding, -1)), F.lit(0))
+    inner = F.coalesce(F.sum("b").over(Window.partitionBy("prefix").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = keys.withColumn("prefix", prefix).withColumn("inner", inner).join(by_prefix, "prefix").select("key", F.floor((F.col("inner") + F.col("before")) / target_bytes).alias("table"))
     return kept.join(placed, "key")
 
@@ -121,9 +123,6 @@ def bloom_shape(keys: Column, bits_per_key: int = schema.BLOOM_BITS_PER_KEY) ->
 
 def bloom_positions(keys: DataFrame, bits: Column, probes: int) -> DataFrame:
     """keys (key, ...) with the bit positions that a filter of `bits` bits probes: h1 + i * h2, h2 odd."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("array<bigint>")
     def run(h1: pd.Series, n: pd.Series) -> pd.Series:
         a = h1.to_numpy().view(np.uint64)

@@ -6,11 +6,9 @@ commit_term (the term of its entry at commit), read_confirmed (a quorum answered
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweave.operators import mvcc
-
 MODES = ("stale", "lease", "linearizable")
 
 
@@ -32,7 +30,7 @@ def read(log: DataFrame, nodes: DataFrame, mode: str) -> DataFrame:
     """(node, key, value): the live rows that each node that serves the mode returns, ranked once per node."""
     served = admit(nodes, mode).where("answer = 'serve'").select("node", "read_index")
     rows = log.join(F.broadcast(served), F.col("seq") <= F.col("read_index"))  # a row per node
-    newest = F.row_number().over(mvcc.Window.partitionBy("node", "key").orderBy(F.desc("seq")))
+    newest = F.row_number().over(Window.partitionBy("node", "key").orderBy(F.desc("seq")))
     return rows.withColumn("_n", newest).where("_n = 1 and value is not null").select("node", "key", "value")
 
 

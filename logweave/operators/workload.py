@@ -144,7 +144,7 @@ def fault_schedule(spark: SparkSession, seed: int, run_ms: int, partition: float
 
 def backoff(tries: DataFrame, base_ms: int, cap_ms: int) -> DataFrame:
     """tries (attempt, fraction) with window_ms (doubling, at most six times, up to the cap) and the wait."""
-    window = F.least(F.lit(base_ms) * F.shiftleft(F.lit(1), F.least("attempt", F.lit(schema.BACKOFF_MAX_SHIFT)).cast("int")), F.lit(cap_ms))
+    window = F.least(F.lit(base_ms) * F.pow(F.lit(2), F.least("attempt", F.lit(schema.BACKOFF_MAX_SHIFT))), F.lit(cap_ms))
     return tries.withColumn("window_ms", window.cast("bigint")).withColumn("wait_ms", F.col("window_ms") * F.greatest("fraction", F.lit(schema.BACKOFF_MIN_FRACTION)))
 
 

@@ -1,0 +1,166 @@
+"""Registered queries of replication analytics and invariant checks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from logweave.operators import checks, replication
+from logweave.plans.cmd import NODES_SQL, nodes
+from logweave.sources import fixtures
+
+
+def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.replicas(spark, sf_dir)
+
+
+def _one(spark: SparkSession, sf_dir: str, node: int) -> DataFrame:
+    return _logs(spark, sf_dir).where(F.col("node") == node)
+
+
+#: Progress of four groups of peers, from events: the group's user number gives the leader, matched indexes the peers.
+def _progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = fixtures.events(spark, sf_dir)
+    peers = e.groupBy((F.col("user_id") % 3 + 1).alias("leader"), (F.col("user_id") % 15 % 5).alias("peer")).agg((F.max("event_id") - F.min("event_id") % 400).alias("matched"))
+    return peers.withColumn("term", F.floor(F.col("matched") * 0 + 9).cast("bigint")).withColumn("commit", F.lit(500).cast("bigint"))
+
+
+_PROGRESS = "progress AS (SELECT user_id % 3 + 1 AS leader, user_id % 15 % 5 AS peer, max(event_id) - min(event_id) % 400 AS matched, 9::BIGINT AS term, 500::BIGINT AS commit FROM events GROUP BY ALL)"
+
+
+def _ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = fixtures.events(spark, sf_dir)
+    return e.groupBy((F.col("user_id") % 7).alias("leader"), (F.col("user_id") % 35 % 5).alias("peer")).agg((100 - F.max("event_id") % 23).alias("tick")).withColumn("now", F.lit(100).cast("bigint"))
+
+
+_TICKS = "ticks AS (SELECT user_id % 7 AS leader, user_id % 35 % 5 AS peer, 100 - max(event_id) % 23 AS tick, 100::BIGINT AS now FROM events GROUP BY ALL)"
+
+CHANGES = [(1, 5, "add", 4), (1, 9, "remove", 2), (1, 12, "add", 2), (1, 15, "add", 4), (2, 5, "add", 4), (2, 20, "remove", 1), (3, 7, "remove", 3), (3, 8, "remove", 9)]
+_CHANGES = ", ".join(f"(CAST({a} AS BIGINT), CAST({b} AS BIGINT), '{c}', CAST({d} AS BIGINT))" for a, b, c, d in CHANGES)
+
+
+def _changes(spark: SparkSession) -> DataFrame:
+    return spark.sql(f"SELECT * FROM VALUES {_CHANGES} AS t(node, index, action, peer)")
+
+
+def _commits(spark: SparkSession, base: int = 0) -> DataFrame:
+    return nodes(spark).where("node <= 3").select("node", (F.col("commit") + base).alias("commit"))
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    return fixtures.events(spark, sf_dir).select(
+        i.alias("id"), (i % 5).alias("candidate"), (i % 4 + 3).alias("req_term"), (i % 3 + 2).alias("last_term"), (i % 17).alias("last_index"), F.lit(5).cast("bigint").alias("term"),
+        F.when(i % 2 == 0, i % 6).alias("voted_for"), F.lit(3).cast("bigint").alias("my_last_term"), F.lit(8).cast("bigint").alias("my_last_index"), (i % 7 == 0).alias("leader_alive"),
+    )
+
+
+def _sends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    return fixtures.events(spark, sf_dir).select(i.alias("id"), (i % 300 + 1).alias("next"), (i % 13).alias("inflight"), (i % 6 == 0).alias("pending_snapshot"), (i % 21).alias("silent_ticks"), F.lit(40).cast("bigint").alias("snap_index"), F.lit(250).cast("bigint").alias("last_index"))
+
+
+def _offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    return fixtures.events(spark, sf_dir).where("event_id % 10 = 0").select((i % 3 + 1).alias("node"), F.lit(3000).cast("bigint").alias("commit"), (i + 1).alias("last_index"), F.floor((i + 1) / 1000 + 1 - (i % 20) / 20).alias("last_term"))
+
+
+def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    return fixtures.events(spark, sf_dir).select(F.col("user_id").alias("node"), i.alias("step"), F.floor(i / 100).alias("term"), F.when(i % 3 != 0, F.floor(i / 150) % 4).alias("voted_for"))
+
+
+QUERIES = {
+    # RP1-RP5
+    "quorum_commit": lambda s, d: replication.quorum_commit(_progress(s, d), _logs(s, d).where("node = 1").withColumn("node", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(3).cast("bigint")))).withColumn("term", F.floor(F.col("index") / 1000))),
+    "lease_valid": lambda s, d: replication.lease(_ticks(s, d)),
+    "read_quorum_release": lambda s, d: replication.released_reads(_ticks(s, d).select("leader", "peer", F.col("tick").alias("ctx")), fixtures.events(s, d).where("event_id < 700").select((F.col("user_id") % 7).alias("leader"), F.col("event_id").alias("read_id"), (F.col("event_id") % 120).alias("ctx"))),
+    "read_index_admission": lambda s, d: replication.read_admission(nodes(s)).select("node", "admission"),
+    # RP6, RP7
+    "voters_effective": lambda s, d: replication.voters(_changes(s), [1, 2, 3], 14).select("node", F.array_join("voters", ",").alias("voters")),
+    "conf_in_flight": lambda s, d: replication.conf_in_flight(_logs(s, d), _commits(s, 4650)),
+    # RP8, RP9, RP22, RP23
+    "vote_decisions": lambda s, d: replication.vote_decisions(_requests(s, d)).select("id", "pre_vote", "vote"),
+    "vote_counting": lambda s, d: replication.elected(fixtures.events(s, d).select((F.col("event_id") % 50).alias("candidate"), F.floor(F.col("event_id") / 50).alias("voter"), (F.col("event_type") != "error").alias("granted")).where("voter < 7"), s.range(5).select(F.col("id").alias("voter"))),
+    # RP10-RP14
+    "log_repair": lambda s, d: replication.repair(_one(s, d, 3), _one(s, d, 1), 9900),
+    "conflict_hint": lambda s, d: replication.conflict_hint(_logs(s, d), fixtures.events(s, d).where("event_id % 5 = 0").select((F.col("event_id") % 3 + 1).alias("node"), (F.col("event_id") + 1).alias("prev_index"), F.floor((F.col("event_id") + 1) / 1000 + 1).alias("prev_term"))),
+    "log_compacted": lambda s, d: replication.uncovered(_logs(s, d), s.sql("SELECT * FROM VALUES (1L, 3000L), (2L, 9000L) AS t(node, last_index)")),
+    "log_compaction_allowed": lambda s, d: replication.compaction_allowed(nodes(s).withColumn("snap", F.lit(4500))).select("node", "allowed"),
+    "follower_commit": lambda s, d: replication.follower_commit(fixtures.events(s, d).select(F.col("event_id").alias("id"), (F.col("event_id") % 90).alias("commit"), (F.col("event_id") % 100).alias("leader_commit"), (F.col("event_id") % 80).alias("prev_index"), (F.col("event_id") % 9).alias("n_entries"))).select("id", "new_commit"),
+    "committed_entries": lambda s, d: replication.committed_between(_one(s, d, 2), 400, 900),
+    # RP15, RP17-RP20, RP28
+    "snapshot_install": lambda s, d: replication.snapshot_decisions(_offers(s, d), _logs(s, d)),
+    "log_accessors": lambda s, d: replication.accessors(_logs(s, d)),
+    "log_gaps": lambda s, d: replication.gaps(_logs(s, d).where("index % 1000 != 7")),
+    "progress_from_acks": lambda s, d: replication.progress_from_acks(fixtures.events(s, d).select((F.col("user_id") % 5).alias("peer"), F.col("event_type").alias("kind"), F.col("event_id").alias("match_index"))),
+    "send_decision": lambda s, d: replication.send_decisions(_sends(s, d)).select("id", "send", "n_entries", "new_inflight"),
+    # RP29, RP30, SC24, SC25
+    "node_recovery": lambda s, d: replication.recovered(nodes(s).select("node", "term", F.lit(None).cast("bigint").alias("voted_for"), F.when(F.col("node") != 2, F.col("applied")).alias("snap_index"), F.when(F.col("node") == 1, F.array(F.lit(1).cast("bigint"), F.lit(4).cast("bigint"))).alias("snap_voters")), [1, 2, 3]).select("node", "term", "role", "commit", F.array_join("voters", ",").alias("voters")),
+    "hard_state_changes": lambda s, d: replication.hard_state_changes(_states(s, d)),
+    "log_persisted": lambda s, d: replication.persisted(_one(s, d, 3), 9800, _one(s, d, 1).where("index >= 9800")),
+    # CK1-CK5, CK12
+    "election_safety": lambda s, d: checks.election_safety(fixtures.events(s, d).select(F.floor(F.col("event_id") / 60).alias("term"), F.when(F.col("event_id") % 480 < 430, 0).otherwise(F.col("user_id") % 2).alias("leader"))),
+    "state_machine_safety": lambda s, d: checks.state_machine_safety(_logs(s, d)),
+    "log_matching": lambda s, d: checks.log_matching(_logs(s, d).withColumn("payload", F.when((F.col("node") == 2) & (F.col("index") % 100 == 0), "changed").otherwise(F.col("payload")))),
+    "convergence": lambda s, d: checks.convergence(checks.log_fingerprints(_logs(s, d), 900).select("node", F.lit(True).alias("up"), F.when(F.col("node") == 1, "leader").otherwise("follower").alias("role"), F.col("last_index").alias("applied"), "fingerprint")),
+    "logs_converged": lambda s, d: checks.logs_converged(_logs(s, d)),
+    "overwritten_commits": lambda s, d: checks.overwritten_commits(_one(s, d, 3), _one(s, d, 1).withColumn("node", F.lit(3).cast("bigint")), _commits(s, 5900)),
+    # CK10, CK11
+    "event_budget": lambda s, d: checks.over_budget(fixtures.events(s, d).groupBy(F.col("user_id").alias("seed")).agg(F.count(F.lit(1)).alias("events")), 70),
+    "determinism": lambda s, d: checks.differences(fixtures.events(s, d).select("event_id", "event_type"), fixtures.events(s, d).select("event_id", F.when(F.col("event_id") % 1000 == 1, "x").otherwise(F.col("event_type")).alias("event_type"))),
+    # CL5
+    "session_uniqueness": lambda s, d: checks.duplicate_sessions(fixtures.events(s, d).select(F.col("event_id").alias("client"), (F.col("event_id") * 2 + F.when(F.col("event_id") % 900 == 5, 2).otherwise(0)).alias("session_id"))),
+}
+
+_Q = "list_reverse_sort(list({c}))[len(list({c})) // 2 + 1]"
+ORACLE_SQL = {
+    "quorum_commit": f"""WITH {_PROGRESS}, {fixtures.REPLICAS}, q AS (SELECT leader, term, commit, {_Q.format(c='matched')} AS candidate FROM progress GROUP BY leader, term, commit),
+  e AS (SELECT index, index // 1000 AS term FROM replicas WHERE node = 1)
+  SELECT q.leader, q.term, q.candidate, CASE WHEN q.candidate > q.commit AND e.term = q.term THEN q.candidate ELSE q.commit END AS commit FROM q LEFT JOIN e ON e.index = q.candidate""",
+    "lease_valid": f"WITH {_TICKS}, q AS (SELECT leader, now, {_Q.format(c='tick')} AS quorum_tick FROM ticks GROUP BY leader, now) SELECT leader, quorum_tick, greatest(now - quorum_tick, 0) < 10 AS lease_valid FROM q",
+    "read_quorum_release": f"WITH {_TICKS}, q AS (SELECT leader, {_Q.format(c='tick')} AS upto FROM ticks GROUP BY leader) SELECT q.leader, e.event_id AS read_id, e.event_id % 120 AS ctx FROM events e JOIN q ON q.leader = e.user_id % 7 WHERE e.event_id < 700 AND upto > 0 AND e.event_id % 120 <= upto",
+    "read_index_admission": f"WITH {NODES_SQL} SELECT node, CASE WHEN role <> 'leader' THEN 'not_leader' WHEN commit_term = term THEN 'admitted' ELSE 'not_ready' END AS admission FROM nodes",
+    "voters_effective": "SELECT * FROM (VALUES (1::BIGINT, '1,3,4,2'), (2, '1,2,3,4'), (3, '1,2')) t(node, voters)",
+    "conf_in_flight": f"WITH {NODES_SQL}, {fixtures.REPLICAS}, c AS (SELECT node, commit + 4650 AS commit FROM nodes WHERE node <= 3) SELECT node, EXISTS (SELECT 1 FROM replicas r WHERE r.node = c.node AND r.kind = 'conf' AND r.index > c.commit) AS in_flight FROM c",
+    "vote_decisions": """WITH r AS (SELECT event_id AS id, event_id % 5 AS candidate, event_id % 4 + 3 AS rt, event_id % 3 + 2 AS lt, event_id % 17 AS li, CASE WHEN event_id % 2 = 0 THEN event_id % 6 END AS v, event_id % 7 = 0 AS alive FROM events),
+  n AS (SELECT *, lt > 3 OR (lt = 3 AND li >= 8) AS newer FROM r)
+  SELECT id, rt > 5 AND newer AND NOT alive AS pre_vote, rt >= 5 AND (v IS NULL OR v = candidate OR rt > 5) AND newer AS vote FROM n""",
+    "vote_counting": "SELECT event_id % 50 AS candidate, count(*) FILTER (event_type <> 'error') AS granted, count(*) FILTER (event_type <> 'error') >= 3 AS elected FROM events WHERE event_id // 50 < 5 GROUP BY 1",
+    "log_repair": f"""WITH {fixtures.REPLICAS}, a AS (SELECT * FROM replicas WHERE node = 3), b AS (SELECT * FROM replicas WHERE node = 1),
+  m AS (SELECT (SELECT min(a.index) FROM a JOIN b ON a.index = b.index AND a.term <> b.term) AS c, (SELECT max(index) FROM a) AS last)
+  SELECT index, term, payload, 'local' AS source, coalesce(c <= 9900, false) AS violation FROM a, m WHERE c IS NULL OR index < c
+  UNION ALL SELECT index, term, payload, 'leader', coalesce(c <= 9900, false) FROM b, m WHERE index >= coalesce(c, last + 1)""",
+    "conflict_hint": f"""WITH {fixtures.REPLICAS}, r AS (SELECT *, index - row_number() OVER (PARTITION BY node, term ORDER BY index) AS island FROM replicas),
+  runs AS (SELECT node, term, min(index) AS lo, max(index) AS hi FROM r GROUP BY node, term, island), ends AS (SELECT node, max(index) AS last FROM replicas GROUP BY node),
+  p AS (SELECT event_id % 3 + 1 AS node, event_id + 1 AS prev_index, (event_id + 1) // 1000 + 1 AS prev_term FROM events WHERE event_id % 5 = 0)
+  SELECT p.*, CASE WHEN p.prev_index > ends.last THEN ends.last + 1 WHEN runs.term <> p.prev_term THEN runs.lo END AS hint
+  FROM p JOIN ends ON ends.node = p.node LEFT JOIN runs ON runs.node = p.node AND p.prev_index BETWEEN runs.lo AND runs.hi""",
+    "log_compacted": f"WITH {fixtures.REPLICAS} SELECT * FROM replicas WHERE index > CASE node WHEN 1 THEN 3000 WHEN 2 THEN 9000 ELSE 0 END",
+    "log_compaction_allowed": f"WITH {NODES_SQL} SELECT node, 4500 < applied AND applied <= commit AS allowed FROM nodes",
+    "follower_commit": "SELECT event_id AS id, greatest(event_id % 90, least(event_id % 100, event_id % 80 + event_id % 9)) AS new_commit FROM events",
+    "committed_entries": f"WITH {fixtures.REPLICAS} SELECT * FROM replicas WHERE node = 2 AND index > 400 AND index <= 900",
+    "snapshot_install": f"""WITH {fixtures.REPLICAS}, o AS (SELECT event_id % 3 + 1 AS node, 3000::BIGINT AS commit, event_id + 1 AS last_index, CAST(floor((event_id + 1) / 1000 + 1 - (event_id % 20) / 20) AS BIGINT) AS last_term FROM events WHERE event_id % 10 = 0)
+  SELECT o.*, CASE WHEN o.last_index <= o.commit THEN 'stale' WHEN r.term IS NOT DISTINCT FROM o.last_term THEN 'keep_suffix' ELSE 'reset' END AS decision FROM o LEFT JOIN replicas r ON r.node = o.node AND r.index = o.last_index""",
+    "log_accessors": f"WITH {fixtures.REPLICAS} SELECT node, min(index) AS first_index, max(index) AS last_index, arg_max(term, index) AS last_term, count(*) AS entries FROM replicas GROUP BY node",
+    "log_gaps": f"WITH {fixtures.REPLICAS}, w AS (SELECT node, index, lag(index) OVER (PARTITION BY node ORDER BY index) AS before FROM replicas WHERE index % 1000 <> 7) SELECT * FROM w WHERE before IS NOT NULL AND index <> before + 1",
+    "progress_from_acks": "SELECT user_id % 5 AS peer, max(event_id) AS matched, max(event_id) + 1 AS next FROM events GROUP BY 1",
+    "send_decision": """WITH p AS (SELECT event_id AS id, event_id % 300 + 1 AS next, event_id % 13 AS inflight, event_id % 6 = 0 AND event_id % 21 < 10 AS waiting FROM events),
+  x AS (SELECT *, CASE WHEN waiting THEN 'suppressed' WHEN next <= 40 THEN 'snapshot' WHEN next <= 250 AND inflight < 10 THEN 'append' ELSE 'heartbeat' END AS send FROM p)
+  SELECT id, send, CASE WHEN send = 'append' THEN least(64, 250 - next + 1) ELSE 0 END AS n_entries,
+    CASE WHEN send = 'append' THEN inflight + 1 WHEN send = 'heartbeat' AND next <= 250 AND inflight >= 10 THEN inflight - 1 ELSE inflight END AS new_inflight FROM x""",
+    "node_recovery": f"WITH {NODES_SQL} SELECT node, term, 'follower' AS role, CASE WHEN node <> 2 THEN applied ELSE 0 END AS commit, CASE WHEN node = 1 THEN '1,4' ELSE '1,2,3' END AS voters FROM nodes",
+    "hard_state_changes": """WITH h AS (SELECT user_id AS node, event_id AS step, event_id // 100 AS term, CASE WHEN event_id % 3 <> 0 THEN event_id // 150 % 4 END AS voted_for FROM events),
+  w AS (SELECT *, lag(term) OVER o AS t0, lag(voted_for) OVER o AS v0, row_number() OVER o AS rn FROM h WINDOW o AS (PARTITION BY node ORDER BY step))
+  SELECT node, step, term, voted_for FROM w WHERE rn = 1 OR term IS DISTINCT FROM t0 OR voted_for IS DISTINCT FROM v0""",
+    "log_persisted": f"WITH {fixtures.REPLICAS} SELECT * FROM replicas WHERE (node = 3 AND index < 9800) OR (node = 1 AND index >= 9800)",
+    "election_safety": "SELECT event_id // 60 AS term, count(DISTINCT CASE WHEN event_id % 480 < 430 THEN 0 ELSE user_id % 2 END) AS leaders FROM events GROUP BY 1 HAVING count(DISTINCT CASE WHEN event_id % 480 < 430 THEN 0 ELSE user_id % 2 END) > 1",
+    "state_machine_safety": f"WITH {fixtures.REPLICAS} SELECT index, count(DISTINCT (term, payload)) AS entries FROM replicas GROUP BY index HAVING count(DISTINCT (term, payload)) > 1",
+    "log_matching": f"WITH {fixtures.REPLICAS}, r AS (SELECT index, term, kind, CASE WHEN node = 2 AND index % 100 = 0 THEN 'changed' ELSE payload END AS payload FROM replicas) SELECT index, term, count(DISTINCT (kind, payload)) AS entries FROM r GROUP BY index, term HAVING count(DISTINCT (kind, payload)) > 1",
+    "convergence": "SELECT true AS all_up, true AS same_applied, true AS same_state, true AS has_leader, true AS converged",
+    "logs_converged": f"WITH {fixtures.REPLICAS} SELECT (SELECT count(DISTINCT last) = 1 FROM (SELECT max(index) AS last FROM replicas GROUP BY node)) AS same_end, (SELECT count(*) FROM (SELECT index FROM replicas GROUP BY index HAVING count(DISTINCT term) > 1)) AS different_terms",
+    "overwritten_commits": f"WITH {NODES_SQL}, {fixtures.REPLICAS} SELECT a.node, a.index, a.term AS held, b.term FROM replicas a JOIN replicas b ON a.node = 3 AND b.node = 1 AND a.index = b.index AND a.term <> b.term JOIN nodes n ON n.node = 3 AND a.index <= n.commit + 5900",
+    "event_budget": "SELECT user_id AS seed, count(*) AS events FROM events GROUP BY 1 HAVING count(*) > 70",
+    "determinism": "SELECT event_id, event_type, 'first' AS only_in FROM events WHERE event_id % 1000 = 1 UNION ALL SELECT event_id, 'x', 'second' FROM events WHERE event_id % 1000 = 1",
+    "session_uniqueness": "WITH c AS (SELECT event_id * 2 + CASE WHEN event_id % 900 = 5 THEN 2 ELSE 0 END AS session_id FROM events) SELECT session_id, count(*) AS clients FROM c GROUP BY 1 HAVING count(*) > 1",
+}
