@@ -157,7 +157,9 @@ ORACLE_SQL = {
     "election_safety": "SELECT event_id // 60 AS term, count(DISTINCT CASE WHEN event_id % 480 < 430 THEN 0 ELSE user_id % 2 END) AS leaders FROM events GROUP BY 1 HAVING count(DISTINCT CASE WHEN event_id % 480 < 430 THEN 0 ELSE user_id % 2 END) > 1",
     "state_machine_safety": f"WITH {fixtures.REPLICAS} SELECT index, count(DISTINCT (term, payload)) AS entries FROM replicas GROUP BY index HAVING count(DISTINCT (term, payload)) > 1",
     "log_matching": f"WITH {fixtures.REPLICAS}, r AS (SELECT index, term, kind, CASE WHEN node = 2 AND index % 100 = 0 THEN 'changed' ELSE payload END AS payload FROM replicas) SELECT index, term, count(DISTINCT (kind, payload)) AS entries FROM r GROUP BY index, term HAVING count(DISTINCT (kind, payload)) > 1",
-    "convergence": "SELECT true AS all_up, true AS same_applied, true AS same_state, true AS has_leader, true AS converged",
+    "convergence": f"""WITH {fixtures.REPLICAS}, r AS (SELECT * FROM replicas WHERE index <= 900),
+  c AS (SELECT true AS all_up, (SELECT count(DISTINCT m) = 1 FROM (SELECT max(index) AS m FROM r GROUP BY node)) AS same_applied, NOT EXISTS (SELECT 1 FROM r GROUP BY index HAVING count(DISTINCT (term, payload)) > 1 OR count(*) < 3) AS same_state, true AS has_leader)
+  SELECT *, all_up AND same_applied AND same_state AND has_leader AS converged FROM c""",
     "logs_converged": f"WITH {fixtures.REPLICAS} SELECT (SELECT count(DISTINCT last) = 1 FROM (SELECT max(index) AS last FROM replicas GROUP BY node)) AS same_end, (SELECT count(*) FROM (SELECT index FROM replicas GROUP BY index HAVING count(DISTINCT term) > 1)) AS different_terms",
     "overwritten_commits": f"WITH {NODES_SQL}, {fixtures.REPLICAS} SELECT a.node, a.index, a.term AS held, b.term FROM replicas a JOIN replicas b ON a.node = 3 AND b.node = 1 AND a.index = b.index AND a.term <> b.term JOIN nodes n ON n.node = 3 AND a.index <= n.commit + 5900",
     "event_budget": "SELECT user_id AS seed, count(*) AS events FROM events GROUP BY 1 HAVING count(*) > 70",
