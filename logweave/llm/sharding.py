@@ -3,8 +3,8 @@
 Equal texts form a unit, described by four metadata coordinates in [0, 1): its size, its source, its language and
 its lowest doc_id. Starting from all units, a node that stands for n shards is cut along its widest coordinate at
 the weighted quantile n//2 : n - n//2 of its bytes, until every node is one shard of about the target bytes. The
-quantile comes from two rounds of 4,096-bin histograms, so a level costs three small aggregations and the driver
-sees only sums per bin of the at most `shards` nodes' crossing bins. Coordinates get a hashed fraction far below
+quantile comes from rounds of 4,096-bin histograms, each within the bin that the last one ended in (two as a rule,
+more where many units tie), so a level costs a few small aggregations, and the driver sees one bin of each node. Coordinates get a hashed fraction far below
 their grid, so that ties (one source may hold a third of all rows) can be cut anywhere.
 
 Groups: equal texts stay together, unless their bytes exceed a quarter of the target; such a group is split by
@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from logweave.llm.session import stored
 
 SHARDS, OVERHEAD = 40, 16
-BINS, ROUNDS = 4096, 2
+BINS, MAX_ROUNDS = 4096, 4
+#: A cut is refined until the bin that it falls into has at most this share of a shard's bytes.
+TOLERANCE = 0.002
 #: A group above this share of a shard is split, into units of this share.
 SPLIT_FROM, SPLIT_INTO = 0.25, 0.02
 #: Rows that get their slots in one task, about.
@@ -45,7 +47,11 @@ def inline(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
 def _quantiles(units: DataFrame, nodes: dict[int, dict]) -> dict[int, float]:
     """Where to cut each node along its dimension, so that `left` of its weight lies below."""
     spark = units.sparkSession
-    for r in range(ROUNDS):
+    every, nodes = nodes, dict(nodes)
+    for _ in range(MAX_ROUNDS):
+        nodes = {k: v for k, v in nodes.items() if v.get("in_bin", v["tolerance"] + 1) > v["tolerance"]}
+        if not nodes:
+            break
         table = F.broadcast(inline(spark, "node, dim, lo, step", [(k, v["dim"], float(v["lo"]), float(v["step"])) for k, v in nodes.items()]))
         x = F.element_at("at", (F.col("dim") + 1).cast("int"))
         inside = units.join(table, "node").withColumn("x", x).where((F.col("x") >= F.col("lo")) & (F.col("x") < F.col("lo") + F.col("step") * BINS))
@@ -60,7 +66,7 @@ def _quantiles(units: DataFrame, nodes: dict[int, dict]) -> dict[int, float]:
             v["want"] -= row["upto"] - row["w"]
             v["hi"], v["lo"], v["in_bin"] = lo + v["step"], lo, row["w"]
             v["step"] = max(v["step"] / BINS, 1e-300)
-    return {k: v["hi"] if 2 * v["want"] >= v["in_bin"] else v["lo"] for k, v in nodes.items() if "hi" in v}
+    return {k: v["hi"] if 2 * v["want"] >= v["in_bin"] else v["lo"] for k, v in every.items() if "hi" in v}
 
 
 def tree(units: DataFrame, shards: int) -> DataFrame:
@@ -76,7 +82,7 @@ def tree(units: DataFrame, shards: int) -> DataFrame:
             if row["node"] in split:
                 dim = max(range(_DIMS), key=lambda i: row[f"b{i}"] - row[f"a{i}"])
                 lo, width = row[f"a{dim}"], row[f"b{dim}"] - row[f"a{dim}"]
-                nodes[row["node"]] = {"dim": dim, "lo": lo, "step": max(width, 1e-12) * (1 + 1e-9) / BINS, "want": row["w"] * (sizes[row["node"]] // 2) / sizes[row["node"]]}
+                nodes[row["node"]] = {"dim": dim, "lo": lo, "step": max(width, 1e-12) * (1 + 1e-9) / BINS, "want": row["w"] * (sizes[row["node"]] // 2) / sizes[row["node"]], "tolerance": TOLERANCE * row["w"] / sizes[row["node"]]}
         dims = {k: v["dim"] for k, v in nodes.items()}
         cuts = _quantiles(level, nodes)
         # a node without units gets a cut all the same, for its shards to have numbers
