@@ -10,13 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_OP = "log_index bigint, op string, expect string, new string"
+#: Log entries of a run.
+RUN = 1 << 16
 
 
 def statuses(commands: DataFrame) -> DataFrame:
     """commands with status: applied, duplicate (the last number again) or stale (a smaller one); session 0 is exempt."""
-    before = Window.partitionBy("session_id").orderBy("log_index").rowsBetween(Window.unboundedPreceding, -1)
-    # session 0 has no order to keep: spread its rows
+    # session 0 has no order to keep, so its rows are spread
+    lane = F.when(F.col("session_id") == 0, F.pmod(F.xxhash64("log_index"), F.lit(1024))).otherwise(0)
+    before = Window.partitionBy("session_id", lane).orderBy("log_index").rowsBetween(Window.unboundedPreceding, -1)
     last = F.when(F.col("session_id") != 0, F.max("client_seq").over(before))
     status = F.when(last.isNull() | (F.col("client_seq") > last), "applied").when(F.col("client_seq") == last, "duplicate").otherwise("stale")
     return commands.withColumn("status", status)
@@ -44,8 +46,13 @@ def fold(commands: DataFrame, base: DataFrame | None = None) -> tuple[DataFrame,
         none = F.lit(None).cast("string")
         rows = rows.unionByName(base.select(F.lit(0).cast("bigint").alias("log_index"), "key", F.lit("put").alias("op"), "value", none.alias("expect"), none.alias("new")))
     reset = F.col("op").isin("put", "delete")
-    order = Window.partitionBy("key").orderBy("log_index")
-    rows = rows.withColumn("segment", F.sum(reset.cast("int")).over(order))
+    # resets are counted by runs of the log first, so a hot key is not in one task
+    rows = rows.withColumn("run", F.floor(F.col("log_index") / RUN))
+    runs = rows.groupBy("key", "run").agg(F.sum(reset.cast("int")).alias("k"))
+    ahead = F.sum("k").over(Window.partitionBy("key").orderBy("run").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.select("key", "run", F.coalesce(ahead, F.lit(0)).alias("ahead"))
+    inner = F.sum(reset.cast("int")).over(Window.partitionBy("key", "run").orderBy("log_index"))
+    rows = rows.withColumn("inner", inner).join(runs, ["key", "run"]).withColumn("segment", F.col("inner") + F.col("ahead"))
     segments = rows.groupBy("key", "segment").agg(
         F.max(F.when(reset & (F.col("op") == "put"), F.col("value"))).alias("start"),
         F.array_sort(F.collect_list(F.when(~reset, F.struct("log_index", "op", "expect", "new")))).alias("ops"),

@@ -88,10 +88,9 @@ def horizon(log: DataFrame, pins: DataFrame) -> DataFrame:
 
 def collect_garbage(log: DataFrame, horizon: int, bottom: bool = False) -> DataFrame:
     """All versions above the horizon, and the newest at or below it; at the bottom level a tombstone there goes too."""
-    old = F.col("seq") <= horizon
-    rank = F.row_number().over(Window.partitionBy("key", old).orderBy(F.desc("seq")))
-    kept = log.withColumn("_rank", rank).where(~old | (F.col("_rank") == 1)).drop("_rank")
-    return kept.where(~(old & F.col("value").isNull())) if bottom else kept
+    # versions above the horizon are not ranked, so they are not shuffled
+    baseline = visible(log, horizon)
+    return log.where(F.col("seq") > horizon).unionByName(live(baseline) if bottom else baseline)
 
 
 def number_batches(batches: DataFrame) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from logweave import schema
 from logweave.functions.order import kth_largest, quorum
 
+#: Log indexes of a run; runs spread one node's log over tasks.
+RUN = 1 << 16
+
 
 def quorum_commit(progress: DataFrame, entries: DataFrame) -> DataFrame:
     """progress (leader, term, commit, peer, matched; the leader itself is a peer at its last index) to (leader, term,
@@ -139,8 +142,13 @@ def accessors(entries: DataFrame) -> DataFrame:
 
 def gaps(entries: DataFrame) -> DataFrame:
     """Violations of contiguity: entries whose index isn't one above the one before."""
-    before = F.lag("index").over(Window.partitionBy("node").orderBy("index"))
-    return entries.withColumn("before", before).where("before is not null and index != before + 1").select("node", "index", "before")
+    e = entries.select("node", "index", F.floor(F.col("index") / RUN).alias("run"))
+    ends = e.groupBy("node", "run").agg(F.max("index").alias("end"))
+    ends = ends.withColumn("carried", F.lag("end").over(Window.partitionBy("node").orderBy("run"))).drop("end")
+    inner = F.lag("index").over(Window.partitionBy("node", "run").orderBy("index"))
+    before = F.coalesce("inner", "carried")
+    joined = e.withColumn("inner", inner).join(ends, ["node", "run"]).withColumn("before", before)
+    return joined.where("before is not null and index != before + 1").select("node", "index", "before")
 
 
 def progress_from_acks(acks: DataFrame) -> DataFrame:
