@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 from logweave.llm import text as tx
 
 #: Bound on the labelled rows that the model is fitted on.
-SAMPLE_ROWS = 3000
+SAMPLE_ROWS = 2000
 #: A document is kept from this probability of good quality on.
 THRESHOLD = 0.4
-BITS = 17
+BITS = 16
 CHAR_N, WORD_N = (2, 4), (1, 2)
 BASE_MIN_WORDS, BASE_MAX_REPEAT_PERCENT = 10, 20
 SYMBOLS = tx.byte_table(b"#*$%&|<>")
@@ -134,7 +134,7 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch["doc_id"], batch["label"], pa.array(slots_out, pa.binary()), pa.array(values_out, pa.binary())], names=["doc_id", "label", "slots", "vals"])
 
 
-def _descend(rows: np.ndarray, slots: np.ndarray, values: np.ndarray, y: np.ndarray, steps: int = 120, decay: float = 1e-5) -> tuple[np.ndarray, float]:
+def _descend(rows: np.ndarray, slots: np.ndarray, values: np.ndarray, y: np.ndarray, steps: int = 80, decay: float = 1e-5) -> tuple[np.ndarray, float]:
     """Logistic regression by full-batch Adam, with the classes weighted alike."""
     size = 1 << BITS
     w, m, v, bias, mb, vb = np.zeros(size), np.zeros(size), np.zeros(size), 0.0, 0.0, 0.0
@@ -172,7 +172,8 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     # at most sample_rows ids and labels are broadcast
     rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("label").cast("int").alias("label"), "text")
     found = rows.mapInArrow(_featurise, "doc_id long, label int, slots binary, vals binary").toArrow()
-    found = found.take([i for _, _, i in sorted(zip(found["doc_id"].to_pylist(), found["slots"].to_pylist(), range(len(found))))])
+    order = sorted(zip(found["doc_id"].to_pylist(), found["slots"].to_pylist(), range(len(found))))
+    found = found.take(pa.array([i for _, _, i in order], pa.int64()))
     y = found["label"].to_numpy().astype(float) if len(found) else np.zeros(0)
     if len(set(y > 0)) < 2:
         return Model(np.zeros(1 << BITS, dtype=np.float32), 0.0, threshold=threshold, fitted=False)
