@@ -26,7 +26,7 @@ from logweave.llm.session import stored
 WEIGHTS = (5, 2, 1)
 BUDGET_PERCENT, MAX_PASSES, BLOCK_TOKENS = 150, 2, 2048
 #: Buckets of the shuffled order (three hex digits of the hash), slots of a run, cells of the unit interval.
-_HEX, _RUN, _CELL_BITS = 3, 8192, 20
+_HEX, _RUN, _CELL_BITS = 3, 8192, 10
 #: The golden ratio's fraction in 32-bit fixed point; odd, so that 2**32 slots visit each point once.
 _GOLDEN = 2654435769
 
@@ -72,8 +72,8 @@ def schedule(sources: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     blocks = blocks.where("hi > lo")
     n = sources.agg(F.sum(F.ceil(F.col("stop") / block_tokens).cast("long"))).first()[0] or 0
     slots = spark.range(n).withColumnRenamed("id", "slot")
-    slots = slots.withColumn("point", points(slots)).withColumn("cell", F.shiftright("point", 32 - _CELL_BITS // 2))
-    cell = F.explode(F.sequence(F.shiftright("lo", 32 - _CELL_BITS // 2), F.shiftright(F.col("hi") - 1, 32 - _CELL_BITS // 2)))
+    slots = slots.withColumn("point", points(slots)).withColumn("cell", F.shiftright("point", 32 - _CELL_BITS))
+    cell = F.explode(F.sequence(F.shiftright("lo", 32 - _CELL_BITS), F.shiftright(F.col("hi") - 1, 32 - _CELL_BITS)))
     found = slots.join(blocks.select("rank", "blocks", "lo", "hi", cell.alias("cell")), "cell").where("lo <= point and point < hi")
     found = found.select("rank", "blocks", "slot", (F.floor(F.col("slot") / _RUN)).cast("long").alias("run"))
     runs = found.groupBy("rank", "run").agg(F.count(F.lit(1)).alias("k"))
