@@ -36,8 +36,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 TOKENS, RUNS, SMALL, DEPTH, BRANCHES = 64, 10, 128, 3, 2
 #: Agreeing tokens from which a pair is compared by its sets.
 MAYBE = 35
-#: Classes of a block; a tile has one or two.
-BLOCK = 256
+#: Classes and shingles of a block, about; a tile has one or two blocks.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 
 _ODD = tx.mix64(np.arange(1, TOKENS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32) | np.uint32(1)
 _XOR = (tx.mix64(np.arange(1, TOKENS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(32)).astype(np.uint32)
@@ -118,20 +118,21 @@ def describe(documents: DataFrame) -> DataFrame:
 
 
 def _children(rows: DataFrame, level: int) -> DataFrame:
-    """rows (key, digest, tokens) split on BRANCHES tokens that the path chooses."""
+    """rows (key, digest, n, tokens) split on BRANCHES tokens that the path chooses."""
     branch = rows.withColumn("branch", F.explode(F.array(*[F.lit(b) for b in range(BRANCHES)])))
     pick = (F.pmod(F.xxhash64("key", "branch", F.lit(level)), F.lit(TOKENS)) + 1).cast("int")
-    return branch.select("digest", F.col("key").alias("parent"), "branch", F.xxhash64("key", "branch", F.element_at("tokens", pick)).alias("key"))
+    return branch.select("digest", "n", F.col("key").alias("parent"), "branch", F.xxhash64("key", "branch", F.element_at("tokens", pick)).alias("key"))
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """(key, digest, size): the buckets of all runs that are to be brute-forced, each with two classes at least."""
+    """(key, digest, n, size, total): the buckets of all runs that are to be brute-forced, each with two classes at
+    least; total counts their shingles."""
     runs = F.explode(F.array(*[F.struct(F.lit(r).alias("run"), F.element_at("tokens", r + 1).alias("token")) for r in range(RUNS)]))
-    rows = classes.select("digest", runs.alias("x")).select("digest", F.xxhash64("x.run", "x.token").alias("key"))
+    rows = classes.select("digest", "n", runs.alias("x")).select("digest", "n", F.xxhash64("x.run", "x.token").alias("key"))
     done, level = [], 0
     while True:
-        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        sized = stored(rows.join(sizes, "key").select("key", "digest", "size"), f"jaccard-level{level}")
+        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total")).where("size > 1")
+        sized = stored(rows.join(sizes, "key").select("key", "digest", "n", "size", "total"), f"jaccard-level{level}")
         level += 1
         large = sized.where(F.col("size") > SMALL)
         if level == DEPTH or large.isEmpty():
@@ -140,12 +141,12 @@ def buckets(classes: DataFrame) -> DataFrame:
         counts = children.groupBy("parent", "branch", "key").agg(F.count(F.lit(1)).alias("k"))
         whole = counts.groupBy("parent").agg(F.max("k").alias("most")).join(large.select(F.col("key").alias("parent"), "size").distinct(), "parent").where("2 * most > size").select("parent")
         done += [sized.where(F.col("size") <= SMALL), large.join(whole.withColumnRenamed("parent", "key"), "key", "left_semi")]
-        rows = children.join(whole, "parent", "left_anti").select("digest", "key")
+        rows = children.join(whole, "parent", "left_anti").select("digest", "n", "key")
 
 
 def tiles(members: DataFrame) -> DataFrame:
-    """members (key, size, digest, ...) with tile, block and `both`: a tile pairs two blocks of a bucket, or one with itself."""
-    blocks = F.ceil(F.col("size") / BLOCK)
+    """members (key, size, total, digest, ...) with tile, block and `both`: a tile pairs two blocks of a bucket, or one with itself."""
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES))
     m = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     tile = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
@@ -293,7 +294,7 @@ def links(documents: DataFrame, classes: DataFrame) -> DataFrame:
     """(digest, links, root): a class's links in each tile, and the smallest class of the tile it is connected to."""
     found = buckets(classes)
     names = found.groupBy("digest").agg(F.array_sort(F.collect_list("key")).alias("names"))  # at most RUNS * BRANCHES ** (DEPTH - 1)
-    described = classes.join(names, "digest").select("digest", "n", "copies", "tokens", "names")
+    described = classes.join(names, "digest").select("digest", "copies", "tokens", "names")
     members = tiles(found.join(described, "digest")).select(*[x.split()[0] for x in _CARRIED.split(", ")])
     maybe = stored(_by_tile(members).mapInArrow(_candidates, _CARRIED), "jaccard-candidates")
     wanted = classes.join(maybe.select("digest").distinct(), "digest", "left_semi").select("rid")
