@@ -5,6 +5,7 @@ Each write adds a file set of its own under the path; nothing is changed in plac
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,23 @@ def _key(key: str | bytes | None) -> bytes | None:
     return key.encode() if isinstance(key, str) else key
 
 
+class Backend(Protocol):
+    """What a fold of commands needs of a state: rows are (key, value) frames."""
+
+    def get(self, key: str | bytes, snapshot: int | None = None) -> bytes | None: ...
+
+    def write(self, ops: Sequence[tuple[str | bytes, str | bytes | None]]) -> int: ...
+
+    def scan(self, start: str | bytes | None = None, end: str | bytes | None = None, limit: int | None = None, snapshot: int | None = None) -> DataFrame: ...
+
+    def dump(self) -> DataFrame: ...
+
+    def clear_and_load(self, rows: DataFrame) -> int: ...
+
+
 class Store:
+    """A Backend over Parquet files."""
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
@@ -25,6 +42,12 @@ class Store:
         spark.createDataFrame([], "key binary, seq bigint, value binary").write.mode("errorifexists").parquet(path)
         return cls(spark, path)
 
+    @classmethod
+    def open_or_create(cls, spark: SparkSession, path: str) -> Store:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+        return cls(spark, path) if there else cls.create(spark, path)
+
     def log(self) -> DataFrame:
         return self.spark.read.schema("key binary, seq bigint, value binary").parquet(self.path)
 
@@ -62,6 +85,18 @@ class Store:
     def scan(self, start: str | bytes | None = None, end: str | bytes | None = None, limit: int | None = None, snapshot: int | None = None) -> DataFrame:
         return mvcc.scan(self.log(), _key(start), _key(end), limit, snapshot)
 
+    def dump(self) -> DataFrame:
+        """All live rows."""
+        return mvcc.dump(self.log())
+
+    def clear_and_load(self, rows: DataFrame) -> int:
+        """Delete every key that rows (key, value) lack and put all rows, as one batch."""
+        seq = self.seq() + 1
+        log = self.log()
+        new = mvcc.replace_all(log.limit(0), rows, seq).unionByName(mvcc.tombstones(log, rows, seq))
+        new.write.mode("append").parquet(self.path)
+        return seq
+
     def compact(self, path: str, pins: Sequence[int] = (), files: int = 8) -> Store:
         """The store at a new path without versions that neither the pins nor the present need."""
         from logweave.operators.maintenance import write_tables

@@ -40,6 +40,12 @@ def valid_prefix(frames: DataFrame) -> DataFrame:
     return frames.join(F.broadcast(bad)).where("bad is null or frame < bad").drop("bad")  # one row
 
 
+def framed(frames: DataFrame, cap: int = schema.FRAME_CAP_BYTES) -> DataFrame:
+    """frames (length, crc, data) with `valid`: a length within the cap that the data has, and a checksum that holds."""
+    ok = (F.col("length") <= cap) & (F.octet_length("data") == F.col("length")) & (F.crc32("data") == F.col("crc"))
+    return frames.withColumn("valid", F.coalesce(ok, F.lit(False)))
+
+
 def replay(frames: DataFrame) -> DataFrame:
     """The versions of the valid prefix, with their sequence numbers derived again."""
     return mvcc.number_batches(valid_prefix(frames))

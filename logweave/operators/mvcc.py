@@ -117,10 +117,14 @@ def delete(log: DataFrame, key: Any, seq: int) -> DataFrame:
     return append(log, [(key, None)], seq)
 
 
+def tombstones(log: DataFrame, rows: DataFrame, seq: int) -> DataFrame:
+    """Deletes of every live key of the log that rows lack."""
+    return dump(log).join(rows, "key", "left_anti").select("key", F.lit(seq).cast("bigint").alias("seq"), F.lit(None).cast(dict(log.dtypes)["value"]).alias("value"))
+
+
 def replace_all(log: DataFrame, rows: DataFrame, seq: int) -> DataFrame:
     """The log after a batch that deletes every live key that rows lack and puts all rows (key, value)."""
-    gone = dump(log).join(rows, "key", "left_anti").select("key", F.lit(seq).cast("bigint").alias("seq"), F.lit(None).cast(dict(log.dtypes)["value"]).alias("value"))
-    return log.unionByName(gone).unionByName(rows.select("key", F.lit(seq).cast("bigint").alias("seq"), "value"))
+    return log.unionByName(tombstones(log, rows, seq)).unionByName(rows.select("key", F.lit(seq).cast("bigint").alias("seq"), "value"))
 
 
 def position(log: DataFrame) -> DataFrame:

@@ -62,6 +62,16 @@ def stream_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(streaming.STATUS_SCHEMA).parquet(f"{folder}/out")
 
 
+def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The image of the folded log, and whether that of a restored fold is the same."""
+    applied, table = _applied(spark, sf_dir), commands.sessions(fixtures.commands(spark, sf_dir))
+    once = commands.image(commands.fold(applied)[1], table)
+    half = commands.fold(applied.where("log_index <= 300"))[1]
+    again = commands.image(commands.fold(applied.where("log_index > 300"), half)[1], table.repartition(3))
+    both = once.unionByName(again)
+    return both.agg(F.max("keys").alias("keys"), F.max("sessions").alias("sessions"), (F.count_distinct("keys", "kv_hash", "sessions", "session_hash") == 1).alias("same"))
+
+
 QUERIES = {
     # CM1, CM2, CM11, D10
     "cmd_dedup_status": lambda s, d: commands.statuses(fixtures.commands(s, d)).select("log_index", "session_id", "client_seq", "status"),
@@ -75,6 +85,7 @@ QUERIES = {
     "cmd_progress": lambda s, d: commands.progress(fixtures.replicas(s, d)),
     # CM8, CM9: the log folded in two parts, the second from the first one's image
     "cmd_restored_state": lambda s, d: commands.fold(_applied(s, d).where("log_index > 4000"), commands.fold(_applied(s, d).where("log_index <= 4000"))[1])[1],
+    "state_image": lambda s, d: _images(s, d),
     # RD1-RD5
     "read_stale": _read("stale"),
     "read_lease": _read("lease"),
@@ -120,6 +131,7 @@ ORACLE_SQL = {
     "cmd_cas_results": f"WITH RECURSIVE {fixtures.COMMANDS}, {_FOLD} SELECT * FROM res",
     "cmd_final_state": f"WITH RECURSIVE {fixtures.COMMANDS}, {_FOLD} {_STATE}",
     "cmd_restored_state": f"WITH RECURSIVE {fixtures.COMMANDS}, {_FOLD} {_STATE}",
+    "state_image": f"WITH RECURSIVE {fixtures.COMMANDS}, {_FOLD} SELECT (SELECT count(*) FROM ({_STATE})) AS keys, (SELECT count(DISTINCT session_id) FROM commands WHERE session_id <> 0) AS sessions, true AS same",
     "cmd_responses": f"""WITH RECURSIVE {fixtures.COMMANDS}, {_FOLD}, fin AS (SELECT st.log_index, st.session_id, st.client_seq, st.status, res.result, res.success, res.actual FROM st JOIN res ON res.log_index = st.log_index)
   SELECT log_index, status, result, success, actual, NULL AS error FROM fin
   UNION ALL SELECT d.log_index, d.status, f.result, f.success, f.actual, NULL FROM st d LEFT JOIN fin f ON f.session_id = d.session_id AND f.client_seq = d.client_seq AND f.session_id <> 0 WHERE d.status = 'duplicate'

@@ -83,6 +83,7 @@ QUERIES = {
     # DL1-DL3, SC19, SC21, SC30
     "wal_valid_prefix": lambda s, d: maintenance.valid_prefix(_frames(s, d)).select("frame", "first_seq", F.size("ops").alias("n")),
     "wal_recover": lambda s, d: mvcc.position(maintenance.recover(_log(s, d).where("seq <= 300"), _frames(s, d))).transform(_text),
+    "wal_framing": lambda s, d: maintenance.framed(_log(s, d).select("seq", F.col("key").alias("data"), F.when(F.col("seq") % 50 == 0, 17).otherwise(16).alias("length"), F.when(F.col("seq") % 77 == 0, 0).otherwise(F.crc32("key")).alias("crc"))).groupBy("valid").agg(F.count(F.lit(1)).alias("n")),
     "manifest_choice": lambda s, d: maintenance.first_valid(s.sql("SELECT * FROM VALUES (1, false, 'main'), (2, true, 'temporary'), (3, true, 'older') AS t(place, valid, name)")),
     # DL5, SC17
     "block_checksums": lambda s, d: maintenance.with_checksum(_log(s, d).select("seq", F.col("key").alias("data"), F.when(F.col("seq") % 97 == 0, 0).otherwise(F.crc32("key")).alias("crc"))).groupBy("intact").agg(F.count(F.lit(1)).alias("n")),
@@ -124,6 +125,7 @@ _SQL = {
   SELECT k.*, t."table" FROM k JOIN t ON t.key = k.key""",
     "wal_valid_prefix": "f AS (SELECT (seq - 1) // 10 AS frame, min(seq) AS first_seq, CAST(count(*) AS INT) AS n FROM log GROUP BY (seq - 1) // 10) SELECT * FROM f WHERE frame < 70",
     "wal_recover": "r AS (SELECT * FROM log WHERE seq <= 700) SELECT max(seq) AS last_seq, count(*) AS versions, CAST(sum(strlen(key) + coalesce(strlen(value), 0) + 24) AS BIGINT) AS bytes, min(key) AS min_key, max(key) AS max_key FROM r",
+    "wal_framing": "x AS (SELECT 1) SELECT seq % 50 <> 0 AND seq % 77 <> 0 AS valid, count(*) AS n FROM log GROUP BY 1",
     "manifest_choice": "x AS (SELECT 1) SELECT 2 AS place, true AS valid, 'temporary' AS name",
     "block_checksums": "x AS (SELECT 1) SELECT seq % 97 <> 0 AS intact, count(*) AS n FROM log GROUP BY 1",
 }
