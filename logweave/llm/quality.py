@@ -1,7 +1,7 @@
 """Quality rules: a hashed word and character n-gram logistic regression with calibrated probabilities.
 
-The model is fitted on a bounded sample of labelled rows (`sample_rows`, the smallest hashes of doc_id), four
-fifths of it for the weights and the rest for Platt scaling. Documents are scored in Arrow batches against one
+The model is fitted on a bounded sample of labelled rows (`sample_rows`, the smallest hashes of doc_id; those that
+pass the base rule), four fifths of it for the weights and the rest for Platt scaling. Documents are scored in Arrow batches against one
 fixed threshold; there is no shuffle of texts.
 
 Null or empty texts have no words, so they fail the base rule. Rows with a null label are not used. Without
@@ -118,20 +118,21 @@ def score(model: Model, column: pa.Array) -> dict[str, np.ndarray]:
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slots and scaled mean counts of each labelled text."""
+    """Slots and scaled mean counts of each labelled text that passes the base rule."""
     for batch in batches:
-        slots_out, values_out = [], []
-        for _, _, buf, offsets in tx.chunks(batch["text"]):
-            starts, ends, at = tx.segments(buf, offsets, tx.SPACE)
-            words = tx.segment_hashes(buf, starts, ends)
+        rows, slots_out, values_out = [], [], []
+        for first, _, buf, offsets in tx.chunks(batch["text"]):
+            counts, words, at = base_counts(buf, offsets)
             families = list(_grams(buf, offsets, words, at))
-            for i in range(len(offsets) - 1):
+            for i in np.flatnonzero(~counts["base_failed"]).tolist():
+                rows.append(first + i)
                 slots = np.concatenate([s[lo[i] : hi[i]] for s, lo, hi in families])
                 share = np.concatenate([np.full(hi[i] - lo[i], _SCALE / max(1, hi[i] - lo[i]), dtype=np.float32) for _, lo, hi in families])
                 kinds, inverse = np.unique(slots, return_inverse=True)
                 slots_out.append(kinds.astype(np.int32).tobytes())
                 values_out.append(np.bincount(inverse, weights=share, minlength=len(kinds)).astype(np.float32).tobytes())
-        yield pa.record_batch([batch["doc_id"], batch["label"], pa.array(slots_out, pa.binary()), pa.array(values_out, pa.binary())], names=["doc_id", "label", "slots", "vals"])
+        passed = batch.take(pa.array(rows, pa.int64()))
+        yield pa.record_batch([passed["doc_id"], passed["label"], pa.array(slots_out, pa.binary()), pa.array(values_out, pa.binary())], names=["doc_id", "label", "slots", "vals"])
 
 
 def _descend(rows: np.ndarray, slots: np.ndarray, values: np.ndarray, y: np.ndarray, steps: int = 80, decay: float = 1e-5) -> tuple[np.ndarray, float]:
@@ -155,12 +156,22 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and shift of the calibrated probability, by Newton's method with Platt's smoothed targets."""
     good, bad = (y > 0).sum(), (y <= 0).sum()
     target = np.where(y > 0, (good + 1) / (good + 2), 1 / (bad + 2))
-    x = np.stack([z, np.ones(len(z))])
-    beta = np.array([1.0, 0.0])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(beta @ x, -40, 40)))
-        hessian = (x * (p * (1 - p) + 1e-9)) @ x.T + 1e-3 * np.eye(2)
-        beta = beta - np.clip(np.linalg.solve(hessian, x @ (p - target) + 1e-3 * (beta - [1.0, 0.0])), -2, 2)
+    x, beta = np.stack([z, np.ones(len(z))]), np.array([1.0, 0.0])
+
+    def loss(b: np.ndarray) -> float:
+        t = np.clip(b @ x, -500, 500)
+        return float((np.logaddexp(0, t) - target * t).sum())
+
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(beta @ x, -500, 500)))
+        step = np.linalg.solve((x * (p * (1 - p))) @ x.T + 1e-6 * np.eye(2), x @ (p - target))
+        scale = 1.0
+        while scale > 1e-6 and loss(beta - scale * step) > loss(beta):
+            scale /= 2
+        beta = beta - scale * step
+        if np.abs(scale * step).max() < 1e-8:
+            break
+    # a falling curve would mean that the held-out rows contradict the model: then all get nearly the same
     return float(max(beta[0], 1e-3)), float(beta[1])
 
 
