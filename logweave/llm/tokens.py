@@ -44,6 +44,8 @@ END = 50256
 LENGTH, ROUNDS = 512, 6
 #: Numbers in the range of a shard; about two fifths of them are sequences.
 PER_SHARD = 1 << 17
+#: Tasks that write shards, at most; each writes a run of neighbouring ones.
+MAX_WRITERS = 1 << 14
 KEY = 0x5EED
 #: doc_id, number of the sequence in its document, number of ids that count.
 HEAD = "<qII"
@@ -166,7 +168,9 @@ def materialise(documents: DataFrame, folder: str | None = None, key: int = KEY,
     folder = folder or new_folder(spark, "tokens")
     parts = number_ranges(documents)
     shards = max(1, -(-sum(x for x, _ in parts.values()) // PER_SHARD))
-    sent = sequences(documents, parts, key, vocabulary).repartitionById(shards, F.col("shard")).sortWithinPartitions("place")
+    writers = min(shards, MAX_WRITERS)
+    writer = F.floor(F.col("shard").cast("long") * writers / shards).cast("int")
+    sent = sequences(documents, parts, key, vocabulary).repartitionById(writers, writer).sortWithinPartitions("place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()

@@ -203,6 +203,18 @@ def test_licences_templates(spark):
 # ---- 5 token output
 
 
+def test_tokens_in_many_shards(spark, sf, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokens, "MAX_WRITERS", 3)
+    monkeypatch.setattr(tokens, "PER_SHARD", 100)
+    df, folder = documents(spark, sf), f"file://{tmp_path}/tokens"
+    index = tokens.materialise(df, folder).toPandas().sort_values("slot")
+    assert index["shard"].nunique() > 3 and (index["shard"].diff().dropna() >= 0).all()
+    got = list(tokens.read(folder))
+    assert [x[0] for x in got] == index["slot"].tolist() == list(range(len(index)))
+    assert [zlib.crc32(x[3].tobytes()) for x in got] == index["token_crc32"].tolist()
+    assert sorted(map(tuple, index[["doc_id", "seq"]].values.tolist())) == sorted((x[1], x[2]) for x in got)
+
+
 def test_tokens_round_trip(spark, sf, tmp_path):
     tok = tokens.tokenizer()
     for k, df in enumerate((documents(spark, sf), awkward(spark), empty(spark))):
