@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logweave.plans import bench, cmd, kv, raft
+from logweave.plans import bench, cmd, consensus, kv
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = kv.QUERIES | cmd.QUERIES | raft.QUERIES | bench.QUERIES
-ORACLE_SQL: dict[str, str] = kv.ORACLE_SQL | cmd.ORACLE_SQL | raft.ORACLE_SQL | bench.ORACLE_SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = kv.QUERIES | cmd.QUERIES | consensus.QUERIES | bench.QUERIES
+ORACLE_SQL: dict[str, str] = kv.ORACLE_SQL | cmd.ORACLE_SQL | consensus.ORACLE_SQL | bench.ORACLE_SQL

@@ -109,3 +109,16 @@ def test_store(spark, tmp_path):
     assert rows(store.scan()) == [("a", "4")]
     small = store.compact(f"{tmp_path}/small", [pin], 2)
     assert rows(small.scan(snapshot=pin)) == [("a", "3"), ("b", "2")] and rows(small.scan()) == [("a", "4")]
+
+
+def test_scan_plan_pushes_bounds_and_limits_groups(spark, tmp_path):
+    spark.conf.set("spark.sql.maxMetadataStringLength", 5000)
+    mvcc.literal_log(spark, [(f"k{i % 50:03d}", i + 1, str(i)) for i in range(500)]).write.parquet(f"{tmp_path}/log")
+    log = Store(spark, f"{tmp_path}/log").log()
+    plan = mvcc.scan(log, b"k010", b"k020", 5, 400)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and plan.count("WindowGroupLimit") >= 2
+    assert "LessThanOrEqual(seq,400)" in plan and "GreaterThanOrEqual(key" in plan and "LessThan(key" in plan
+    kept = mvcc.collect_garbage(log, 300)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(seq,300)" in kept and "LessThanOrEqual(seq,300)" in kept and "WindowGroupLimit" in kept
+    keys = mvcc.visible(log).select("key")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<key:binary,seq:bigint>" in keys
