@@ -125,19 +125,19 @@ def _children(rows: DataFrame, level: int) -> DataFrame:
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """(key, digest, n, size, total): the buckets of all runs that are to be brute-forced, each with two classes at
+    """(key, digest, size, total): the buckets of all runs that are to be brute-forced, each with two classes at
     least; total counts their shingles."""
     runs = F.explode(F.array(*[F.struct(F.lit(r).alias("run"), F.element_at("tokens", r + 1).alias("token")) for r in range(RUNS)]))
     rows = classes.select("digest", "n", runs.alias("x")).select("digest", "n", F.xxhash64("x.run", "x.token").alias("key"))
     done, level = [], 0
     while True:
         sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total")).where("size > 1")
-        sized = stored(rows.join(sizes, "key").select("key", "digest", "n", "size", "total"), f"jaccard-level{level}")
+        sized = stored(rows.join(sizes, "key").select("key", "digest", "size", "total"), f"jaccard-level{level}")
         level += 1
         large = sized.where(F.col("size") > SMALL)
         if level == DEPTH or large.isEmpty():
             return reduce(DataFrame.unionByName, [*done, sized])
-        children = stored(_children(large.join(classes.select("digest", "tokens"), "digest"), level), f"jaccard-children{level}")
+        children = stored(_children(large.join(classes.select("digest", "n", "tokens"), "digest"), level), f"jaccard-children{level}")
         counts = children.groupBy("parent", "branch", "key").agg(F.count(F.lit(1)).alias("k"))
         whole = counts.groupBy("parent").agg(F.max("k").alias("most")).join(large.select(F.col("key").alias("parent"), "size").distinct(), "parent").where("2 * most > size").select("parent")
         done += [sized.where(F.col("size") <= SMALL), large.join(whole.withColumnRenamed("parent", "key"), "key", "left_semi")]
@@ -294,7 +294,7 @@ def links(documents: DataFrame, classes: DataFrame) -> DataFrame:
     """(digest, links, root): a class's links in each tile, and the smallest class of the tile it is connected to."""
     found = buckets(classes)
     names = found.groupBy("digest").agg(F.array_sort(F.collect_list("key")).alias("names"))  # at most RUNS * BRANCHES ** (DEPTH - 1)
-    described = classes.join(names, "digest").select("digest", "copies", "tokens", "names")
+    described = classes.join(names, "digest").select("digest", "n", "copies", "tokens", "names")
     members = tiles(found.join(described, "digest")).select(*[x.split()[0] for x in _CARRIED.split(", ")])
     maybe = stored(_by_tile(members).mapInArrow(_candidates, _CARRIED), "jaccard-candidates")
     wanted = classes.join(maybe.select("digest").distinct(), "digest", "left_semi").select("rid")
