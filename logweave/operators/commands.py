@@ -15,13 +15,17 @@ RUN = 1 << 16
 
 
 def statuses(commands: DataFrame) -> DataFrame:
-    """commands with status: applied, duplicate (the last number again) or stale (a smaller one); session 0 is exempt."""
+    """commands with status: applied, duplicate (the last number again) or stale (a smaller one); session 0 is exempt.
+    answer_index is the log index whose result answers the command; null for a stale one."""
     # session 0 has no order to keep, so its rows are spread
     lane = F.when(F.col("session_id") == 0, F.pmod(F.xxhash64("log_index"), F.lit(1024))).otherwise(0)
     before = Window.partitionBy("session_id", lane).orderBy("log_index").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.when(F.col("session_id") != 0, F.max("client_seq").over(before))
+    # the largest number so far, and where it came first
+    known = commands.withColumn("_last", F.when(F.col("session_id") != 0, F.max(F.struct("client_seq", (-F.col("log_index")).alias("i"))).over(before)))
+    last = F.col("_last.client_seq")
     status = F.when(last.isNull() | (F.col("client_seq") > last), "applied").when(F.col("client_seq") == last, "duplicate").otherwise("stale")
-    return commands.withColumn("status", status)
+    answer = F.when(F.col("status") == "applied", F.col("log_index")).when(F.col("status") == "duplicate", -F.col("_last.i"))
+    return known.withColumn("status", status).withColumn("answer_index", answer).drop("_last")
 
 
 def validated(commands: DataFrame) -> DataFrame:
@@ -73,12 +77,9 @@ def apply(commands: DataFrame, base: DataFrame | None = None) -> tuple[DataFrame
     and the final state."""
     marked = statuses(commands)
     results, state = fold(marked.where("status = 'applied'"), base)
-    mine = marked.where("status = 'applied'").join(results, "log_index")
-    first = mine.select("session_id", "client_seq", F.col("result").alias("result"), "success", "actual").where("session_id != 0")
-    repeated = marked.where("status = 'duplicate'").join(first, ["session_id", "client_seq"], "left")
-    stale = marked.where("status = 'stale'").select("log_index", "session_id", "client_seq", "status", F.lit("stale").alias("result"), F.lit(None).cast("boolean").alias("success"), F.lit(None).cast("string").alias("actual"))
-    columns = ["log_index", "session_id", "client_seq", "status", "result", "success", "actual"]
-    return mine.select(*columns).unionByName(repeated.select(*columns)).unionByName(stale), state
+    answers = results.withColumnRenamed("log_index", "answer_index")
+    joined = marked.select("log_index", "session_id", "client_seq", "status", "answer_index").join(answers, "answer_index", "left")
+    return joined.select("log_index", "session_id", "client_seq", "status", F.coalesce("result", F.lit("stale")).alias("result"), "success", "actual"), state
 
 
 def responses(results: DataFrame) -> DataFrame:
@@ -88,9 +89,7 @@ def responses(results: DataFrame) -> DataFrame:
 
 def cached(commands: DataFrame) -> DataFrame:
     """Each duplicate with the log index of the command whose result it gets."""
-    marked = statuses(commands)
-    first = marked.where("status = 'applied' and session_id != 0").select("session_id", "client_seq", F.col("log_index").alias("first_index"))
-    return marked.where("status = 'duplicate'").join(first, ["session_id", "client_seq"]).where("first_index < log_index").select("log_index", "session_id", "client_seq", "first_index")
+    return statuses(commands).where("status = 'duplicate'").select("log_index", "session_id", "client_seq", F.col("answer_index").alias("first_index"))
 
 
 def sessions(commands: DataFrame) -> DataFrame:
