@@ -56,6 +56,22 @@ def recover(tables: DataFrame, frames: DataFrame) -> DataFrame:
     return mvcc.merge(tables, replay(frames))
 
 
+# The log store's keys. Entries are `e/` and a big-endian index; `0` is the byte after `/`.
+ENTRY_PREFIX, ENTRY_END, HARD_STATE_KEY, SNAPSHOT_KEY = b"e/", b"e0", b"m/hs", b"m/snap"
+
+
+def entry_key(index: Column) -> Column:
+    """The key of a log entry; byte order is index order."""
+    return F.concat(F.lit(ENTRY_PREFIX), F.unhex(F.lpad(F.hex(index), 16, "0")))
+
+
+def stored_entries(log: DataFrame, snapshot: int | None = None) -> DataFrame:
+    """(index, value) of the log entries in a store that keeps other keys, too: a range scan of their prefix."""
+    rows = mvcc.live(mvcc.visible(mvcc.in_range(log, ENTRY_PREFIX, ENTRY_END), snapshot))
+    index = F.conv(F.hex(F.substring("key", len(ENTRY_PREFIX) + 1, 8)), 16, -10).cast("bigint")
+    return rows.select(index.alias("index"), "value")
+
+
 def first_valid(candidates: DataFrame) -> DataFrame:
     """The first valid of an ordered list of manifest candidates (place, valid, ...)."""
     return candidates.where("valid").orderBy("place").limit(1)

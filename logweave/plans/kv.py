@@ -40,6 +40,15 @@ def _visible_sql(bound: str = "", keys: str = "") -> str:
 
 _RANGE = f"key >= '{START}' AND key < '{END}'"
 _STATUS = "CASE WHEN v.key IS NULL THEN 'missing' WHEN v.value IS NULL THEN 'tombstone' ELSE 'live' END AS status, v.value"
+def _entry_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log entries under their keys, a tenth of them overwritten later, and the two metadata keys."""
+    e = fixtures.events(spark, sf_dir)
+    first = e.select(maintenance.entry_key(F.col("event_id") + 1).alias("key"), (F.col("event_id") + 1).alias("seq"), F.col("event_type").cast("binary").alias("value"))
+    again = e.where("event_id % 10 = 0").select(maintenance.entry_key(F.col("event_id") + 1).alias("key"), (F.col("event_id") + 10_000_000).alias("seq"), F.when(F.col("event_id") % 20 == 0, F.lit("replaced").cast("binary")).alias("value"))
+    meta = spark.range(2).select(F.when(F.col("id") == 0, F.lit(maintenance.HARD_STATE_KEY)).otherwise(F.lit(maintenance.SNAPSHOT_KEY)).alias("key"), (F.col("id") + 90_000_000).alias("seq"), F.lit(b"x").alias("value"))
+    return first.unionByName(again).unionByName(meta)
+
+
 _PINS = "SELECT * FROM VALUES (4000L), (7500L) AS t(seq)"
 HORIZON = 4000
 
@@ -83,6 +92,7 @@ QUERIES = {
     # DL1-DL3, SC19, SC21, SC30
     "wal_valid_prefix": lambda s, d: maintenance.valid_prefix(_frames(s, d)).select("frame", "first_seq", F.size("ops").alias("n")),
     "wal_recover": lambda s, d: mvcc.position(maintenance.recover(_log(s, d).where("seq <= 300"), _frames(s, d))).transform(_text),
+    "logstore_entries": lambda s, d: _text(maintenance.stored_entries(_entry_store(s, d))),
     "wal_framing": lambda s, d: maintenance.framed(_log(s, d).select("seq", F.col("key").alias("data"), F.when(F.col("seq") % 50 == 0, 17).otherwise(16).alias("length"), F.when(F.col("seq") % 77 == 0, 0).otherwise(F.crc32("key")).alias("crc"))).groupBy("valid").agg(F.count(F.lit(1)).alias("n")),
     "manifest_choice": lambda s, d: maintenance.first_valid(s.sql("SELECT * FROM VALUES (1, false, 'main'), (2, true, 'temporary'), (3, true, 'older') AS t(place, valid, name)")),
     # DL5, SC17
@@ -125,6 +135,7 @@ _SQL = {
   SELECT k.*, t."table" FROM k JOIN t ON t.key = k.key""",
     "wal_valid_prefix": "f AS (SELECT (seq - 1) // 10 AS frame, min(seq) AS first_seq, CAST(count(*) AS INT) AS n FROM log GROUP BY (seq - 1) // 10) SELECT * FROM f WHERE frame < 70",
     "wal_recover": "r AS (SELECT * FROM log WHERE seq <= 700) SELECT max(seq) AS last_seq, count(*) AS versions, CAST(sum(strlen(key) + coalesce(strlen(value), 0) + 24) AS BIGINT) AS bytes, min(key) AS min_key, max(key) AS max_key FROM r",
+    "logstore_entries": "x AS (SELECT 1) SELECT event_id + 1 AS index, CASE WHEN event_id % 20 = 0 THEN 'replaced' ELSE event_type END AS value FROM events WHERE event_id % 10 <> 0 OR event_id % 20 = 0",
     "wal_framing": "x AS (SELECT 1) SELECT seq % 50 <> 0 AND seq % 77 <> 0 AS valid, count(*) AS n FROM log GROUP BY 1",
     "manifest_choice": "x AS (SELECT 1) SELECT 2 AS place, true AS valid, 'temporary' AS name",
     "block_checksums": "x AS (SELECT 1) SELECT seq % 97 <> 0 AS intact, count(*) AS n FROM log GROUP BY 1",

@@ -2,6 +2,7 @@ import random
 
 from logweave.api import Store
 from logweave.operators import maintenance, mvcc
+from logweave.sources import fixtures
 
 
 def rows(df):
@@ -122,3 +123,8 @@ def test_scan_plan_pushes_bounds_and_limits_groups(spark, tmp_path):
     assert "GreaterThan(seq,300)" in kept and "LessThanOrEqual(seq,300)" in kept and "WindowGroupLimit" in kept
     keys = mvcc.visible(log).select("key")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<key:binary,seq:bigint>" in keys
+
+
+def test_regression_seeds(spark, tmp_path):
+    (tmp_path / "seeds.txt").write_text("# seeds\n\n6 # first\n  19519\n")
+    assert sorted(r["seed"] for r in fixtures.seeds(spark, f"{tmp_path}/seeds.txt").collect()) == [6, 19519]
