@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.llm import text as tx
-from logweave.llm.session import partitions, stored
+from logweave.llm.session import partitions, scratch, stored
 
 SHINGLE, SIMILARITY = 5, 0.8
 TOKENS, RUNS, SMALL, DEPTH, BRANCHES = 64, 10, 128, 3, 2
@@ -321,6 +321,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 def classify(documents: DataFrame) -> DataFrame:
     """(doc_id, rid, text_hash, label, n_links) of every document; label names its component, null without words."""
+    with scratch(documents.sparkSession):
+        return stored(_classified(documents), "jaccard-rows", keep=True)
+
+
+def _classified(documents: DataFrame) -> DataFrame:
     described = stored(describe(documents), "jaccard-documents")
     worded = described.where("digest is not null")
     classes = stored(worded.groupBy("digest").agg(F.min("rid").alias("rid"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("copies")), "jaccard-classes")
@@ -331,7 +336,7 @@ def classify(documents: DataFrame) -> DataFrame:
     known = known.select("digest", F.coalesce("label", "digest").alias("label"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     row = ["doc_id", "rid", "text_hash", "label", "n_links"]
     alone = described.where("digest is null").select("doc_id", "rid", "text_hash", F.lit(None).cast("binary").alias("label"), F.lit(0).cast("long").alias("n_links"))
-    return stored(worded.select("doc_id", "rid", "text_hash", "digest").join(known, "digest").select(*row).unionByName(alone), "jaccard-rows")
+    return worded.select("doc_id", "rid", "text_hash", "digest").join(known, "digest").select(*row).unionByName(alone)
 
 
 def join(documents: DataFrame) -> DataFrame:

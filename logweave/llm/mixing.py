@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweave.llm.session import stored
+from logweave.llm.session import scratch, stored
 
 WEIGHTS = (5, 2, 1)
 BUDGET_PERCENT, MAX_PASSES, BLOCK_TOKENS = 150, 2, 2048
@@ -133,10 +133,12 @@ def apply(documents: DataFrame) -> DataFrame:
     Equal rows (same doc_id, source and text) share out the copies that fall to them."""
     text = F.coalesce("text", F.lit(""))
     key = F.struct("doc_id", "source", F.xxhash64(text), F.crc32(text))
-    narrow = stored(documents.select("doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64(key).alias("id")), "mix-sizes")
-    placed, _ = place(narrow, ["id"])
-    copies = sum((F.col("start") + F.col("source_size") * p < F.col("stop")).cast("int") for p in range(MAX_PASSES))
-    taken = placed.where("size > 0").groupBy("id").agg(F.sum(copies).alias("copies"), F.count(F.lit(1)).alias("rows")).where("copies > 0")
+    with scratch(documents.sparkSession):
+        narrow = stored(documents.select("doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64(key).alias("id")), "mix-sizes")
+        placed, _ = place(narrow, ["id"])
+        copies = sum((F.col("start") + F.col("source_size") * p < F.col("stop")).cast("int") for p in range(MAX_PASSES))
+        taken = placed.where("size > 0").groupBy("id").agg(F.sum(copies).alias("copies"), F.count(F.lit(1)).alias("rows"))
+        taken = stored(taken.where("copies > 0"), "mix-copies", keep=True)
     # the wide rows keep their own columns apart, so that no name can clash
     wide = documents.select(F.struct("*").alias("row"), F.xxhash64(key).alias("id"))
     no = F.row_number().over(Window.partitionBy("id").orderBy("id")) - 1
