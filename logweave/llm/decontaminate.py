@@ -1,7 +1,8 @@
 """Benchmark decontamination: SimHash over item-sized windows, multi-index Hamming search, exact verification.
 
 Each item has a 128-bit SimHash of its word shingles (five words; all words of a shorter item), weighted by their
-IDF over the items. Documents are read in windows of as many words as an item has. The eight 16-bit blocks of the
+IDF over the items. Documents are read in windows of as many words as an item has; a document shorter than an item is
+one window, compared as a whole. The eight 16-bit blocks of the
 items' fingerprints are indexed with all values at up to three flipped bits, so that a window within Hamming
 distance 31 of an item agrees in at least one block. Candidates are then compared exactly: the weighted multiset
 Jaccard similarity of the shingles must be 0.8 or more.
@@ -101,8 +102,9 @@ class Index:
     def _weight(self, df: int) -> int:
         return max(1, round(1000 * math.log(1 + len(self.bags) / df)))
 
-    def near(self, prints: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All (window, item, distance) within RADIUS, for windows of one size."""
+    def near(self, prints: np.ndarray, size: int | np.ndarray, clipped: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All (window, item, distance) within RADIUS: items of the windows' size, or longer ones if they are clipped."""
+        size = np.broadcast_to(size, len(prints))
         windows, items = [], []
         for b in range(BLOCKS):
             at, entries = self.tables[b]
@@ -110,7 +112,7 @@ class Index:
             lo, count = at[value], at[value + 1] - at[value]
             w = np.repeat(np.arange(len(prints)), count)
             e = entries[np.repeat(lo - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(len(w))]
-            ok = self.size_of[e] == size
+            ok = self.size_of[e] > size[w] if clipped else self.size_of[e] == size[w]
             windows.append(w[ok])
             items.append(e[ok])
         pair = np.unique(np.concatenate(windows).astype(np.int64) * len(self.ids) + np.concatenate(items))
@@ -131,10 +133,13 @@ class Index:
         best: dict[tuple[int, int], tuple[float, int, int, int]] = {}
         rows = tx.row_of(at)
         for n, lookup in self.any.items():
-            grams, first, _ = tx.ngrams(words, at, n)
+            grams, first, gram_at = tx.ngrams(words, at, n)
             hits, _ = lookup.find(grams)
             if not len(hits):
                 continue
+            if n == SHINGLE:
+                short = np.unique(rows[first[hits]])
+                self._clipped(grams, gram_at, short[np.diff(at)[short] < self.size_of.max()], at, best)
             for size, own in self.by_size.items():
                 if min(SHINGLE, size) != n:
                     continue
@@ -154,12 +159,29 @@ class Index:
                         self._run(grams, int(np.searchsorted(first, a2)), a2, b2, size, n, at, rows, best)
         return best
 
-    def _run(self, grams, g, a, b, size, n, at, rows, best) -> None:
-        part = grams[g : g + (b - a) + size - n + 1]
+    def _sums(self, part: np.ndarray) -> np.ndarray:
+        """Running sums of the weighted signs."""
         key = np.minimum(np.searchsorted(self.keys, part), len(self.keys) - 1)
         weight = np.where(self.keys[key] == part, self.key_weights[key], self.other)
         sums = np.zeros((len(part) + 1, 128), dtype=np.int64)
         np.cumsum(signs(part) * weight[:, None], axis=0, out=sums[1:])
+        return sums
+
+    def _clipped(self, grams, gram_at, docs, at, best) -> None:
+        """Whole documents against all items that are longer."""
+        turn = np.cumsum(gram_at[docs + 1] - gram_at[docs]) // 4096
+        for some in np.split(docs, np.flatnonzero(np.diff(turn)) + 1) if len(docs) else []:
+            parts = [grams[gram_at[d] : gram_at[d + 1]] for d in some]
+            size = at[some + 1] - at[some]
+            w, e, distance = self.near(packed(np.stack([self._sums(part)[-1] for part in parts])), size, clipped=True)
+            for i, item, d in zip(w.tolist(), e.tolist(), distance.tolist()):
+                s = self.similarity(parts[i], item)
+                if s >= SIMILARITY:
+                    best[int(some[i]), item] = (s, 0, int(size[i]), d)
+
+    def _run(self, grams, g, a, b, size, n, at, rows, best) -> None:
+        part = grams[g : g + (b - a) + size - n + 1]
+        sums = self._sums(part)
         span = size - n + 1
         w, e, distance = self.near(packed(sums[span:] - sums[:-span]), size)
         for i, item, d in zip(w.tolist(), e.tolist(), distance.tolist()):
@@ -218,7 +240,9 @@ def _leaks(documents: DataFrame, items: Broadcast) -> DataFrame:
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document row and item that it has a window of: the most similar window, the first of equals."""
+    """One row per document row and item that it has a window of: the most similar window, the first of equals.
+
+    n_words are the window's: fewer than the item's if the document is shorter than the item."""
     return reduce(DataFrame.unionAll, [_leaks(documents, b) for b in item_blocks(benchmark)])
 
 

@@ -338,6 +338,21 @@ def test_decontamination_finds_all_similar_windows():
     assert set(found) - {(r, i) for r, i, _, _ in planted} == {(len(texts) - 1, 102)}
 
 
+def test_decontamination_finds_cut_items_that_stand_alone():
+    rng = random.Random(6)
+    items = [(i, sentence(rng, rng.choice([12, 30, 50, 300]), 10**6)) for i in range(40)]
+    cuts = [(a, b) for a in range(4) for b in range(4)] + [(10, 10)]
+    cases = [(i, w[a : len(w) - b]) for i, t in items for a, b in cuts if len((w := t.split())[a : len(w) - b]) > 0]
+    texts = [" ".join(v) for _, v in cases] + ["nothing of any item stands here", None, ""]
+    found = {(x[0], x[1]): x for x in decontaminate.Index(items).search(pa.array(texts, pa.string()))}
+    # all shingles of the items stand in one item each, so they weigh the same
+    want = {(row, i): (len(v) - 4) / (len(items[i][1].split()) - 4) for row, (i, v) in enumerate(cases)}
+    want = {k: s for k, s in want.items() if s >= 0.8}
+    assert found.keys() == want.keys() and len(want) > 200
+    for (row, i), s in want.items():
+        assert found[row, i][2:4] == (0, len(cases[row][1])) and found[row, i][5] == pytest.approx(s)
+
+
 def test_decontamination_frames(spark, sf):
     docs, bench = documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet")
     items = [(r["item_id"], r["text"]) for r in bench.collect()]
