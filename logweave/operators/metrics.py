@@ -39,9 +39,11 @@ def counter_rate(readings: DataFrame) -> DataFrame:
 
 
 def failover(trials: DataFrame) -> DataFrame:
-    """trials (millis) to smallest, lower median and largest; there are few trials."""
-    s = trials.agg(F.array_sort(F.collect_list("millis")).alias("s"))
-    return s.select(F.element_at("s", 1).alias("min_ms"), F.element_at("s", F.floor((F.size("s") + 1) / 2).cast("int")).alias("median_ms"), F.element_at("s", -1).alias("max_ms"))
+    """trials (millis) to smallest, lower median and largest, from counts of equal values; nulls if there are none."""
+    counts = trials.where("millis is not null").groupBy("millis").agg(F.count(F.lit(1)).alias("k"))
+    ranked = counts.select("millis", F.sum("k").over(Window.orderBy("millis")).alias("upto"), F.sum("k").over(Window.partitionBy()).alias("total"))
+    median = F.min(F.when(F.col("upto") >= F.floor((F.col("total") + 1) / 2), F.col("millis")))
+    return ranked.agg(F.min("millis").alias("min_ms"), median.alias("median_ms"), F.max("millis").alias("max_ms"))
 
 
 def mean(samples: DataFrame) -> DataFrame:

@@ -57,6 +57,16 @@ def test_nearest_rank_percentiles(spark):
     assert metrics.mean(samples.where("micros < 0")).first()[0] == 0.0
 
 
+def test_failover_from_counts(spark):
+    rng = random.Random(3)
+    for n in (1, 2, 3, 10, 5000):
+        millis = sorted(rng.randrange(1 + n // 3) for _ in range(n))
+        out = metrics.failover(spark.createDataFrame([(x,) for x in [*millis, None]], "millis bigint"))
+        assert tuple(out.first()) == (millis[0], millis[(n + 1) // 2 - 1], millis[-1])
+        assert "collect_list" not in out._jdf.queryExecution().toString()
+    assert tuple(metrics.failover(spark.createDataFrame([], "millis bigint")).first()) == (None, None, None)
+
+
 def op(invoke, ret, kind, value=None, expect=None, new=None, success=None):
     return {"invoke": invoke, "ret": ret, "op": kind, "value": value, "expect": expect, "new": new, "success": success}
 
