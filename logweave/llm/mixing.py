@@ -127,21 +127,29 @@ def mix(documents: DataFrame) -> DataFrame:
     return taken.unionByName(rest).select("doc_id", "size", "source_size", "target", "taken", "source", "first_slot")
 
 
+def whole(placed: DataFrame, sources: DataFrame, more: list[str], max_passes: int = MAX_PASSES, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """The mix in whole documents: the copies (`more`, rank, block, from) that it takes, with the slots of the blocks in
+    which they start. The document across a source's stop is taken if that ends no further from the stop than without."""
+    passes = F.explode(F.sequence(F.lit(0), F.lit(max_passes - 1)))
+    p = placed.where("size > 0").withColumn("pass", passes).withColumn("from", F.col("start") + F.col("pass") * F.col("source_size"))
+    p = p.where(2 * F.col("from") + F.col("size") <= 2 * F.col("stop")).withColumn("block", F.floor(F.col("from") / block_tokens))
+    return p.select(*more, "rank", "block", "from").join(schedule(sources, block_tokens), ["rank", "block"], "left")
+
+
 def apply(documents: DataFrame) -> DataFrame:
-    """The documents of the mix with all their columns, each as often as a pass over its source takes its first word.
+    """The documents of the mix with all their columns, in the order of the schedule: each copy comes whole, where its
+    first word's slot is (copies in one slot as they stand in the source; those after the last slot at the end).
 
     Equal rows (same doc_id, source and text) share out the copies that fall to them."""
     text = F.coalesce("text", F.lit(""))
     key = F.struct("doc_id", "source", F.xxhash64(text), F.crc32(text))
     with scratch(documents.sparkSession):
         narrow = stored(documents.select("doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64(key).alias("id")), "mix-sizes")
-        placed, _ = place(narrow, ["id"])
-        copies = sum((F.col("start") + F.col("source_size") * p < F.col("stop")).cast("int") for p in range(MAX_PASSES))
-        taken = placed.where("size > 0").groupBy("id").agg(F.sum(copies).alias("copies"), F.count(F.lit(1)).alias("rows"))
-        taken = stored(taken.where("copies > 0"), "mix-copies", keep=True)
-    # the wide rows keep their own columns apart, so that no name can clash
+        placed, sources = place(narrow, ["id"])
+        placed = placed.withColumn("no", F.row_number().over(Window.partitionBy("id").orderBy("start")))
+        taken = stored(whole(placed, sources, ["id", "no"]), "mix-copies", keep=True)
+    # the wide rows keep their own columns apart, so that no name can clash; both sides are dealt by id
     wide = documents.select(F.struct("*").alias("row"), F.xxhash64(key).alias("id"))
-    no = F.row_number().over(Window.partitionBy("id").orderBy("id")) - 1
-    wide = wide.join(taken, "id").withColumn("no", no)
-    n = F.floor(F.col("copies") / F.col("rows")) + (F.col("no") < F.col("copies") % F.col("rows")).cast("int")
-    return wide.withColumn("n", n.cast("int")).where("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
+    wide = wide.withColumn("no", F.row_number().over(Window.partitionBy("id").orderBy("id")))
+    order = [F.col("slot").asc_nulls_last(), "rank", "from"]
+    return wide.join(taken.repartition("id"), ["id", "no"]).orderBy(*order).select("row.*")

@@ -165,6 +165,28 @@ def test_mix_apply_repeats_whole_documents(spark):
     assert abs(taken - 1.5 * sum(n * len(words(k[1])) for k, n in have.items())) < 450_000  # within the two long documents
 
 
+def test_mix_apply_interleaves_and_stops_near_the_target(spark, monkeypatch):
+    # a small source with one long document among short ones, and two sources of short documents
+    rows = [(0, "w " * 20_000, "a")] + [(i, "w " * 100, "a") for i in range(1, 11)] + [(100 + i, "w " * 100, "bc"[i % 2]) for i in range(2000)]
+    df = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    sizes = df.select("source", mixing.words(df["text"]).alias("n")).groupBy("source").agg(F.sum("n").alias("source_size"))
+    targets = mixing.targets
+    for weights in ((5, 2, 1), (1, 40, 40)):
+        monkeypatch.setattr(mixing, "targets", lambda sizes, weights=weights: targets(sizes, weights))
+        got = mixing.apply(df).collect()
+        placed = mixing.place(df.select("doc_id", "source", mixing.words(F.col("text")).alias("size")))[0].collect()
+        for s, stop in {r["source"]: r["stop"] for r in mixing.targets(sizes).collect()}.items():
+            mine = [r for r in placed if r["source"] == s]
+            ends = [r["start"] + p * r["source_size"] + d for r in mine for p in (0, 1) for d in (0, r["size"])]
+            taken = sum(len(words(r["text"])) for r in got if r["source"] == s)
+            assert abs(taken - stop) == min(abs(x - stop) for x in ends)
+    # short documents of the last run: each stretch of the output holds about the shares of the whole
+    share = Counter(r["source"] for r in got)
+    for n in range(500, len(got), 500):
+        part = Counter(r["source"] for r in got[:n])
+        assert all(abs(part[s] - n * share[s] / len(got)) < 100 for s in "bc")
+
+
 # ---- 4 licences
 
 
