@@ -9,7 +9,9 @@ Jaccard similarity of the shingles must be 0.8 or more.
 
 Windows without any shingle of an item of their size have similarity 0 and are not fingerprinted; that leaves out
 no window that the exact comparison could accept. The items are read in blocks of at most `BLOCK_ITEMS`, each
-block against all documents, so the broadcast is bounded. There is no shuffle.
+block against all documents. Weights do not depend on the blocks: if there are several, document frequencies are
+counted over all items first, and the shingles of two or more items go along with each block, 12 bytes each (all
+others have a frequency of 1). Only that count is shuffled.
 
 Null or empty texts, and items without words, match nothing. Repeated rows are reported once each; extra columns
 are not read by `leaks` and passed through by `clean`.
@@ -65,9 +67,12 @@ def packed(sums: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """The items of one block: shingles by item size, weights, and fingerprints in a multi-index."""
+    """The items of one block: shingles by item size, weights, and fingerprints in a multi-index.
 
-    def __init__(self, items: list[tuple[int, str | None]]):
+    `common` is the number of all items with words, and the shingles of two or more of them in order with their
+    document frequencies; without it, the block's items are all."""
+
+    def __init__(self, items: list[tuple[int, str | None]], common: tuple[int, np.ndarray, np.ndarray] | None = None):
         words = hashed_words([t for _, t in items])
         self.ids, self.sizes, self.bags = [], [], []
         for (item, _), w in zip(items, words):
@@ -76,10 +81,17 @@ class Index:
                 self.ids.append(item)
                 self.sizes.append(len(w))
                 self.bags.append(Counter(grams.tolist()))
-        df = Counter(g for bag in self.bags for g in bag)
-        # whole numbers, so that sums are exact in any order
+        if common is None:
+            df = Counter(g for bag in self.bags for g in bag)
+            keys = np.array(sorted(g for g, n in df.items() if n > 1), dtype=np.uint64)
+            common = len(self.bags), keys, np.array([df[g] for g in keys.tolist()], dtype=np.int32)
+        self.n_items, self.keys, counts = common
+        # whole numbers, so that sums are exact in any order; what no two items have weighs as much as the unknown
         self.other = self._weight(1)
-        self.weight = {g: self._weight(n) for g, n in df.items()}
+        known, at = np.unique(counts, return_inverse=True)
+        self.key_weights = np.array([self._weight(n) for n in known.tolist()], dtype=np.int64)[at]
+        own = np.array(sorted({g for bag in self.bags for g in bag}), dtype=np.uint64)
+        self.weight = dict(zip(own.tolist(), self._weights(own).tolist()))
         self.weights = [sum(c * self.weight[g] for g, c in bag.items()) for bag in self.bags]
         self.by_size: dict[int, Lookup] = {}
         grams_of = defaultdict(set)
@@ -88,8 +100,6 @@ class Index:
         for size, grams in grams_of.items():
             self.by_size[size] = Lookup(np.array(sorted(grams), dtype=np.uint64))
         self.any = {n: Lookup(np.unique(np.concatenate([x.keys for s, x in self.by_size.items() if min(SHINGLE, s) == n])), 20) for n in {min(SHINGLE, s) for s in self.by_size}}
-        self.keys = np.array(sorted(self.weight), dtype=np.uint64)
-        self.key_weights = np.array([self.weight[g] for g in self.keys.tolist()], dtype=np.int64)
         self.prints = np.concatenate([packed((signs(np.array(list(bag), dtype=np.uint64)) * np.array([c * self.weight[g] for g, c in bag.items()], dtype=np.int64)[:, None]).sum(axis=0, keepdims=True)) for bag in self.bags]) if self.bags else np.zeros((0, 2), dtype=np.uint64)
         self.size_of = np.array(self.sizes, dtype=np.int64)
         self.tables = []
@@ -100,7 +110,13 @@ class Index:
             self.tables.append((np.searchsorted(values[order], np.arange((1 << BLOCK_BITS) + 1)), (order // len(MASKS)).astype(np.int32)))
 
     def _weight(self, df: int) -> int:
-        return max(1, round(1000 * math.log(1 + len(self.bags) / df)))
+        return max(1, round(1000 * math.log(1 + self.n_items / df)))
+
+    def _weights(self, grams: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(grams), self.other, dtype=np.int64)
+        key = np.minimum(np.searchsorted(self.keys, grams), len(self.keys) - 1)
+        return np.where(self.keys[key] == grams, self.key_weights[key], self.other)
 
     def near(self, prints: np.ndarray, size: int | np.ndarray, clipped: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All (window, item, distance) within RADIUS: items of the windows' size, or longer ones if they are clipped."""
@@ -125,7 +141,7 @@ class Index:
         """Weighted multiset Jaccard similarity of a window's shingles and an item's."""
         bag, mine = self.bags[item], Counter(window.tolist())
         both = sum(self.weight[g] * min(c, bag[g]) for g, c in mine.items() if g in bag)
-        total = sum(self.weight.get(g, self.other) * c for g, c in mine.items())
+        total = int(self._weights(window).sum())
         return both / (total + self.weights[item] - both)
 
     def matches(self, words: np.ndarray, at: np.ndarray) -> dict[tuple[int, int], tuple[float, int, int, int]]:
@@ -161,10 +177,8 @@ class Index:
 
     def _sums(self, part: np.ndarray) -> np.ndarray:
         """Running sums of the weighted signs."""
-        key = np.minimum(np.searchsorted(self.keys, part), len(self.keys) - 1)
-        weight = np.where(self.keys[key] == part, self.key_weights[key], self.other)
         sums = np.zeros((len(part) + 1, 128), dtype=np.int64)
-        np.cumsum(signs(part) * weight[:, None], axis=0, out=sums[1:])
+        np.cumsum(signs(part) * self._weights(part)[:, None], axis=0, out=sums[1:])
         return sums
 
     def _clipped(self, grams, gram_at, docs, at, best) -> None:
@@ -202,31 +216,54 @@ class Index:
 
 
 _built: dict[str, Index] = {}
+#: A block of items, and what `frequencies` gives of all of them if there are several blocks.
+Block = tuple[Broadcast, Broadcast | None]
 
 
-def _index(items: Broadcast) -> Index:
+def _index(items: Block) -> Index:
     """The index of a broadcast block, built once in each Python worker."""
-    name, rows = items.value
+    name, rows = items[0].value
     if name not in _built:
         _built.clear()
-        _built[name] = Index(rows)
+        _built[name] = Index(rows, items[1] and items[1].value)
     return _built[name]
 
 
-def item_blocks(benchmark: DataFrame) -> list[Broadcast]:
+def frequencies(items: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """The number of items with words, and the shingles of two or more items in order with their frequencies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words in hashed_words(batch["text"].to_pylist()):
+                if len(words):
+                    grams = np.unique(tx.ngrams(words, np.array([0, len(words)]), min(SHINGLE, len(words)))[0])
+                    # a row without a shingle counts the item
+                    yield pa.record_batch([pa.array([None, *grams.view(np.int64).tolist()], pa.int64())], names=["gram"])
+
+    found = items.select("text").mapInArrow(run, "gram long").groupBy("gram").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    got = found.where("gram is null or n > 1").toArrow()
+    gram, n = got["gram"].combine_chunks(), got["n"].to_numpy()
+    none = gram.is_null().to_numpy(zero_copy_only=False)
+    keys = gram.fill_null(0).to_numpy().view(np.uint64)[~none]
+    order = np.argsort(keys)
+    return int(n[none].sum()), keys[order], n[~none][order].astype(np.int32)
+
+
+def item_blocks(benchmark: DataFrame) -> list[Block]:
     """The items in broadcast blocks of at most BLOCK_ITEMS rows."""
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     blocks = max(1, -(-items.count() // BLOCK_ITEMS))
     context, out, block = benchmark.sparkSession.sparkContext, [], []
+    common = context.broadcast(frequencies(items)) if blocks > 1 else None
     for row in items.orderBy("item_id", "text").toLocalIterator() if blocks > 1 else sorted(items.collect(), key=lambda r: (r[0], r[1] or "")):
         block.append((row["item_id"], row["text"]))
         if len(block) == BLOCK_ITEMS:
-            out.append(context.broadcast((uuid.uuid4().hex, block)))
+            out.append((context.broadcast((uuid.uuid4().hex, block)), common))
             block = []
-    return [*out, context.broadcast((uuid.uuid4().hex, block))] if block or not out else out
+    return [*out, (context.broadcast((uuid.uuid4().hex, block)), common)] if block or not out else out
 
 
-def _leaks(documents: DataFrame, items: Broadcast) -> DataFrame:
+def _leaks(documents: DataFrame, items: Block) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _index(items)
         for batch in batches:
@@ -250,7 +287,7 @@ def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without any match, with all their columns."""
     for items in item_blocks(benchmark):
 
-        def run(batches: Iterator[pa.RecordBatch], items: Broadcast = items) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], items: Block = items) -> Iterator[pa.RecordBatch]:
             index = _index(items)
             for batch in batches:
                 if batch.num_rows:

@@ -399,6 +399,28 @@ def test_decontamination_in_blocks(spark, sf, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()} == want
 
 
+def test_decontamination_weights_do_not_depend_on_blocks(spark, monkeypatch):
+    rng = random.Random(8)
+    frames = [sentence(rng, 40, 10**6).split() for _ in range(3)]
+    items = [(i, " ".join(frames[i // 10 % 3] + sentence(rng, 24, 10**6).split())) for i in range(60)] + [(60, ""), (61, None)]
+    docs = []
+    for i, text in items[:60]:
+        for edits in range(6):
+            w = text.split()
+            for _ in range(edits):
+                w[40 + rng.randrange(24)] = f"edit{rng.randrange(10**6)}"
+            # a part of a frame that this block may not know
+            docs.append((len(docs), " ".join(frames[rng.randrange(3)][:20] + w + frames[rng.randrange(3)])))
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    want = sorted(map(tuple, decontaminate.leaks(docs, bench).collect()))
+    assert 60 < len(want) and any(x[5] < 0.9 for x in want)
+    for n in (7, 25):
+        monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", n)
+        assert sorted(map(tuple, decontaminate.leaks(docs, bench).collect())) == want
+        assert {r[0] for r in decontaminate.clean(docs, bench).collect()} == {r[0] for r in docs.collect()} - {x[0] for x in want}
+
+
 # ---- 9 n-gram join
 
 
