@@ -13,7 +13,8 @@ block against all documents. Weights do not depend on the blocks: if there are s
 counted over all items first, and the shingles of two or more items go along with each block, 12 bytes each (all
 others have a frequency of 1). Only that count is shuffled.
 
-Null or empty texts, and items without words, match nothing. Repeated rows are reported once each; extra columns
+Null or empty texts, and items without words, match nothing. An item with a null id is an item like any other; its
+matches have a null item_id. Repeated rows are reported once each; extra columns
 are not read by `leaks` and passed through by `clean`.
 """
 
@@ -72,7 +73,7 @@ class Index:
     `common` is the number of all items with words, and the shingles of two or more of them in order with their
     document frequencies; without it, the block's items are all."""
 
-    def __init__(self, items: list[tuple[int, str | None]], common: tuple[int, np.ndarray, np.ndarray] | None = None):
+    def __init__(self, items: list[tuple[int | None, str | None]], common: tuple[int, np.ndarray, np.ndarray] | None = None):
         words = hashed_words([t for _, t in items])
         self.ids, self.sizes, self.bags = [], [], []
         for (item, _), w in zip(items, words):
@@ -206,7 +207,7 @@ class Index:
                 if found > best.get((doc, item), (0.0, 0, 0, 0)):
                     best[doc, item] = found
 
-    def search(self, column: pa.Array) -> Iterator[tuple[int, int, int, int, int, float]]:
+    def search(self, column: pa.Array) -> Iterator[tuple[int, int | None, int, int, int, float]]:
         """(row, item id, first word, words, distance, similarity) of each match of a column of texts."""
         for lo, _, buf, offsets in tx.chunks(column):
             starts, ends, at = tx.segments(buf, offsets, tx.SPACE)
@@ -251,11 +252,11 @@ def frequencies(items: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
 
 def item_blocks(benchmark: DataFrame) -> list[Block]:
     """The items in broadcast blocks of at most BLOCK_ITEMS rows."""
-    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     blocks = max(1, -(-items.count() // BLOCK_ITEMS))
     context, out, block = benchmark.sparkSession.sparkContext, [], []
     common = context.broadcast(frequencies(items)) if blocks > 1 else None
-    for row in items.orderBy("item_id", "text").toLocalIterator() if blocks > 1 else sorted(items.collect(), key=lambda r: (r[0], r[1] or "")):
+    for row in items.orderBy("item_id", "text").toLocalIterator() if blocks > 1 else sorted(items.collect(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
         block.append((row["item_id"], row["text"]))
         if len(block) == BLOCK_ITEMS:
             out.append((context.broadcast((uuid.uuid4().hex, block)), common))

@@ -421,6 +421,17 @@ def test_decontamination_weights_do_not_depend_on_blocks(spark, monkeypatch):
         assert {r[0] for r in decontaminate.clean(docs, bench).collect()} == {r[0] for r in docs.collect()} - {x[0] for x in want}
 
 
+def test_decontamination_keeps_items_with_a_null_id(spark, monkeypatch):
+    rng = random.Random(9)
+    items = [(None, sentence(rng, 30, 10**6)), (4, sentence(rng, 30, 10**6)), (None, sentence(rng, 12, 10**6)), (None, None)]
+    docs = spark.createDataFrame([(i, f"before it {t} behind it") for i, (_, t) in enumerate(items)], "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    for n in (2000, 2):
+        monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", n)
+        assert {(r["doc_id"], r["item_id"], r["n_words"]) for r in decontaminate.leaks(docs, bench).collect()} == {(0, None, 30), (1, 4, 30), (2, None, 12)}
+        assert [r["doc_id"] for r in decontaminate.clean(docs, bench).collect()] == [3]
+
+
 # ---- 9 n-gram join
 
 
