@@ -33,6 +33,8 @@ TEMPLATES = [
     ("apache-2", "licensed under the apache license version 2 0", ["licensed under the apache license version 2 0"]),
     ("gpl-3", "licensed under the gnu general public license version 3", ["gnu general public license", "version 3"]),
     ("gpl-2", "licensed under the gnu general public license version 2", ["gnu general public license", "version 2"]),
+    ("gpl-3", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license", ["gnu general public license", "version 3"]),
+    ("gpl-2", "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license", ["gnu general public license", "version 2"]),
     ("lgpl", "licensed under the gnu lesser general public license", ["gnu lesser general public license"]),
     ("agpl", "licensed under the gnu affero general public license", ["gnu affero general public license"]),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms", "provided that the following conditions are met"]),

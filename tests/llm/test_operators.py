@@ -222,6 +222,17 @@ def test_licences_templates(spark):
     assert {r["doc_id"]: r["labels"] for r in licences.scan(df).collect()} == dict(enumerate(cases.values()))
 
 
+def test_licences_fsf_notices(spark):
+    notice = "{} is free software{} you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation{} version {} of the License, or\n# (at your option) any later version.\n"
+    cases = {notice.format("This program", ":", ", either", 3): "gpl-3", notice.format("This program", ";", "; either", 2): "gpl-2", "x " * 40 + notice.format("It", ":", "; either", 3): "gpl-3"}
+    cases |= {"under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License.": "gpl-2", "the GNU General Public License as published by the Free Software Foundation": ""}
+    cases |= {notice.format("It", ";", ", either", 1): ""}
+    df = spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(cases)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert {r["doc_id"]: r["labels"] for r in licences.scan(df).collect()} == dict(enumerate(cases.values()))
+    lesser = df.where("doc_id < 2").withColumn("text", F.replace("text", F.lit("General"), F.lit("Lesser General")))
+    assert not any("gpl-" in r["labels"] for r in licences.scan(lesser).collect())
+
+
 # ---- 5 token output
 
 
