@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,7 +51,7 @@ def logs_converged(entries: DataFrame) -> DataFrame:
 def overwritten_commits(entries: DataFrame, incoming: DataFrame, commits: DataFrame) -> DataFrame:
     """incoming (node, index, term) that differ from an entry at or below the node's commit index."""
     mine = entries.select("node", "index", F.col("term").alias("held"))
-    return incoming.join(mine, ["node", "index"]).join(F.broadcast(commits), "node").where("term != held and index <= commit").select("node", "index", "held", "term")
+    return incoming.join(mine, ["node", "index"]).join(commits, "node").where("term != held and index <= commit").select("node", "index", "held", "term")
 
 
 def over_budget(runs: DataFrame, budget: int = schema.EVENT_BUDGET) -> DataFrame:
@@ -88,63 +88,86 @@ def impossible_reads(history: DataFrame) -> DataFrame:
     return reads.join(first, ["key", "v"], "left").where("first is null or first > ret").drop("v", "first")
 
 
+def _after(op: dict[str, Any], value: Any) -> tuple[bool, Any]:
+    """Whether an operation can take effect on a register with this value, and the value then."""
+    if op["op"] == "read":
+        return op["value"] == value, value
+    if op["op"] == "write":
+        return True, op["value"]
+    hit = op["expect"] == value
+    return op["success"] is None or op["success"] == hit, op["new"] if hit else value
+
+
+def _windows(ops: list[dict[str, Any]]) -> list[tuple[int, list[int]]]:
+    """For each return in time order: the operation, and those open then. Equal stamps are concurrent."""
+    stamps = sorted([(o["invoke"], 0, i) for i, o in enumerate(ops)] + [(o["ret"], 1, i) for i, o in enumerate(ops) if o["ret"] is not None])
+    live: dict[int, None] = {}
+    out = []
+    for _, returns, i in stamps:
+        if returns:
+            out.append((i, list(live)))
+            live.pop(i, None)
+        else:
+            live[i] = None
+    return out
+
+
 def search(ops: list[dict[str, Any]], budget: int = schema.CHECKER_BUDGET) -> tuple[bool, str]:
     """Whether one register's operations have a total order that respects real time.
 
-    State: which operations are done, as the bits of an integer, and the register's value (None: absent). An operation
-    may come next unless some undone, completed one returned before it was invoked; equal stamps count as concurrent.
-    Pending writes and swaps may be left out. Operations have invoke, ret, op, value, expect, new and success."""
-    ops = sorted((o for o in ops if not (o["op"] == "read" and o["ret"] is None)), key=lambda o: o["invoke"])
+    Returns are passed one after the other: each needs its operation to have taken effect, maybe after others that are
+    open at that time. A state is the next return, which open operations have taken effect, and the register's value
+    (None: absent); so it is as small as the number of concurrent operations, however long the history. Pending writes
+    and swaps may be left out. Operations have invoke, ret, op, value, expect, new and success."""
+    ops = [o for o in ops if not (o["op"] == "read" and o["ret"] is None)]
     if len(ops) > schema.CHECKER_MAX_OPS:
         return False, f"too many operations: {len(ops)}"
-    completed = sum(1 << i for i, o in enumerate(ops) if o["ret"] is not None)
-    by_return = sorted((o["ret"], i) for i, o in enumerate(ops) if o["ret"] is not None)
-    seen, todo, steps = set(), [(0, None)], 0
+    if any(o["ret"] is not None and o["ret"] < o["invoke"] for o in ops):
+        return False, "returned before it was invoked"
+    windows = _windows(ops)
+    seen: set[tuple[int, frozenset[int], Any]] = set()
+    todo: list[tuple[int, frozenset[int], Any]] = [(0, frozenset(), None)]
     while todo:
         state = todo.pop()
-        done, value = state
-        if done & completed == completed:
+        place, done, value = state
+        if place == len(windows):
             return True, ""
         if state in seen:
             continue
-        seen.add(state)
-        steps += 1
-        if steps > budget:
+        if len(seen) == budget:
             return False, "budget exceeded"
-        limit = next(r for r, i in by_return if not done >> i & 1)
-        for i, o in enumerate(ops):
-            if o["invoke"] > limit:
-                break
-            if done >> i & 1:
-                continue
-            if o["op"] == "read":
-                if o["value"] != value:
-                    continue
-                after = value
-            elif o["op"] == "write":
-                after = o["value"]
-            else:
-                hit = value == o["expect"]
-                if o["success"] is not None and o["success"] != hit:
-                    continue
-                after = o["new"] if hit else value
-            todo.append((done | 1 << i, after))
+        seen.add(state)
+        due, live = windows[place]
+        if due in done:
+            todo.append((place + 1, done - {due}, value))
+            continue
+        ways = [(i, after) for i in live if i not in done for possible, after in (_after(ops[i], value),) if possible]
+        # a completed operation that fits and changes nothing loses nothing by coming first
+        free = next((i for i, after in ways if ops[i]["ret"] is not None and ops[i]["op"] != "write" and after == value), None)
+        if free is not None:
+            todo.append((place, done | {free}, value))
+            continue
+        # the one that has to return is tried first, so it is pushed last
+        ways.sort(key=lambda way: way[0] == due)
+        todo += [(place, done | {i}, after) for i, after in ways]
     return False, "not linearizable"
 
 
+_VERDICT = pa.schema([("key", pa.int64()), ("ok", pa.bool_()), ("reason", pa.string())])
+
+
 def linearizable(history: DataFrame, budget: int = schema.CHECKER_BUDGET) -> DataFrame:
     """(key, ok, reason) for each key of a history. A key beyond the operation cap gets its verdict from its count, so
-    no task gathers more than the cap."""
+    no task gathers more than the cap. Values and stamps stay 64-bit integers throughout."""
     sizes = history.where("not (op = 'read' and ret is null)").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     large = sizes.where(F.col("n") > schema.CHECKER_MAX_OPS)
     bad = malformed(history).select("key").distinct()
     fit = history.join(large, "key", "left_anti").join(bad, "key", "left_anti")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [{k: None if pd.isna(v) else v for k, v in r.items()} for r in pdf.to_dict("records")]
-        ok, reason = search(rows, budget)
-        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "ok": [ok], "reason": [reason]})
+    def run(table: pa.Table) -> pa.Table:
+        ok, reason = search(table.to_pylist(), budget)
+        return pa.Table.from_pydict({"key": [table["key"][0].as_py()], "ok": [ok], "reason": [reason]}, _VERDICT)
 
-    found = fit.groupBy("key").applyInPandas(run, "key bigint, ok boolean, reason string")
+    found = fit.groupBy("key").applyInArrow(run, "key bigint, ok boolean, reason string")
     capped = large.join(bad, "key", "left_anti").select("key", F.lit(False).alias("ok"), F.concat(F.lit("too many operations: "), F.col("n").cast("string")).alias("reason"))
     return found.unionByName(capped).unionByName(bad.select("key", F.lit(False).alias("ok"), F.lit("malformed").alias("reason")))
