@@ -6,12 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nearest_rank(sorted_values: Column, q: float) -> Column:
-    """The value at round((n - 1) * q), half away from zero; 0 if there is none. For small arrays."""
-    at = F.floor((F.size(sorted_values) - 1) * F.lit(q) + 0.5).cast("int") + 1
-    return F.when(F.size(sorted_values) > 0, F.element_at(sorted_values, at)).otherwise(F.lit(0))
-
-
 def kth_largest(values: Column, k: Column) -> Column:
     """The k-th largest (from 1) of an array; null if it is shorter."""
     return F.when(F.size(values) >= k, F.element_at(F.sort_array(values, False), k.cast("int")))
@@ -30,3 +24,22 @@ def grouped_percentiles(df: DataFrame, group: str, value: str, quantiles: dict[s
     ranked = counts.withColumn("upto", upto).withColumn("total", total)
     at = {name: F.floor((F.col("total") - 1) * F.lit(q) + 0.5) for name, q in quantiles.items()}
     return ranked.groupBy(group).agg(*[F.min(F.when(F.col("upto") > a, F.col(value))).alias(name) for name, a in at.items()])
+
+
+def running_sums(rows: DataFrame, by: list[str], at: str, values: dict[str, Column], run: int = 1 << 16) -> DataFrame:
+    """rows with inclusive running sums within `by`, in the order of the whole number `at`; nulls count as 0.
+
+    Runs of `run` positions are summed first, so one key's rows are spread over as many tasks as it has runs. Equal
+    positions share a sum."""
+    step = F.floor(F.col(at) / run)
+    rows = rows.withColumn("_run", step).withColumns({f"_v_{k}": F.coalesce(v, F.lit(0)) for k, v in values.items()})
+    totals = rows.groupBy(*by, "_run").agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in values])
+    ahead = Window.partitionBy(*by).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*[F.col(b).alias(f"_by_{b}") for b in by], F.col("_run").alias("_at"), *[F.coalesce(F.sum(f"_t_{k}").over(ahead), F.lit(0)).alias(f"_a_{k}") for k in values])
+    inner = Window.partitionBy(*by, "_run").orderBy(at)
+    rows = rows.withColumns({f"_i_{k}": F.sum(f"_v_{k}").over(inner) for k in values})
+    same = F.col("_run") == F.col("_at")
+    for b in by:
+        same &= F.col(b).eqNullSafe(F.col(f"_by_{b}"))
+    rows = rows.join(totals, same).withColumns({k: F.col(f"_i_{k}") + F.col(f"_a_{k}") for k in values})
+    return rows.drop("_run", "_at", *[f"_by_{b}" for b in by], *[f"_{x}_{k}" for x in "vai" for k in values])

@@ -21,11 +21,76 @@ def test_repair_truncates_from_the_first_conflict(spark):
     assert len(same) == 3 and {r["source"] for r in same} == {"local"}
 
 
+def electorate(spark, peers):
+    return spark.createDataFrame([(1, p) for p in peers], "leader bigint, peer bigint")
+
+
 def test_quorum_commit_needs_the_current_term(spark):
-    p = spark.createDataFrame([(1, 3, 2, 1, 5), (1, 3, 2, 2, 4), (1, 3, 2, 3, 2)], "leader bigint, term bigint, commit bigint, peer bigint, matched bigint")
+    leaders = spark.createDataFrame([(1, 3, 2)], "leader bigint, term bigint, commit bigint")
+    p = spark.createDataFrame([(1, 1, 5), (1, 2, 4), (1, 3, 2)], "leader bigint, peer bigint, matched bigint")
     for term, want in ((3, 4), (2, 2)):
         e = spark.createDataFrame([(1, 4, term)], "node bigint, index bigint, term bigint")
-        assert replication.quorum_commit(p, e).first()["commit"] == want
+        assert replication.quorum_commit(leaders, p, electorate(spark, [1, 2, 3]), e).first()["commit"] == want
+
+
+@pytest.mark.parametrize("reports, voters, reached", [
+    ([(1, 10), (2, 10), (3, None), (4, None), (5, None)], [1, 2, 3, 4, 5], 0),
+    ([(1, 10), (2, 10)], [1, 2, 3, 4, 5], 0),
+    ([(1, 10), (2, 9), (3, 8)], [1, 2, 3, 4, 5], 8),
+    ([(1, 10), (2, 9), (7, 10), (8, 10)], [1, 2, 3, 4], 0),
+    ([(1, 10), (2, 9), (2, 11), (2, None), (3, 3)], [1, 2, 3, 4], 3),
+    ([], [1, 2, 3], 0),
+])
+def test_silent_voters_count_and_strangers_do_not(spark, reports, voters, reached):
+    rows = spark.createDataFrame([(1, p, v) for p, v in reports], "leader bigint, peer bigint, v bigint")
+    who = electorate(spark, voters)
+    assert replication.quorum_value(rows, "v", who).first()["q"] == reached
+    leaders = spark.createDataFrame([(1, 3, 2, 15)], "leader bigint, term bigint, commit bigint, now bigint")
+    entries = spark.range(1, 20).selectExpr("1L as node", "id as index", "3L as term")
+    assert replication.quorum_commit(leaders, rows.withColumnRenamed("v", "matched"), who, entries).first()["commit"] == max(2, reached)
+    assert replication.lease(leaders, rows.withColumnRenamed("v", "tick"), who).first()["lease_valid"] is (15 - reached < 10)
+    pending = spark.createDataFrame([(1, i, i) for i in range(1, 12)], "leader bigint, read_id bigint, ctx bigint")
+    assert replication.released_reads(rows.withColumnRenamed("v", "ctx"), pending, who).count() == reached
+
+
+def test_progress_after_random_events(spark):
+    rng = random.Random(5)
+    events, model = [], {}
+    for step in range(400):
+        peer, kind = rng.randrange(3), rng.choice(["sent", "sent", "ok", "ok", "reject", "snapshot", "installed"])
+        index, n = (rng.randrange(0, 60) if kind in ("ok", "reject", "installed") else 0), (rng.randrange(1, 9) if kind == "sent" else 0)
+        events.append((peer, step * 30_000, kind, index, n))
+        m = model.setdefault(peer, {"matched": 0, "next": 1, "inflight": 0, "pending_snapshot": False})
+        if kind == "sent":
+            m["next"], m["inflight"] = m["next"] + n, m["inflight"] + 1
+        elif kind in ("ok", "installed"):
+            m["matched"], m["next"] = max(m["matched"], index), max(m["next"], index + 1)
+            m["inflight"] = max(0, m["inflight"] - 1) if kind == "ok" else 0
+            m["pending_snapshot"] &= kind != "installed"
+        elif kind == "reject" and index:
+            m["next"], m["inflight"] = max(1, min(index, 41)), 0
+        elif kind == "snapshot":
+            m["pending_snapshot"] = True
+        if step % 57 == 0 or step == 399:
+            got = replication.progress_after(spark.createDataFrame(events, "peer bigint, step bigint, kind string, index bigint, n bigint"), 40)
+            assert {r["peer"]: {k: r[k] for k in m} for r in got.collect()} == model
+
+
+def test_conflict_hints_over_runs(spark, monkeypatch):
+    monkeypatch.setattr(replication, "RUN", 4)
+    terms = [1, 1, 1, 2, 2, 5, 5, 5, 5, 5, 5, 7, 7, 6, 6, 9]
+    entries = spark.createDataFrame([(1, i + 1, t) for i, t in enumerate(terms)], "node bigint, index bigint, term bigint")
+    probes = [(1, i, t) for i in range(1, 20) for t in (1, 5, 9)]
+    got = replication.conflict_hint(entries, spark.createDataFrame(probes, "node bigint, prev_index bigint, prev_term bigint"))
+    for r in got.collect():
+        i, hint = r["prev_index"], None
+        if i > len(terms):
+            hint = len(terms) + 1
+        elif terms[i - 1] != r["prev_term"]:
+            hint = i
+            while hint > 1 and terms[hint - 2] == terms[i - 1]:
+                hint -= 1
+        assert r["hint"] == hint
 
 
 def test_snapshot_of_a_held_prefix_keeps_the_suffix(spark):
@@ -129,6 +194,17 @@ def test_search_against_all_orders():
         assert checks.search(ops)[0] == brute(ops), ops
 
 
+def test_search_with_much_concurrency():
+    writes = [op(i, 100 + i, "write", i) for i in range(11)]
+    assert checks.search([*writes, op(200, 201, "read", 7)])[0]
+    assert not checks.search([*writes, op(200, 201, "read", 7), op(202, 203, "read", 8)])[0]
+    swaps = [op(0, 1, "write", 0), *[op(2, 90, "cas", expect=i, new=i + 1, success=True) for i in range(30)]]
+    assert checks.search([*swaps, op(95, 96, "read", 30)])[0]
+    assert checks.search([*swaps, op(95, 96, "read", 29)], 100_000) == (False, "not linearizable")
+    assert checks.search([op(5, 4, "write", 1)])[0] is False
+    assert checks.search([op(0, 1, "read")] * 4097) == (False, "too many operations: 4097")
+
+
 def test_linearizable_frame(spark):
     rows = [(k, 0, o["invoke"], o["ret"], o["op"], o["value"], o["expect"], o["new"], o["success"]) for k, (ops, _) in enumerate(HISTORIES) for o in ops]
     rows.append((99, 0, 1, 2, "cas", None, 1, 2, None))
@@ -136,6 +212,26 @@ def test_linearizable_frame(spark):
     assert got == {**{k: ok for k, (_, ok) in enumerate(HISTORIES)}, 99: False}
 
 
+@pytest.mark.parametrize("big", [2**53, 2**62, -(2**62)])
+def test_numbers_beyond_doubles_stay_exact(spark, big):
+    absent = op(0, 1, "read")
+    cases = [
+        ([absent, op(2, 3, "write", big), op(4, 5, "read", big + 1)], False),
+        ([absent, op(2, 3, "write", big), op(4, 5, "read", big)], True),
+        ([absent, op(2, 3, "write", big), op(4, 5, "cas", expect=big + 1, new=1, success=True)], False),
+        ([absent, op(2, 3, "write", big), op(4, 5, "cas", expect=big, new=big + 1, success=True), op(6, 7, "read", big)], False),
+        ([absent, op(2, 3, "write", big), op(4, 5, "cas", expect=big, new=big + 1, success=True), op(6, 7, "read", big + 1)], True),
+    ]
+    if big > 0:  # stamps a nanosecond apart
+        cases += [
+            ([absent, op(big, big + 1, "write", 1), op(big + 1, big + 2, "read")], True),
+            ([absent, op(big, big + 1, "write", 1), op(big + 2, big + 3, "read")], False),
+        ]
+    rows = [(k, 0, o["invoke"], o["ret"], o["op"], o["value"], o["expect"], o["new"], o["success"]) for k, (ops, _) in enumerate(cases) for o in ops]
+    got = {r["key"]: r["ok"] for r in checks.linearizable(spark.createDataFrame(rows, schema.HISTORY)).collect()}
+    assert got == {k: ok for k, (_, ok) in enumerate(cases)}
+
+
 def reference_draw(seed, i):
     m = 2**64
     x = (seed + i * unsigned.GOLDEN) % m
@@ -170,3 +266,24 @@ def test_fault_profiles_are_functions_of_the_seed(spark):
     a = workload.fault_profiles(spark.range(30).selectExpr("id as seed"))
     b = workload.fault_profiles(spark.range(30).selectExpr("id as seed").repartition(3))
     assert checks.differences(a, b).count() == 0
+
+
+def test_fault_schedule_takes_its_draws_in_order(spark):
+    runs = spark.range(40).selectExpr("id as seed", "if(id % 2 = 0, 3, 5) as nodes", "6000 as end_ms", "0.4 as partition", "0.5 as crash")
+    rows = workload.fault_schedule(runs.repartition(3)).orderBy("seed", "place").collect()
+    by_seed = {k: list(g) for k, g in itertools.groupby(rows, key=lambda r: r["seed"])}
+    assert len(by_seed) == 40 and len({tuple(r["time"] for r in g) for g in by_seed.values()}) == 40
+    for seed, events in by_seed.items():
+        nodes, down = (3 if seed % 2 == 0 else 5), {}
+        assert [e["place"] for e in events] == list(range(len(events)))
+        first = reference_draw((seed + unsigned.GOLDEN) % 2**64, 1) / (2**64 - 1) < 0.4
+        assert (events[0]["event"] == "partition" and events[0]["time"] == 0) == first
+        for e in events:
+            if e["event"] == "partition":
+                assert 0 < len(e["nodes"]) < nodes and 500 <= e["until"] - e["time"] <= 3000
+            elif e["event"] == "crash":
+                assert down.get(e["nodes"][0], 0) <= e["time"] and 300 <= e["until"] - e["time"] <= 4000
+                down[e["nodes"][0]] = e["until"]
+        end = events[-1]["time"]
+        assert end >= 6000 and [e["event"] for e in events if e["time"] == end][0] == "heal"
+        assert {e["nodes"][0] for e in events if e["event"] == "restart"} == {n for n, at in down.items() if at > end}
