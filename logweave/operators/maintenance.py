@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave import schema
 from logweave.functions import unsigned
 from logweave.operators import mvcc
+from logweave.shared import partitions, stored
 
 
 def entry_bytes() -> Column:
@@ -24,14 +28,19 @@ def memory(log: DataFrame, budget: int = schema.MEMTABLE_BYTES) -> DataFrame:
 def flush_point(log: DataFrame, budget: int) -> DataFrame:
     """One row (seq): the first version with which the table in memory is full; null if it never is.
 
-    Sums of runs of 4,096 versions come first, so only the run that crosses the budget is looked at version by version."""
-    run = F.floor(F.col("seq") / 4096)
-    sums = log.groupBy(run.alias("run")).agg(F.sum(entry_bytes()).alias("b"))
-    upto = F.sum("b").over(Window.orderBy("run"))
-    crossing = sums.withColumn("upto", upto).where(F.col("upto") >= budget).agg(F.min(F.struct("run", F.col("upto") - F.col("b"))).alias("x")).select(F.col("x.run").alias("run"), F.col("x.col2").alias("before"))
-    inside = log.select("seq", run.alias("run"), entry_bytes().alias("b")).join(F.broadcast(crossing), "run")
-    total = F.sum("b").over(Window.partitionBy("run").orderBy("seq")) + F.col("before")
-    return inside.withColumn("total", total).where(F.col("total") >= budget).agg(F.min("seq").alias("seq"))
+    Sums of long runs of versions come first, then sums of short runs within the one that crosses the budget, and only
+    the short run that crosses it is looked at version by version: at most a few thousand rows are ever in one task for
+    logs of up to 10**11 versions, and a row for each 2**24 versions beyond."""
+    inside = log.select("seq", entry_bytes().alias("b"))
+    one = log.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("before"))
+    for run in (1 << 24, 1 << 12, 1):
+        sums = inside.groupBy(F.floor(F.col("seq") / run).alias("run")).agg(F.sum("b").alias("b"))
+        upto = F.sum("b").over(Window.orderBy("run")) + F.col("before")
+        full = sums.join(F.broadcast(one)).withColumn("upto", upto).where(F.col("upto") >= budget)
+        first = full.agg(F.min(F.struct("run", (F.col("upto") - F.col("b")).alias("before"))).alias("x"))
+        one = first.select(F.col("x.run").alias("first"), F.col("x.before").alias("before"))
+        inside = inside.join(F.broadcast(one.select("first")), F.floor(F.col("seq") / run) == F.col("first")).drop("first")
+    return one.select(F.col("first").alias("seq"))
 
 
 def valid_prefix(frames: DataFrame) -> DataFrame:
@@ -56,6 +65,13 @@ def recover(tables: DataFrame, frames: DataFrame) -> DataFrame:
     return mvcc.merge(tables, replay(frames))
 
 
+def opened(manifest_seq: int, frames: DataFrame, budget: int = schema.MEMTABLE_BYTES) -> DataFrame:
+    """One row with the state after opening: the last sequence number (of the manifest or the valid frames, whichever
+    is greater), the bytes replayed into memory, and whether they are flushed right away."""
+    held = replay(frames).agg(F.greatest(F.lit(manifest_seq).cast("bigint"), F.coalesce(F.max("seq"), F.lit(0))).alias("last_seq"), F.coalesce(F.sum(entry_bytes()), F.lit(0)).cast("bigint").alias("bytes"))
+    return held.withColumn("flush", F.col("bytes") >= budget)
+
+
 # The log store's keys. Entries are `e/` and a big-endian index; `0` is the byte after `/`.
 ENTRY_PREFIX, ENTRY_END, HARD_STATE_KEY, SNAPSHOT_KEY = b"e/", b"e0", b"m/hs", b"m/snap"
 
@@ -110,30 +126,147 @@ def compaction_sources(catalog: DataFrame) -> DataFrame:
     return catalog.withColumn("_low", low).where("level = 0 or id = _low").drop("_low")
 
 
+#: Cells of the key space in which overlaps are looked for.
+CELLS = 1024
+
+
 def overlaps(inputs: DataFrame, tables: DataFrame) -> DataFrame:
-    """(input_id, id): tables whose key range meets an input's range. The catalogs have a row per file."""
-    a = inputs.select(F.col("id").alias("input_id"), F.col("min_key").alias("lo"), F.col("max_key").alias("hi"))
-    return tables.join(a, (F.col("max_key") >= F.col("lo")) & (F.col("min_key") <= F.col("hi"))).select("input_id", "id")
+    """(input_id, id): tables whose key range meets an input's range.
+
+    Ranges are cut at the lower bounds of up to CELLS tables, chosen by hash, and meet in the cells they share; a pair
+    counts in the first of these. So tables far apart are never compared."""
+    some = tables.orderBy(F.xxhash64("id"), "id").limit(CELLS).agg(F.array_sort(F.collect_set("min_key")).alias("cuts"))
+
+    def cells(catalog: DataFrame, *names: str) -> DataFrame:
+        c = catalog.select(F.col("id").alias(names[0]), F.col("min_key").alias(names[1]), F.col("max_key").alias(names[2])).join(F.broadcast(some))
+        first, last = F.size(F.filter("cuts", lambda x: x <= F.col(names[1]))), F.size(F.filter("cuts", lambda x: x <= F.col(names[2])))
+        return c.withColumn(names[3], first).withColumn("cell", F.explode(F.sequence(first, last))).drop("cuts")
+
+    a, b = cells(inputs, "input_id", "lo", "hi", "a"), cells(tables, "id", "min_key", "max_key", "b")
+    pairs = b.join(a, "cell").where("max_key >= lo and min_key <= hi and cell = greatest(a, b)")
+    return pairs.select("input_id", "id")
+
+
+#: Bytes that an entry counts beside its key and value where output tables are cut (a fixed value).
+CUT_OVERHEAD = 17
+
+
+def _reactions(target: int):
+    """Of each range of keys (part, key, b): what it does to the bytes `a` of the table that is open at its start.
+
+    From a >= a_from on, `cuts` tables begin in the range, and the last of them holds `left` bytes at its end; below the
+    first a_from none does."""
+
+    def run(table: pa.Table) -> pa.Table:
+        b = table.sort_by("key")["b"].to_numpy()
+        at = np.concatenate(([0], np.cumsum(b)))
+        total, at = int(at[-1]), at[:-1]
+        following = np.searchsorted(at, at + target)
+        first = np.arange(min(int(np.searchsorted(at, target)) + 1, len(b)))
+        last, cuts = first.copy(), np.ones(len(first), dtype=np.int64)
+        moving = np.flatnonzero(following[last] < len(b))
+        while len(moving):
+            last[moving] = following[last[moving]]
+            cuts[moving] += 1
+            moving = moving[following[last[moving]] < len(b)]
+        left = total - at[last]
+        # a_from falls along the keys; of equal reactions in a row the lowest a_from is kept
+        same = np.concatenate(((cuts[1:] == cuts[:-1]) & (left[1:] == left[:-1]), [False]))
+        part = table["part"][0].as_py()
+        rows = {"part": [part] * int((~same).sum() + 1), "a_from": [None, *(target - at[first])[~same].tolist()], "cuts": [0, *cuts[~same].tolist()], "left": [total, *left[~same].tolist()]}
+        return pa.Table.from_pydict(rows, pa.schema([("part", pa.int32()), ("a_from", pa.int64()), ("cuts", pa.int64()), ("left", pa.int64())]))
+
+    return run
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, a, begun): the open bytes and the tables begun before each range; rows come by part and a_from."""
+    part, a, begun, after = None, 0, 0, (0, 0)
+    for batch in batches:
+        out = []
+        for p, a_from, cuts, left in zip(*(batch[c].to_pylist() for c in ("part", "a_from", "cuts", "left"))):
+            if p != part:
+                a, begun, part = after[0], begun + after[1], p
+                out.append((p, a, begun))
+            if a_from is None:
+                after = (a + left, 0)
+            elif a >= a_from:
+                after = (left, cuts)
+        if out:
+            yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*out), (pa.int32(), pa.int64(), pa.int64()))], names=["part", "a", "begun"])
+
+
+def _assign(target: int):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("key")
+        b, a, begun = table["b"].to_numpy(), table["a"][0].as_py(), table["begun"][0].as_py()
+        at = np.concatenate(([0], np.cumsum(b)))[:-1]
+        begins, i = np.zeros(len(b), dtype=np.int64), int(np.searchsorted(at, target - a))
+        while i < len(b):
+            begins[i] = 1
+            i = int(np.searchsorted(at, at[i] + target))
+        return pa.table({"key": table["key"], "table": pa.array(begun + np.cumsum(begins))})
+
+    return run
+
+
+def cut_tables(keys: DataFrame, target_bytes: int) -> DataFrame:
+    """(key, table) of keys (key, b): a table ends before the first key at which it has target_bytes; the next counts
+    from 0 again. Keys are distinct, so a key's versions never straddle two tables.
+
+    Where a table begins depends on the one before. So each range of keys first tells how it reacts to whatever is
+    open at its start (only its first target_bytes matter for that); these reactions, a small share of the keys, are
+    walked through in order by one task, and all ranges are then cut in parallel."""
+    spark = keys.sparkSession
+    ordered = keys.select("key", F.col("b").cast("bigint").alias("b")).repartitionByRange(partitions(spark), "key").withColumn("part", F.spark_partition_id())
+    ordered = stored(ordered, "compact-keys")
+    reactions = ordered.groupBy("part").applyInArrow(_reactions(target_bytes), "part int, a_from bigint, cuts bigint, left bigint")
+    entries = reactions.repartition(1).sortWithinPartitions("part", F.col("a_from").asc_nulls_first()).mapInArrow(_walk, "part int, a bigint, begun bigint")
+    kinds = dict(keys.dtypes)
+    return ordered.join(entries, "part").groupBy("part").applyInArrow(_assign(target_bytes), f"key {kinds['key']}, table bigint")
 
 
 def compact(sources: list[DataFrame], horizon: int, bottom: bool, target_bytes: int = schema.TABLE_BYTES) -> DataFrame:
-    """The merged versions that a compaction keeps, with the number of the output table.
-
-    Tables are cut where the bytes before a key pass a multiple of the target, so a key's versions never straddle two.
-    Bytes before a key come from sums over 256 key ranges first."""
+    """The merged versions that a compaction keeps, with the number of the output table (see `cut_tables`)."""
     kept = mvcc.collect_garbage(mvcc.merge(*sources), horizon, bottom)
-    keys = kept.groupBy("key").agg(F.sum(entry_bytes()).alias("b"))
-    prefix = F.substring("key", 1, 11)
-    by_prefix = keys.groupBy(prefix.alias("prefix")).agg(F.sum("b").alias("s"))
-    before = F.coalesce(F.sum("s").over(Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    by_prefix = by_prefix.withColumn("before", before).select("prefix", "before")
-    inner = F.coalesce(F.sum("b").over(Window.partitionBy("prefix").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = keys.withColumn("prefix", prefix).withColumn("inner", inner).join(by_prefix, "prefix").select("key", F.floor((F.col("inner") + F.col("before")) / target_bytes).alias("table"))
-    return kept.join(placed, "key")
+    size = F.length("key") + F.coalesce(F.length("value"), F.lit(0)) + CUT_OVERHEAD
+    return kept.join(cut_tables(kept.groupBy("key").agg(F.sum(size).alias("b")), target_bytes), "key")
+
+
+def catalog(versions: DataFrame) -> DataFrame:
+    """The table catalog of versions (level, id, key, seq, value)."""
+    size = F.sum(F.length("key") + F.coalesce(F.length("value"), F.lit(0)) + CUT_OVERHEAD)
+    return versions.groupBy("level", "id").agg(F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.count(F.lit(1)).alias("entries"), size.cast("bigint").alias("bytes"))
+
+
+def settle(versions: DataFrame, horizon: int, levels: int, trigger: int = schema.LEVEL0_TRIGGER, base: int = schema.LEVEL_BASE_BYTES, multiplier: int = schema.LEVEL_MULTIPLIER, target_bytes: int = schema.TABLE_BYTES, next_id: int | None = None) -> DataFrame:
+    """versions (level, id, key, seq, value) after compactions until none is due; `levels` levels, the last never due.
+
+    Each round takes the first due level, merges its sources with the tables of the level below that meet their key
+    range, and stores the result; the driver sees one row a level. At the bottom, where all deeper levels are empty,
+    tombstones at or below the horizon go."""
+    versions = stored(versions.select("level", "id", "key", "seq", "value"), "settle")
+    next_id = versions.agg(F.coalesce(F.max("id"), F.lit(0)) + 1).first()[0] if next_id is None else next_id
+    while True:
+        tables = catalog(versions)
+        state = {r["level"]: r for r in compaction_due(tables, levels, trigger, base, multiplier).collect()}
+        due = [i for i in range(levels - 1) if state[i]["due"]]
+        if not due:
+            return versions
+        level = due[0]
+        sources = compaction_sources(tables.where(F.col("level") == level)).select("id", "min_key", "max_key")
+        span = sources.agg(F.min("min_key").alias("lo"), F.max("max_key").alias("hi"))
+        below = tables.where(F.col("level") == level + 1).join(F.broadcast(span)).where("max_key >= lo and min_key <= hi").select("level", "id")
+        taken = stored(sources.select(F.lit(level).alias("level"), "id").unionByName(below), "settle-taken")
+        bottom = all(state[i]["tables"] == 0 for i in range(level + 2, levels))
+        inputs = versions.join(taken, ["level", "id"], "left_semi").select("key", "seq", "value")
+        out = compact([inputs], horizon, bottom, target_bytes).select(F.lit(level + 1).alias("level"), (F.col("table") + next_id).alias("id"), "key", "seq", "value")
+        versions = stored(versions.join(taken, ["level", "id"], "left_anti").unionByName(out), "settle")
+        next_id = max(next_id, versions.agg(F.coalesce(F.max("id"), F.lit(0)) + 1).first()[0])
 
 
 def write_tables(log: DataFrame, path: str, files: int) -> None:
-    """Sorted, key-clustered Parquet files whose row-group statistics serve range and point reads."""
+    """Sorted, key-clustered Parquet files whose row-group statistics and filters serve range and point reads."""
     log.repartitionByRange(files, "key").sortWithinPartitions("key", F.desc("seq")).write.option("parquet.bloom.filter.enabled#key", "true").parquet(path)
 
 
@@ -156,16 +289,28 @@ def bloom_positions(keys: DataFrame, bits: Column, probes: int) -> DataFrame:
 
 
 def bloom(keys: DataFrame, group: str, bits_per_key: int = schema.BLOOM_BITS_PER_KEY) -> DataFrame:
-    """(group, bits, set_bits): the filter over each group's distinct keys, as its sorted set positions."""
+    """(group, bits, word, mask): the filter over each group's distinct keys, as the 64-bit words that have a bit."""
     distinct = keys.select(group, "key").distinct()
     sizes = distinct.groupBy(group).agg(F.count(F.lit(1)).alias("keys"))
     n, probes = bloom_shape(F.col("keys"), bits_per_key)
     rows = bloom_positions(distinct.join(sizes.withColumn("bits", n).drop("keys"), group), F.col("bits"), probes)
-    return rows.select(group, "bits", F.explode("positions").alias("p")).distinct().groupBy(group, "bits").agg(F.array_sort(F.collect_list("p")).alias("set_bits"))
+    bits = rows.select(group, "bits", F.explode("positions").alias("p"))
+    return bits.groupBy(group, "bits", F.shiftright("p", 6).alias("word")).agg(F.bit_or(_bit(F.col("p"))).alias("mask"))
+
+
+def _bit(position: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), (position % 64).cast("int"))
 
 
 def bloom_probe(probes: DataFrame, filters: DataFrame, group: str, bits_per_key: int = schema.BLOOM_BITS_PER_KEY) -> DataFrame:
-    """probes (group, key) with may_contain: no key of a filter is ever denied."""
+    """probes (group, key) with may_contain: no key of a filter is ever denied; without a filter nothing is contained.
+
+    Each probed bit meets its word by equality on (group, word), so no row carries a filter."""
     _, k = bloom_shape(F.lit(1), bits_per_key)
-    rows = bloom_positions(probes.join(filters, group), F.col("bits"), k)
-    return rows.select(group, "key", F.forall("positions", lambda p: F.array_contains("set_bits", p)).alias("may_contain"))
+    asked = probes.select(group, "key").distinct()
+    rows = bloom_positions(asked.join(filters.select(group, "bits").distinct(), group), F.col("bits"), k)
+    bits = rows.select(group, "key", F.explode("positions").alias("p")).withColumn("word", F.shiftright("p", 6))
+    met = bits.join(filters.select(group, "word", "mask"), [group, "word"], "left")
+    hit = F.coalesce(F.col("mask").bitwiseAND(_bit(F.col("p"))) != 0, F.lit(False))
+    found = met.groupBy(group, "key").agg(F.min(hit).alias("may_contain"))
+    return probes.select(group, "key").join(found, [group, "key"], "left").select(group, "key", F.coalesce("may_contain", F.lit(False)).alias("may_contain"))

@@ -86,6 +86,11 @@ def horizon(log: DataFrame, pins: DataFrame) -> DataFrame:
     return oldest.join(F.broadcast(last)).select(F.coalesce("pinned", "last").alias("horizon"))  # one row each
 
 
+def pinned(events: DataFrame) -> DataFrame:
+    """events (seq, delta: 1 when a snapshot is taken, -1 when one is released) to the sequence numbers still pinned."""
+    return events.groupBy("seq").agg(F.sum("delta").alias("count")).where("count > 0")
+
+
 def collect_garbage(log: DataFrame, horizon: int, bottom: bool = False) -> DataFrame:
     """All versions above the horizon, and the newest at or below it; at the bottom level a tombstone there goes too."""
     # versions above the horizon are not ranked, so they are not shuffled

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logweave.operators import maintenance, mvcc
+from logweave.shared import new_folder
 from logweave.sources import fixtures
 
 SNAPSHOT, LIMIT = 5000, 20
@@ -52,6 +53,27 @@ def _entry_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PINS = "SELECT * FROM VALUES (4000L), (7500L) AS t(seq)"
 HORIZON = 4000
 
+
+def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as sorted tables in the shared folder."""
+    path = new_folder(spark, "tables")
+    maintenance.write_tables(_log(spark, sf_dir), path, 8)
+    return spark.read.schema(_log(spark, sf_dir).schema).parquet(path)
+
+
+def _leveled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log in tables of 500 versions, levels 0 to 2."""
+    table = F.floor((F.col("seq") - 1) / 500)
+    return _log(spark, sf_dir).select((table % 3).cast("int").alias("level"), table.alias("id"), "key", "seq", "value")
+
+
+def _pin_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots of every 40th version, each taken by three readers; all but those of every 400th are released."""
+    e = fixtures.events(spark, sf_dir)
+    taken = e.where("event_id % 40 = 0").select("event_id", F.col("event_id").alias("seq"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("reader"))
+    released = taken.where("event_id % 400 != 0 or reader != 2")
+    return taken.select("seq", F.lit(1).alias("delta")).unionByName(released.select("seq", F.lit(-1).alias("delta")))
+
 QUERIES = {
     # SC1, SC2, SC5, SC11: three-way outcome of a point read
     "kv_get_latest": lambda s, d: _text(mvcc.get(_log(s, d), _key("user000000000042"))),
@@ -89,6 +111,14 @@ QUERIES = {
     "kv_overlap_pairs": lambda s, d: maintenance.overlaps(fixtures.tables(s, d).where("level = 1"), fixtures.tables(s, d).where("level = 2")),
     # MT7
     "kv_compact": lambda s, d: _text(maintenance.compact([_log(s, d).where("seq <= 6000"), _log(s, d).where("seq > 5000")], HORIZON, True, 50_000)),
+    # MT3 until nothing is due: what the tables hold stays the same
+    "kv_settled": lambda s, d: _text(mvcc.dump(maintenance.settle(_leveled(s, d), HORIZON, 5, 4, 200_000, 4, 100_000).select("key", "seq", "value"))),
+    # SC13-SC15: reads of written tables
+    "kv_written_multi_get": lambda s, d: _text(mvcc.multi_get(_written(s, d), s.range(1, 400, 3).select(F.format_string("user%012d", "id").cast("binary").alias("key")), SNAPSHOT)),
+    "kv_written_scan": lambda s, d: _text(mvcc.scan(_written(s, d), _key(START), _key(END), snapshot=SNAPSHOT)),
+    # MV8
+    "kv_pinned": lambda s, d: mvcc.pinned(_pin_events(s, d)),
+    "wal_opened": lambda s, d: maintenance.opened(300, _frames(s, d), 20_000),
     # DL1-DL3, SC19, SC21, SC30
     "wal_valid_prefix": lambda s, d: maintenance.valid_prefix(_frames(s, d)).select("frame", "first_seq", F.size("ops").alias("n")),
     "wal_recover": lambda s, d: mvcc.position(maintenance.recover(_log(s, d).where("seq <= 300"), _frames(s, d))).transform(_text),
@@ -128,11 +158,19 @@ _SQL = {
   SELECT *, CASE WHEN level = 0 THEN tables >= 4 ELSE bytes > byte_limit END AS due FROM m""",
     "kv_compaction_sources": "m AS (SELECT *, min(id) OVER (PARTITION BY level) AS low FROM tables) SELECT level, id FROM m WHERE level = 0 OR id = low",
     "kv_overlap_pairs": "x AS (SELECT 1) SELECT a.id AS input_id, b.id FROM tables a JOIN tables b ON a.level = 1 AND b.level = 2 AND b.max_key >= a.min_key AND b.min_key <= a.max_key",
+    # a table begins at the first key before which the open one has the target; it counts 17 bytes beside key and value
     "kv_compact": f"""r AS (SELECT *, row_number() OVER (PARTITION BY key, seq <= {HORIZON} ORDER BY seq DESC) AS rn FROM log),
   k AS (SELECT key, seq, value FROM r WHERE seq > {HORIZON} OR (rn = 1 AND value IS NOT NULL)),
-  b AS (SELECT key, sum(strlen(key) + coalesce(strlen(value), 0) + 24) AS b FROM k GROUP BY key),
-  t AS (SELECT key, CAST(coalesce(sum(b) OVER (ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 50000 AS BIGINT) AS "table" FROM b)
-  SELECT k.*, t."table" FROM k JOIN t ON t.key = k.key""",
+  b AS (SELECT key, sum(strlen(key) + coalesce(strlen(value), 0) + 17)::BIGINT AS b FROM k GROUP BY key),
+  p AS (SELECT key, (sum(b) OVER (ORDER BY key))::BIGINT - b AS at FROM b),
+  t AS (SELECT 0::BIGINT AS no, 0::BIGINT AS at UNION ALL SELECT t.no + 1, min(p.at) FROM t JOIN p ON p.at >= t.at + 50000 GROUP BY t.no),
+  w AS (SELECT p.key, max(t.no) AS "table" FROM p JOIN t ON t.at <= p.at GROUP BY p.key)
+  SELECT k.*, w."table" FROM k JOIN w ON w.key = k.key""",
+    "kv_settled": f"{_visible_sql()} SELECT key, value FROM visible WHERE value IS NOT NULL",
+    "kv_written_multi_get": f"{_visible_sql(f'seq <= {SNAPSHOT}')} SELECT k.key, {_STATUS} FROM (SELECT printf('user%012d', range) AS key FROM range(1, 400, 3)) k LEFT JOIN visible v ON v.key = k.key",
+    "kv_written_scan": f"{_visible_sql(f'seq <= {SNAPSHOT}', _RANGE)} SELECT key, value FROM visible WHERE value IS NOT NULL",
+    "kv_pinned": "x AS (SELECT 1) SELECT event_id AS seq, 1::BIGINT AS count FROM events WHERE event_id % 400 = 0",
+    "wal_opened": "r AS (SELECT * FROM log WHERE seq <= 700), o AS (SELECT greatest(300, max(seq)) AS last_seq, CAST(sum(strlen(key) + coalesce(strlen(value), 0) + 24) AS BIGINT) AS bytes FROM r) SELECT *, bytes >= 20000 AS flush FROM o",
     "wal_valid_prefix": "f AS (SELECT (seq - 1) // 10 AS frame, min(seq) AS first_seq, CAST(count(*) AS INT) AS n FROM log GROUP BY (seq - 1) // 10) SELECT * FROM f WHERE frame < 70",
     "wal_recover": "r AS (SELECT * FROM log WHERE seq <= 700) SELECT max(seq) AS last_seq, count(*) AS versions, CAST(sum(strlen(key) + coalesce(strlen(value), 0) + 24) AS BIGINT) AS bytes, min(key) AS min_key, max(key) AS max_key FROM r",
     "logstore_entries": "x AS (SELECT 1) SELECT event_id + 1 AS index, CASE WHEN event_id % 20 = 0 THEN 'replaced' ELSE event_type END AS value FROM events WHERE event_id % 10 <> 0 OR event_id % 20 = 0",
@@ -140,4 +178,4 @@ _SQL = {
     "manifest_choice": "x AS (SELECT 1) SELECT 2 AS place, true AS valid, 'temporary' AS name",
     "block_checksums": "x AS (SELECT 1) SELECT seq % 97 <> 0 AS intact, count(*) AS n FROM log GROUP BY 1",
 }
-ORACLE_SQL = {k: f"WITH {fixtures.TABLES if 'tables' in v else fixtures.LOG}, {v}" for k, v in _SQL.items()}
+ORACLE_SQL = {k: f"WITH RECURSIVE {fixtures.TABLES if 'tables' in v else fixtures.LOG}, {v}" for k, v in _SQL.items()}

@@ -1,7 +1,9 @@
 import random
 
+from pyspark.sql import functions as F
+
 from logweave.api import Store
-from logweave.operators import maintenance, mvcc
+from logweave.operators import maintenance, metrics, mvcc
 from logweave.sources import fixtures
 
 
@@ -128,3 +130,84 @@ def test_scan_plan_pushes_bounds_and_limits_groups(spark, tmp_path):
 def test_regression_seeds(spark, tmp_path):
     (tmp_path / "seeds.txt").write_text("# seeds\n\n6 # first\n  19519\n")
     assert sorted(r["seed"] for r in fixtures.seeds(spark, f"{tmp_path}/seeds.txt").collect()) == [6, 19519]
+
+
+def greedy(sizes, target):
+    """The table of each key, one after the other."""
+    out, table, held = [], 0, 0
+    for b in sizes:
+        if held >= target:
+            table, held = table + 1, 0
+        held += b
+        out.append(table)
+    return out
+
+
+def test_tables_are_cut_like_one_after_the_other(spark):
+    rng = random.Random(9)
+    for sizes, target in (([63] * 12, 200), ([rng.randrange(1, 300) for _ in range(700)], 500), ([rng.choice([5, 4000]) for _ in range(300)], 900), ([10] * 50, 10**6), ([7], 1), ([100] * 40, 1)):
+        keys = spark.createDataFrame([(f"k{i:05d}".encode(), b) for i, b in enumerate(sizes)], "key binary, b bigint").repartition(3)
+        got = [r["table"] for r in maintenance.cut_tables(keys, target).orderBy("key").collect()]
+        assert got == greedy(sizes, target)
+    assert maintenance.cut_tables(keys.where("b < 0"), 10).count() == 0
+
+
+def test_settled_levels_hold_the_same(spark):
+    rng = random.Random(2)
+    log = [(f"k{rng.randrange(60):03d}", i + 1, None if rng.random() < 0.2 else "v" * rng.randrange(30)) for i in range(900)]
+    versions = mvcc.literal_log(spark, log).selectExpr("0 as level", "floor((seq - 1) / 100) as id", "*")
+    out = maintenance.settle(versions, 500, 4, 3, 6_000, 3, 2_000).cache()
+    due = maintenance.compaction_due(maintenance.catalog(out), 4, 3, 6_000, 3)
+    assert due.where("due and level < 3").count() == 0
+    for seq in (500, 700, 900):
+        assert sorted(rows(mvcc.dump(out.select("key", "seq", "value"), seq))) == sorted(rows(mvcc.dump(mvcc.literal_log(spark, log), seq)))
+    tables = maintenance.catalog(out).where("level > 0")
+    pairs = tables.alias("a").join(tables.alias("b"), on=[F.expr("a.level = b.level and a.id < b.id and a.max_key >= b.min_key and a.min_key <= b.max_key")])
+    assert pairs.count() == 0
+
+
+def test_written_tables_serve_point_and_range_reads(spark, tmp_path):
+    log = mvcc.literal_log(spark, [(f"k{i % 400:04d}", i + 1, str(i)) for i in range(4000)])
+    maintenance.write_tables(log, f"{tmp_path}/tables", 8)
+    table = spark.read.schema(log.schema).parquet(f"{tmp_path}/tables")
+    assert rows(mvcc.get(table, b"k0123", 2000)) == rows(mvcc.get(log, b"k0123", 2000))
+    assert rows(mvcc.get(table, b"none"))[0][1] == "missing"
+    assert rows(mvcc.scan(table, b"k0100", b"k0120", 7, 3000)) == rows(mvcc.scan(log, b"k0100", b"k0120", 7, 3000))
+    plan = mvcc.get(table, b"k0123", 2000)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(seq), IsNotNull(key), LessThanOrEqual(seq,2000), EqualTo(key" in plan
+    # a file's keys are a range, so statistics leave one or two files for a key
+    ranges = table.groupBy(F.input_file_name()).agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <= binary('k0123') and b >= binary('k0123')")
+    assert ranges.count() <= 2
+
+
+def test_overlaps_against_all_pairs(spark):
+    rng = random.Random(6)
+
+    def some(n):
+        spans = [sorted((rng.randrange(500), min(499, rng.randrange(500)))) for _ in range(n)]
+        return [(i, f"{a:03d}".encode(), f"{b:03d}".encode()) for i, (a, b) in enumerate(spans)]
+
+    schema = "id bigint, min_key binary, max_key binary"
+    left, right = some(40), some(60)
+    got = maintenance.overlaps(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)).collect()
+    assert sorted((r["input_id"], r["id"]) for r in got) == sorted((a, b) for a, al, ah in left for b, bl, bh in right if bh >= al and bl <= ah)
+
+
+def test_flush_point_and_rates(spark):
+    log = mvcc.literal_log(spark, [(f"k{i % 9}", 1000 * i + 1, "x" * (i % 50)) for i in range(9000)]).cache()
+    total, point = 0, None
+    for r in log.orderBy("seq").collect():
+        total += len(r["key"]) + len(r["value"]) + 24
+        point = point or (r["seq"] if total >= 300_000 else None)
+    assert maintenance.flush_point(log, 300_000).first()[0] == point
+    assert maintenance.flush_point(log, 10**9).first()[0] is None
+    readings = spark.createDataFrame([(t, t * t) for t in range(1, 50)], "tick bigint, total bigint")
+    assert [r["done"] for r in metrics.counter_rate(readings, 8).orderBy("tick").collect()] == [t * t - (t - 1) ** 2 for t in range(1, 50)]
+    stamps = spark.sql("SELECT timestamp'2024-01-01 23:59:50' + make_interval(0, 0, 0, 0, 0, 0, id * id) AS ts FROM range(200)")
+    got = [(r["second"].hour * 3600 + r["second"].minute * 60 + r["second"].second, r["ops"]) for r in metrics.timeline(stamps).orderBy("second").collect()]
+    assert len(got) == 199 * 199 + 1 and sum(n for _, n in got) == 200 and {i for i, (_, n) in enumerate(got) if n} == {i * i for i in range(200)}
+
+
+def test_pins_are_counted(spark):
+    events = spark.createDataFrame([(5, 1), (5, 1), (5, -1), (9, 1), (9, -1)], "seq bigint, delta int")
+    assert [r["seq"] for r in mvcc.pinned(events).collect()] == [5]
