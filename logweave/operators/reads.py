@@ -6,7 +6,9 @@ commit_term (the term of its entry at commit), read_confirmed (a quorum answered
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from typing import Any
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MODES = ("stale", "lease", "linearizable")
@@ -27,16 +29,33 @@ def admit(nodes: DataFrame, mode: str) -> DataFrame:
 
 
 def read(log: DataFrame, nodes: DataFrame, mode: str) -> DataFrame:
-    """(node, key, value): the live rows that each node that serves the mode returns, ranked once per node."""
+    """(node, key, value): the live rows that each node that serves the mode returns.
+
+    The log is read once, whatever the number of nodes: a version belongs to the lowest read index that sees it, the
+    newest of each key and index is kept by partial aggregation, and only these are looked at for every index."""
     served = admit(nodes, mode).where("answer = 'serve'").select("node", "read_index")
-    rows = log.join(F.broadcast(served), F.col("seq") <= F.col("read_index"))  # a row per node
-    newest = F.row_number().over(Window.partitionBy("node", "key").orderBy(F.desc("seq")))
-    return rows.withColumn("_n", newest).where("_n = 1 and value is not null").select("node", "key", "value")
+    indexes = served.agg(F.array_sort(F.collect_set("read_index")).alias("indexes"))  # at most one number per node
+    seen = log.join(F.broadcast(indexes)).withColumn("upto", F.array_min(F.filter("indexes", lambda i: i >= F.col("seq")))).where("upto is not null")
+    newest = seen.groupBy("key", "upto").agg(F.max_by(F.struct("seq", "value"), "seq").alias("last"))
+    by_key = newest.groupBy("key").agg(F.collect_list(F.struct("upto", "last")).alias("found"))
+    at = by_key.join(F.broadcast(indexes)).withColumn("read_index", F.explode("indexes"))
+    last = F.array_max(F.transform(F.filter("found", lambda x: x["upto"] <= F.col("read_index")), lambda x: x["last"]))
+    live = at.select("key", "read_index", last["value"].alias("value")).where("value is not null")
+    return live.join(served, "read_index").select("node", "key", "value")
+
+
+def read_key(log: DataFrame, nodes: DataFrame, mode: str, key: Any) -> DataFrame:
+    """(node, answer, status, value) of one key at every node: the status is null where the node does not serve."""
+    versions = log.where(F.col("key") == (key if isinstance(key, Column) else F.lit(key))).select("seq", "value")
+    asked = admit(nodes, mode).select("node", "answer", "read_index")
+    found = asked.join(versions, F.col("seq") <= F.col("read_index"), "left").groupBy("node", "answer").agg(F.max_by(F.struct("seq", "value"), "seq").alias("last"))
+    status = F.when(F.col("answer") == "serve", F.when(F.col("last").isNull() | F.col("last.seq").isNull(), "missing").when(F.col("last.value").isNull(), "tombstone").otherwise("live"))
+    return found.select("node", "answer", status.alias("status"), F.col("last.value").alias("value"))
 
 
 def release(pending: DataFrame, applied: DataFrame) -> DataFrame:
     """pending (node, read_id, read_index) with whether the node's applied index allows it; the rest stays pending."""
-    return pending.join(F.broadcast(applied.select("node", "applied")), "node").withColumn("ready", F.col("read_index") <= F.col("applied")).drop("applied")
+    return pending.join(applied.select("node", "applied"), "node").withColumn("ready", F.col("read_index") <= F.col("applied")).drop("applied")
 
 
 def expired(pending: DataFrame, now: int) -> DataFrame:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.operators import commands, reads
+from logweave.shared import new_folder
 from logweave.sources import fixtures
 from logweave.streaming import apply as streaming
 
@@ -42,26 +41,21 @@ def _read(mode: str):
     return run
 
 
-def _shared(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        import uuid
-
-        return f"{folder}/stream-{uuid.uuid4().hex}"
-    local = tempfile.mkdtemp(prefix="logweave-stream-")
-    atexit.register(shutil.rmtree, local, True)
-    return f"file://{local}"
-
-
 def stream_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The command log read as a stream, de-duplicated with keyed state, and the table that the sink wrote."""
-    folder, path = _shared(spark), f"{sf_dir}/events.parquet"
+    folder, path = new_folder(spark, "stream"), f"{sf_dir}/events.parquet"
     # a glob, since a streaming source takes no single file
     source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
     streaming.write_statuses(fixtures.as_commands(source), f"{folder}/out", f"{folder}/checkpoint")
     return spark.read.schema(streaming.STATUS_SCHEMA).parquet(f"{folder}/out")
 
 
+def _key_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One key at every node, in every mode."""
+    found = [reads.read_key(fixtures.mutations(spark, sf_dir), nodes(spark), mode, F.lit("user000000000042").cast("binary")).withColumn("mode", F.lit(mode)) for mode in reads.MODES]
+    return reduce(DataFrame.unionByName, found).select("mode", "node", "answer", "status", F.col("value").cast("string").alias("value"))
+
+
 def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The image of the folded log, and whether that of a restored fold is the same."""
     applied, table = _applied(spark, sf_dir), commands.sessions(fixtures.commands(spark, sf_dir))
@@ -92,6 +86,7 @@ QUERIES = {
     "read_linearizable": _read("linearizable"),
     "read_admission_modes": lambda s, d: reads.admit(nodes(s), "stale").withColumn("mode", F.lit("stale")).unionByName(reads.admit(nodes(s), "lease").withColumn("mode", F.lit("lease"))).unionByName(reads.admit(nodes(s), "linearizable").withColumn("mode", F.lit("linearizable"))).select("node", "mode", "answer", "read_index"),
     "read_release": lambda s, d: reads.release(fixtures.events(s, d).select((F.col("user_id") % 4 + 1).alias("node"), F.col("event_id").alias("read_id"), (F.col("event_id") + 1).alias("read_index")), nodes(s)),
+    "read_key_modes": lambda s, d: _key_modes(s, d),
     # RD6-RD8, CL2
     "read_timeouts": lambda s, d: reads.expired(fixtures.events(s, d).select(F.col("event_id").alias("id"), (F.col("event_id") * 3 % 100 + 50).alias("deadline")), 75),
     "node_status": lambda s, d: reads.status(nodes(s).withColumn("voters", F.lit(3))),
@@ -142,6 +137,9 @@ ORACLE_SQL = {
     "read_linearizable": _read_sql("n.role = 'leader' AND n.commit_term = n.term AND n.read_confirmed AND n.applied >= n.commit AND l.seq <= n.commit"),
     "read_admission_modes": f"WITH {NODES_SQL}, a AS (SELECT node, 'stale' AS mode, 'serve' AS answer, applied AS i FROM nodes UNION ALL SELECT node, 'lease', {_LEASE}, applied FROM nodes UNION ALL SELECT node, 'linearizable', {_LINEAR}, commit FROM nodes) SELECT node, mode, answer, CASE WHEN answer = 'serve' THEN i END AS read_index FROM a",
     "read_release": f"WITH {NODES_SQL} SELECT n.node, e.event_id AS read_id, e.event_id + 1 AS read_index, e.event_id + 1 <= n.applied AS ready FROM events e JOIN nodes n ON n.node = e.user_id % 4 + 1",
+    "read_key_modes": f"""WITH {fixtures.LOG}, {NODES_SQL}, a AS (SELECT node, 'stale' AS mode, 'serve' AS answer, applied AS i FROM nodes UNION ALL SELECT node, 'lease', {_LEASE}, applied FROM nodes UNION ALL SELECT node, 'linearizable', {_LINEAR}, commit FROM nodes),
+  v AS (SELECT a.mode, a.node, a.answer, max(l.seq) AS seq FROM a LEFT JOIN log l ON l.key = 'user000000000042' AND a.answer = 'serve' AND l.seq <= a.i GROUP BY ALL)
+  SELECT v.mode, v.node, v.answer, CASE WHEN v.answer = 'serve' THEN CASE WHEN v.seq IS NULL THEN 'missing' WHEN l.value IS NULL THEN 'tombstone' ELSE 'live' END END AS status, l.value FROM v LEFT JOIN log l ON l.seq = v.seq""",
     "read_timeouts": "SELECT event_id AS id, event_id * 3 % 100 + 50 AS deadline, 'retry' AS answer FROM events WHERE event_id * 3 % 100 + 50 <= 75",
     "node_status": f"WITH {NODES_SQL} SELECT node, role, term, leader, commit, applied, last_index, 3 AS voters FROM nodes",
     "proposal_errors": "SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN 'not_leader:' || coalesce(CASE WHEN event_id % 5 <> 0 THEN CAST(user_id AS VARCHAR) END, 'none') WHEN event_id % 9 = 0 THEN 'retry' WHEN event_id % 2 = 0 AND event_id % 4 = 0 THEN 'configuration change in flight' END AS error FROM events",

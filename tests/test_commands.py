@@ -68,6 +68,19 @@ def test_random_logs_against_a_model(spark):
         assert {r["key"]: r["value"] for r in state.collect()} == kv
 
 
+def test_runs_of_a_hot_key_and_session_are_chained(spark):
+    rng = random.Random(8)
+    some = lambda: rng.choice(["a", "b", "c", "d", "e", None])
+    swaps = [(1, rng.randrange(1, 3 + i), "cas", "k", None, some(), some()) for i in range(500)]
+    resets = [(1, i + 1, rng.choice(["put", "delete"]) if rng.random() < 0.03 else "cas", "k", some() or "x", some(), some()) for i in range(500)]
+    for rows, run, base in ((swaps, 3, {"k": "c"}), (resets, 40, None), (random_rows(11), 7, {"k": "c"})):
+        frame = base and spark.createDataFrame(list(base.items()), "key string, value string")
+        out, state = commands.apply(log(spark, rows), frame, run)
+        want, kv = model(rows, base)
+        assert results(out) == want
+        assert {r["key"]: r["value"] for r in state.collect()} == kv
+
+
 def test_restore_goes_on_from_an_image(spark):
     rows = [(0, 1, "cas", "k", None, "a", "b"), (0, 1, "get", "k", None, None, None)]
     base = spark.createDataFrame([("k", "a"), ("l", "z")], "key string, value string")
