@@ -32,18 +32,15 @@ def to_unit(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(11)).astype(np.float64) / float(1 << 53)
 
 
-def scrambled(rank: np.ndarray, n: int) -> np.ndarray:
-    x = np.asarray(rank).astype(np.uint64) * np.uint64(SCRAMBLE_1)
-    return ((x ^ (x >> np.uint64(33))) * np.uint64(SCRAMBLE_2)) % np.uint64(n)
-
-
 def hash_bytes(values: list[bytes]) -> np.ndarray:
-    """FNV-1a of each value, all values a byte at a time."""
+    """FNV-1a of each value: one step for all values that are long enough at each position of their joined bytes."""
     out = np.full(len(values), FNV_OFFSET, dtype=np.uint64)
     length = np.fromiter(map(len, values), dtype=np.int64, count=len(values))
+    data, start = np.frombuffer(b"".join(values), dtype=np.uint8), np.cumsum(length) - length
+    on = np.arange(len(values))
     for i in range(int(length.max(initial=0))):
-        on = np.flatnonzero(length > i)
-        out[on] = (out[on] ^ np.array([values[k][i] for k in on], dtype=np.uint64)) * np.uint64(FNV_PRIME)
+        on = on[length[on] > i]
+        out[on] = (out[on] ^ data[start[on] + i]) * np.uint64(FNV_PRIME)
     return out
 
 
@@ -99,6 +96,11 @@ def below(x: Column, n: Column | int) -> Column:
     return _below(x, (F.lit(n) if isinstance(n, int) else n).cast("long"))
 
 
+def between(x: Column, lo: int, hi: int) -> Column:
+    """A draw as a whole number from lo to hi, both included."""
+    return below(x, hi - lo + 1) + lo
+
+
 def pick(x: Column, values: list) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (below(x, len(values)) + 1).cast("int"))
 

@@ -4,10 +4,12 @@ parallel from a range and can be made again."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave import schema
@@ -77,6 +79,14 @@ def issued(ops: int, clients: int) -> int:
     return ops // clients * clients
 
 
+def run_plan(spark: SparkSession, name: str, ops: int, clients: int, keys: int, seed: int = 1) -> DataFrame:
+    """(client, op_index, kind, key, scan_length) of a run: each client issues as many operations as the others, one
+    after the other."""
+    per = max(ops // clients, 1)
+    rows = operations(spark, name, issued(ops, clients), keys, seed)
+    return rows.select(F.floor(F.col("op_index") / per).alias("client"), (F.col("op_index") % per).alias("op_index"), "kind", "key", "scan_length")
+
+
 def values(rows: DataFrame, length: int = 100, seed: int = 7) -> DataFrame:
     """rows (i, ...) with `value`: 8-byte little-endian draws, cut to length."""
     per = -(-length // 8)
@@ -134,12 +144,77 @@ def deliver(messages: DataFrame, blocked: DataFrame, drop: float, duplicate: flo
     return copies.withColumn("time", F.col("sent") + delay)
 
 
-def fault_schedule(spark: SparkSession, seed: int, run_ms: int, partition: float, crash: float) -> DataFrame:
-    """(step, at_ms, partition, crash): each 300 to 800 ms a partition or a crash may begin, until the run's end."""
-    s, i = F.lit(seed).cast("bigint"), F.col("id") * 3
-    steps = spark.range(run_ms // 300 + 1).select(F.col("id").alias("step"), (unsigned.below(unsigned.draw(s, i + 1), 501) + 300).alias("gap"), unsigned.draw(s, i + 2).alias("p"), unsigned.draw(s, i + 3).alias("c"))
-    at = F.sum("gap").over(Window.orderBy("step"))
-    return steps.withColumn("at_ms", at).where(F.col("at_ms") < run_ms).select("step", "at_ms", unsigned.chance(F.col("p"), partition).alias("partition"), unsigned.chance(F.col("c"), crash).alias("crash"))
+def event_queue(*events: DataFrame) -> DataFrame:
+    """Events (time, seq, ...) of several sources in the order in which they happen: by time, then as they were put in."""
+    out = events[0]
+    for e in events[1:]:
+        out = out.unionByName(e, allowMissingColumns=True)
+    return out.orderBy("time", "seq")
+
+
+# How long a fault step, a partition and a crash last, in milliseconds; what restarts all at the end.
+FAULT_STEP, PARTITION_MS, DOWN_MS, RESTART_MS, ASYMMETRIC = (300, 800), (500, 3000), (300, 4000), (10, 50), 0.3
+_FAULT = pa.schema([("seed", pa.int64()), ("place", pa.int32()), ("time", pa.int64()), ("event", pa.string()), ("nodes", pa.list_(pa.int32())), ("asymmetric", pa.bool_()), ("until", pa.int64())])
+
+
+class _Draws:
+    """The generator's numbers for a seed, one after the other."""
+
+    def __init__(self, seed: int):
+        self.state, self.place, self.block = (seed + unsigned.GOLDEN) % 2**64, 0, np.zeros(0, dtype=np.uint64)
+
+    def next(self) -> int:
+        if self.place % 1024 == 0:
+            self.block = unsigned.draws(np.full(1024, self.state, dtype=np.uint64), np.arange(self.place + 1, self.place + 1025))
+        self.place += 1
+        return int(self.block[(self.place - 1) % 1024])
+
+    def chance(self, p: float) -> bool:
+        return float(self.next()) / float(2**64 - 1) < p
+
+    def between(self, bounds: tuple[int, int]) -> int:
+        return bounds[0] + self.next() % (bounds[1] - bounds[0] + 1)
+
+
+def _faults(seed: int, nodes: int, end: int, partition: float, crash: float) -> Iterator[dict[str, Any]]:
+    draws, now, up_at = _Draws(seed), 0, dict.fromkeys(range(1, nodes + 1), 0)
+    while now < end:
+        if draws.chance(partition):
+            ids = list(up_at)
+            for i in range(nodes - 1, 0, -1):
+                j = draws.next() % (i + 1)
+                ids[i], ids[j] = ids[j], ids[i]
+            side = ids[: draws.between((1, nodes - 1))]
+            one_way = draws.chance(ASYMMETRIC)
+            yield {"time": now, "event": "partition", "nodes": sorted(side), "asymmetric": one_way, "until": now + draws.between(PARTITION_MS)}
+        if draws.chance(crash):
+            node = draws.between((1, nodes))
+            if up_at[node] <= now:
+                up_at[node] = now + draws.between(DOWN_MS)
+                yield {"time": now, "event": "crash", "nodes": [node], "asymmetric": None, "until": up_at[node]}
+        now += draws.between(FAULT_STEP)
+    yield {"time": now, "event": "heal", "nodes": [], "asymmetric": None, "until": None}
+    for node, at in up_at.items():
+        if at > now:
+            yield {"time": now, "event": "restart", "nodes": [node], "asymmetric": None, "until": now + draws.between(RESTART_MS)}
+
+
+def fault_schedule(runs: DataFrame) -> DataFrame:
+    """runs (seed, nodes, end_ms, partition, crash) to (seed, place, time, event, nodes, asymmetric, until).
+
+    Every 300 to 800 ms, until end_ms, a partition may begin (its one side, whether only one way is blocked, and when it
+    heals) and a node that is up may crash (and when it restarts). The first step after that heals all links, and
+    restarts the nodes that are down still. A seed's draws are taken in that order from one generator; seeds are
+    independent, so they are spread."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                found = [{"seed": row["seed"], "place": i, **e} for i, e in enumerate(_faults(row["seed"], row["nodes"], row["end_ms"], row["partition"], row["crash"]))]
+                yield pa.RecordBatch.from_pylist(found, _FAULT)
+
+    wanted = runs.select(F.col("seed").cast("bigint").alias("seed"), F.col("nodes").cast("int").alias("nodes"), F.col("end_ms").cast("bigint").alias("end_ms"), F.col("partition").cast("double").alias("partition"), F.col("crash").cast("double").alias("crash"))
+    return wanted.mapInArrow(run, "seed bigint, place int, time bigint, event string, nodes array<int>, asymmetric boolean, until bigint")
 
 
 def backoff(tries: DataFrame, base_ms: int, cap_ms: int) -> DataFrame:
