@@ -2,53 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from logweave.shared import delete, new_folder, partitions, scratch, shared_folder, stored
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`; only where that is unset (tests), one of this machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + os.path.join(tempfile.gettempdir(), "logweave-shared")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A path of its own below the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-_scratch: list[list[str]] = []
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables stored in here are deleted at the end, but for those that are to be kept."""
-    _scratch.append([])
-    try:
-        yield
-    finally:
-        for name in _scratch.pop():
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """df, written to the shared folder and read from there: lineage ends here, and lost executors cost nothing."""
-    path = new_folder(df.sparkSession, name)
-    if _scratch and not keep:
-        _scratch[-1].append(path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+__all__ = ["delete", "new_folder", "partitions", "scratch", "shared_folder", "stored"]
