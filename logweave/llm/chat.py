@@ -10,8 +10,9 @@ A conversation's turns are sorted by (turn, role, text) within its partition and
 per conversation, and further rows (`chunk` 1, 2, ...) where one holds more than `CHUNK_CHARS`. Reading back streams
 in the same way, so no conversation is collected, however long; its digest is sequential by nature.
 
-Null text is empty, a null role too; a null conv_id is a conversation of its own. Repeated rows are turns like all
-others. An empty table gives no rows. Extra columns are not read.
+Null text is empty, a null role too; a null conv_id is a conversation of its own. A null part counts as none; one of an
+unknown or null kind becomes a placeholder `<|other:0|>` of 0 tokens. Turns that tie are ordered by role and text.
+Repeated rows are turns like all others. An empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ _ARROW = pa.schema(
         ("expanded_tokens", pa.int64()),
     ]
 )
-READ_SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+READ_SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_attachments long, expanded_tokens long"
 
 _CONTROL = re.compile(r"\\|###|</turn>|<\|")
 _ROLE_CONTROL = re.compile(r"\\|###|</turn>|<\||:|\n")
@@ -71,8 +72,10 @@ class Flattener:
     attachments: list[dict[str, Any]] = field(default_factory=list)
     length: int = 0
 
-    def visit(self, part: dict[str, Any]) -> None:
-        getattr(self, f"visit_{part['type']}")(part)
+    def visit(self, part: dict[str, Any] | None) -> None:
+        if part is not None:
+            visitors = {"text": self.visit_text, "image": self.visit_image, "audio": self.visit_audio, "document": self.visit_document}
+            visitors.get(part.get("type"), self.visit_other)(part)
 
     def _put(self, s: str) -> None:
         self.pieces.append(s)
@@ -94,6 +97,10 @@ class Flattener:
     def visit_document(self, part: dict[str, Any]) -> None:
         self._attach("document", part, (part.get("pages") or 0) * PAGE_TOKENS)
 
+    def visit_other(self, part: dict[str, Any]) -> None:
+        """A part of a kind that has no visitor (or none): its place and reference are kept, its size is unknown."""
+        self._attach("other", part, 0)
+
 
 def flatten(parts: list[dict[str, Any]] | None, turn: int = 0) -> tuple[str, list[dict[str, Any]]]:
     """The content of a turn and its attachments; offsets count code points of the content."""
@@ -181,19 +188,22 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """One row per conversation, from the formatted text and the loss mask alone."""
     names = [x.split()[0] for x in READ_SCHEMA.split(", ")]
 
+    def rows(out: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(v, pa.string() if n.endswith("sha256") else pa.int64()) for n, v in zip(names, zip(*out))], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: list[Any] | None = None
 
         def done(s: list[Any]) -> tuple:
-            return (s[0], s[1], s[2].hexdigest(), s[3], s[4].hexdigest(), s[5])
+            return (s[0], s[1], s[2].hexdigest(), s[3], s[4].hexdigest(), s[5], s[6], s[7])
 
         for batch in batches:
             out = []
-            for conv, text, loss in zip(*(batch[c].to_pylist() for c in ("conv_id", "formatted", "loss"))):
+            for conv, text, loss, attached, tokens in zip(*(batch[c].to_pylist() for c in ("conv_id", "formatted", "loss", "attachments", "expanded_tokens"))):
                 if state is None or state[0] != conv:
                     if state is not None:
                         out.append(done(state))
-                    state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
                 for role, content, _, _ in parse(text):
                     state[2].update(f"{role}\n{unescape(content)}\n".encode())
                     state[1] += 1
@@ -202,9 +212,11 @@ def read_back(formatted: DataFrame) -> DataFrame:
                     state[3] += len(plain)
                     state[4].update(plain.encode())
                 state[5] += len(text)
+                state[6] += len(attached)
+                state[7] += tokens
             if out:
-                yield pa.record_batch([pa.array(v) if v[0].__class__ is str else pa.array(v, pa.int64()) for v in map(list, zip(*out))], names=names)
+                yield rows(out)
         if state is not None:
-            yield pa.record_batch([pa.array([v]) if isinstance(v, str) else pa.array([v], pa.int64()) for v in done(state)], names=names)
+            yield rows([done(state)])
 
-    return _in_order(formatted.select("conv_id", "chunk", "formatted", "loss"), "chunk").mapInArrow(run, READ_SCHEMA)
+    return _in_order(formatted.select("conv_id", "chunk", "formatted", "loss", "attachments", "expanded_tokens"), "chunk").mapInArrow(run, READ_SCHEMA)
