@@ -8,7 +8,14 @@ payload's digest is computed while it is read and compared with the header.
 
 A null html is an empty payload. A null page_id can only be a response if all rows of its payload have none. Repeated
 rows of a response's page_id and payload are all responses. An empty table writes no archive. Extra columns are not
-read. Archives that are cut off or malformed raise ValueError with the byte offset of the record.
+read; of several rows with a payload's largest page_id all are responses. A payload of any length is written and read in
+memory proportional to it, or to a piece of it when reading.
+
+Archives of others are read, too. A record whose block is no HTTP message (warcinfo, metadata, resource, conversion) has
+its whole block as payload. Without a SHA-1 digest in its header a record gets the digest that was computed, and
+digest_ok is null; a digest that does not agree gives digest_ok false, and the header's digest. A revisit without an
+HTTP head has no payload size (null) and no digest but the header's. page_id and refers_to are null unless they are
+this writer's. Archives that are cut off or malformed raise ValueError with the number and byte offset of the record.
 """
 
 from __future__ import annotations
@@ -86,13 +93,14 @@ class _Member:
     """The inflated bytes of one gzip member, a piece at a time."""
 
     def __init__(self, stream, rest: bytes):
-        self.stream, self.raw, self.out = stream, rest, b""
+        self.stream, self.raw, self.out, self.taken = stream, rest, b"", len(rest)
         self.inflate = zlib.decompressobj(31)
 
     def more(self) -> bool:
         while not self.inflate.eof:
             if not self.raw:
                 self.raw = self.stream.read(PIECE)
+                self.taken += len(self.raw)
                 if not self.raw:
                     raise ValueError("the archive ends within a record")
             try:
@@ -127,7 +135,7 @@ def _fields(head: bytes) -> dict[str, str]:
 
 def records(stream, keep_payload: bool = False) -> Iterator[Record]:
     """All records of an archive, in order; memory holds a piece of one (or its payload, if it is to be kept)."""
-    rest, number = b"", 0
+    rest, number, offset = b"", 0, 0
     while True:
         rest = rest or stream.read(PIECE)
         if not rest:
@@ -138,8 +146,11 @@ def records(stream, keep_payload: bool = False) -> Iterator[Record]:
             if not head.startswith(b"WARC/"):
                 raise ValueError("no WARC header")
             headers = _fields(head)
+            if not headers.get("content-length", "").isdecimal():
+                raise ValueError("no Content-Length")
             left = int(headers["content-length"])
-            http, sha1, size, kept, before = None, hashlib.sha1(), 0, [], b""
+            is_http = headers.get("content-type", "").lower().startswith("application/http")
+            http, sha1, size, kept, before = None if is_http else {}, hashlib.sha1(), 0, [], b""
             for piece in m.pieces(left):
                 if http is None:
                     before += piece
@@ -153,9 +164,9 @@ def records(stream, keep_payload: bool = False) -> Iterator[Record]:
                     kept.append(piece)
             if b"".join(m.pieces(4)) != b"\r\n\r\n" or m.out or m.more():
                 raise ValueError("a record does not end with its gzip member")
-        except (ValueError, KeyError) as e:
-            raise ValueError(f"record {number}: {e}") from None
-        rest, number = m.raw, number + 1
+        except ValueError as e:
+            raise ValueError(f"record {number} at byte {offset}: {e}") from None
+        rest, number, offset = m.raw, number + 1, offset + m.taken - len(m.raw)
         yield Record(headers, http or {}, size, sha1.digest(), b"".join(kept) if keep_payload else None)
 
 
@@ -196,19 +207,28 @@ def write(pages: DataFrame, folder: str | None = None, min_bytes: int = MIN_BYTE
     return spark.read.schema(schema).parquet(f"{folder}/list")
 
 
+def described(r: Record) -> tuple[int | None, int | None, str | None, str | None, int | None, str | None, bool | None]:
+    """The row of a record (see SCHEMA)."""
+    name, _, given = r.headers.get("warc-payload-digest", "").partition(":")
+    given = given.strip().upper() if name.strip().lower() == "sha1" else None
+    kind, target = r.headers.get("warc-type"), None
+    if kind == "revisit":
+        length = r.http.get("content-length", "")
+        size, digest, ok = int(length) if length.isdecimal() else None, given, True if given else None
+        target = page_of(r.headers.get("warc-refers-to", ""))
+    else:
+        size, computed = r.payload_bytes, digest32(r.sha1)
+        digest, ok = given or computed, given == computed if given else None
+    return page_of(r.headers.get("warc-record-id", "")), size, digest, kind, target, r.headers.get("warc-target-uri"), ok
+
+
 def read(archives: DataFrame) -> DataFrame:
     """One row per record of all archives; each archive is read by one task, in order."""
 
     def rows(path: str) -> Iterator[tuple]:
         with opened(path) as stream:
             for r in records(stream):
-                given = r.headers["warc-payload-digest"].removeprefix("sha1:")
-                kind, size = r.headers["warc-type"], r.payload_bytes
-                if kind == "revisit":
-                    ok, size, target = True, int(r.http["content-length"]), page_of(r.headers["warc-refers-to"])
-                else:
-                    ok, target = digest32(r.sha1) == given, None
-                yield page_of(r.headers["warc-record-id"]), size, given, kind, target, r.headers["warc-target-uri"], ok
+                yield described(r)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in SCHEMA.split(", ")]
