@@ -1,12 +1,16 @@
 """Quality rules: a hashed word and character n-gram logistic regression with calibrated probabilities.
 
 The model is fitted on a bounded sample of labelled rows (`sample_rows`, the smallest hashes of doc_id; those that
-pass the base rule), four fifths of it for the weights and the rest for Platt scaling. Documents are scored in Arrow batches against one
-fixed threshold; there is no shuffle of texts.
+pass the base rule), four fifths of it for the weights and the rest for Platt scaling. Documents are scored in Arrow
+batches against one fixed threshold; there is no shuffle of texts.
+
+What the driver gets for the fit is bounded twice: by the number of rows, one for each doc_id (of repeated ones the text
+with the smallest hash), and by `SAMPLE_SLOTS` features in all, whole rows in the order of their hashes. The features of
+the sample stand in a stored table meanwhile.
 
 Null or empty texts have no words, so they fail the base rule. Rows with a null label are not used. Without
-both classes in the sample there is no model, and only the base rule rejects. Repeated rows get equal results;
-extra columns of the input are not read by `rules` and are passed through by `keep`.
+both classes in the sample there is no model, and only the base rule rejects. Repeated rows get equal results, and a
+text of any length is scored whole; extra columns of the input are not read by `rules` and are passed through by `keep`.
 """
 
 from __future__ import annotations
@@ -21,9 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.llm import text as tx
+from logweave.llm.session import stored
 
 #: Bound on the labelled rows that the model is fitted on.
 SAMPLE_ROWS = 2000
+#: Bound on their features (slots that a text has n-grams in; 8 bytes each).
+SAMPLE_SLOTS = 6_000_000
 #: A document is kept from this probability of good quality on.
 THRESHOLD = 0.4
 BITS = 16
@@ -132,7 +139,7 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 slots_out.append(kinds.astype(np.int32).tobytes())
                 values_out.append(np.bincount(inverse, weights=share, minlength=len(kinds)).astype(np.float32).tobytes())
         passed = batch.take(pa.array(rows, pa.int64()))
-        yield pa.record_batch([passed["doc_id"], passed["label"], pa.array(slots_out, pa.binary()), pa.array(values_out, pa.binary())], names=["doc_id", "label", "slots", "vals"])
+        yield pa.record_batch([passed["doc_id"], passed["label"], passed["hash"], pa.array([len(x) // 4 for x in slots_out], pa.int64()), pa.array(slots_out, pa.binary()), pa.array(values_out, pa.binary())], names=["doc_id", "label", "hash", "n", "slots", "vals"])
 
 
 def _descend(rows: np.ndarray, slots: np.ndarray, values: np.ndarray, y: np.ndarray, steps: int = 80, decay: float = 1e-5) -> tuple[np.ndarray, float]:
@@ -179,12 +186,19 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     """A model from the labelled rows; `labels` has doc_id and quality (0 or 1; the lowest counts for a doc_id)."""
     chosen = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    texts = documents.select("doc_id", "text").where("text is not null")
+    texts = documents.select("doc_id", "text", F.xxhash64("text").alias("hash")).where("text is not null")
     # at most sample_rows ids and labels are broadcast
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("label").cast("int").alias("label"), "text")
-    found = rows.mapInArrow(_featurise, "doc_id long, label int, slots binary, vals binary").toArrow()
-    order = sorted(zip(found["doc_id"].to_pylist(), found["slots"].to_pylist(), range(len(found))))
-    found = found.take(pa.array([i for _, _, i in order], pa.int64()))
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("label").cast("int").alias("label"), "hash", "text")
+    features = rows.mapInArrow(_featurise, "doc_id long, label int, hash long, n long, slots binary, vals binary")
+    # of repeated ids one stays, in each task first
+    one = features.groupBy("doc_id").agg(F.min_by(F.struct("label", "n", "slots", "vals"), F.struct("hash", "label")).alias("x")).select("doc_id", "x.*")
+    features = stored(one, "quality-sample")
+    sizes = sorted(((r["h"], r["doc_id"], r["n"]) for r in features.select(F.xxhash64("doc_id").alias("h"), "doc_id", "n").collect()))  # three numbers a row
+    within = [doc for (_, doc, _), upto in zip(sizes, np.cumsum([n for _, _, n in sizes])) if upto <= SAMPLE_SLOTS]
+    if len(within) < len(sizes):
+        features = features.where(F.col("doc_id").isin(within))
+    found = features.select("doc_id", "label", "slots", "vals").toArrow()
+    found = found.take(pa.array(np.argsort(found["doc_id"].to_numpy(), kind="stable") if len(found) else [], pa.int64()))
     y = found["label"].to_numpy().astype(float) if len(found) else np.zeros(0)
     if len(set(y > 0)) < 2:
         return Model(np.zeros(1 << BITS, dtype=np.float32), 0.0, threshold=threshold, fitted=False)
