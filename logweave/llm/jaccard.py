@@ -15,7 +15,7 @@ report, for each class, its links and the smallest class it is connected to. Com
 labels with pointer jumping over these edges, each round stored.
 
 Texts under five words have one shingle, all their words; texts without words (null, empty) have no set: they link to
-nothing and are classes of their own. Repeated rows are copies. A null doc_id is a row like others, but can't be a
+nothing and are classes of their own; long texts are compared by all their shingles. Repeated rows are copies. A null doc_id is a row like others, but can't be a
 class id unless all of the class are null. An empty table gives no rows. Extra columns are not read.
 """
 
@@ -37,7 +37,7 @@ TOKENS, RUNS, SMALL, DEPTH, BRANCHES = 64, 10, 128, 3, 2
 #: Agreeing tokens from which a pair is compared by its sets.
 MAYBE = 35
 #: Classes and shingles of a block, about; a tile has one or two blocks.
-BLOCK, BLOCK_SHINGLES = 256, 1 << 20
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 
 _ODD = tx.mix64(np.arange(1, TOKENS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32) | np.uint32(1)
 _XOR = (tx.mix64(np.arange(1, TOKENS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(32)).astype(np.uint32)
@@ -320,7 +320,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classify(documents: DataFrame) -> DataFrame:
-    """(doc_id, rid, text_hash, label, n_links) of every document; label names its component, null without words."""
+    """(doc_id, rid, text_hash, label, n_links, class_id) of every document; label names its component, null without words."""
     with scratch(documents.sparkSession):
         return stored(_classified(documents), "jaccard-rows", keep=True)
 
@@ -328,25 +328,25 @@ def classify(documents: DataFrame) -> DataFrame:
 def _classified(documents: DataFrame) -> DataFrame:
     described = stored(describe(documents), "jaccard-documents")
     worded = described.where("digest is not null")
-    classes = stored(worded.groupBy("digest").agg(F.min("rid").alias("rid"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("copies")), "jaccard-classes")
+    classes = stored(worded.groupBy("digest").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("copies")), "jaccard-classes")
     found = stored(links(documents, classes), "jaccard-links")
     summed = found.groupBy("digest").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("digest").alias("a"), F.col("root").alias("b")))
-    known = classes.select("digest", "copies").join(summed, "digest", "left").join(labels.withColumnRenamed("node", "digest"), "digest", "left")
-    known = known.select("digest", F.coalesce("label", "digest").alias("label"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    row = ["doc_id", "rid", "text_hash", "label", "n_links"]
-    alone = described.where("digest is null").select("doc_id", "rid", "text_hash", F.lit(None).cast("binary").alias("label"), F.lit(0).cast("long").alias("n_links"))
+    known = classes.select("digest", "copies", "low").join(summed, "digest", "left").join(labels.withColumnRenamed("node", "digest"), "digest", "left")
+    known = stored(known.select("digest", "low", F.coalesce("label", "digest").alias("label"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "jaccard-known")
+    # the ids of components are joined to classes, of which a hot text has one; both tables are stored, so that the
+    # adaptive skew join can split a hot component here and a hot text below
+    ids = stored(known.groupBy("label").agg(F.min("low").alias("class_id")), "jaccard-ids")
+    known = stored(known.drop("low").join(ids, "label"), "jaccard-named")
+    row = ["doc_id", "rid", "text_hash", "label", "n_links", "class_id"]
+    alone = described.where("digest is null").select("doc_id", "rid", "text_hash", F.lit(None).cast("binary").alias("label"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("class_id"))
     return worded.select("doc_id", "rid", "text_hash", "digest").join(known, "digest").select(*row).unionByName(alone)
 
 
 def join(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, class_id (the smallest doc_id of its connected component) and n_links (the other
     documents at a similarity of 0.8 or more)."""
-    rows = classify(documents)
-    worded = rows.where("label is not null")
-    ids = worded.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    alone = rows.where("label is null").select("doc_id", F.col("doc_id").alias("class_id"), "n_links")
-    return worded.join(ids, "label").select("doc_id", "class_id", "n_links").unionByName(alone)
+    return classify(documents).select("doc_id", "class_id", "n_links")
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
