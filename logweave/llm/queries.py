@@ -50,10 +50,16 @@ k AS (
   SELECT b.source, b.blocks, r.slot, row_number() OVER (PARTITION BY b.source ORDER BY r.slot) - 1 AS block
   FROM (SELECT range AS slot, (range::HUGEINT * 2654435769 % 4294967296)::BIGINT AS point FROM range((SELECT coalesce(max(n), 0)::BIGINT FROM b))) r
   JOIN b ON floor((b.upto - b.blocks) * 4294967296.0::DOUBLE / b.n) <= r.point AND r.point < floor(b.upto * 4294967296.0::DOUBLE / b.n)),
+u AS (
+  SELECT b.source, unnest(range(coalesce(h.have, 0), b.blocks)) AS block, b.n FROM b
+  LEFT JOIN (SELECT source, count(*) AS have FROM k WHERE block < blocks GROUP BY source) h ON b.source IS NOT DISTINCT FROM h.source),
+s2 AS (
+  SELECT source, block, slot FROM k WHERE block < blocks
+  UNION ALL SELECT source, block, n::BIGINT + row_number() OVER (ORDER BY source NULLS LAST, block) - 1 FROM u),
 g AS (
   SELECT p.doc_id, p.source, p.start, p.size, min(k.slot) AS first_slot
   FROM (SELECT *, start + n * source_size AS lo, least(start + n * source_size + size, stop) AS hi FROM p, (VALUES (0), (1)) v(n)) p
-  JOIN k ON p.source IS NOT DISTINCT FROM k.source AND k.block < k.blocks AND p.hi > p.lo AND k.block BETWEEN p.lo // 2048 AND (p.hi - 1) // 2048 GROUP BY ALL)
+  JOIN s2 k ON p.source IS NOT DISTINCT FROM k.source AND p.hi > p.lo AND k.block BETWEEN p.lo // 2048 AND (p.hi - 1) // 2048 GROUP BY ALL)
 SELECT p.doc_id, CAST(p.size AS BIGINT) AS size, p.source_size, p.target, p.source,
   CAST(greatest(0, least(stop, p.start + p.size) - p.start) + greatest(0, least(stop, source_size + p.start + p.size) - (source_size + p.start)) AS BIGINT) AS taken, g.first_slot
 FROM p LEFT JOIN g ON p.doc_id = g.doc_id AND p.source IS NOT DISTINCT FROM g.source AND p.start = g.start AND p.size = g.size"""
