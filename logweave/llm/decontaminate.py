@@ -8,14 +8,16 @@ distance 31 of an item agrees in at least one block. Candidates are then compare
 Jaccard similarity of the shingles must be 0.8 or more.
 
 Windows without any shingle of an item of their size have similarity 0 and are not fingerprinted; that leaves out
-no window that the exact comparison could accept. The items are read in blocks of at most `BLOCK_ITEMS`, each
-block against all documents. Weights do not depend on the blocks: if there are several, document frequencies are
-counted over all items first, and the shingles of two or more items go along with each block, 12 bytes each (all
-others have a frequency of 1). Only that count is shuffled.
+no window that the exact comparison could accept. The items are read in blocks of at most `BLOCK_ITEMS`. If there are
+several, one pass over the documents keeps those that have a shingle of any item, by a bitmap of the shingles' hashes
+of at most 2 ** `BITMAP_BITS` bits, and only these few are stored and compared with each block. Weights do not depend
+on the blocks: document frequencies are counted over all items first, and the shingles of two or more items go along
+with each block, 12 bytes each (all others have a frequency of 1). Only that count is shuffled.
 
 Null or empty texts, and items without words, match nothing. An item with a null id is an item like any other; its
-matches have a null item_id. Repeated rows are reported once each; extra columns
-are not read by `leaks` and passed through by `clean`.
+matches have a null item_id. Of equally similar windows the first is told. Repeated rows are reported once each; texts
+and items of any length are compared whole, in blocks of 4,096 shingles. Extra columns are not read by `leaks` and
+passed through by `clean`.
 """
 
 from __future__ import annotations
@@ -35,14 +37,17 @@ from pyspark.sql import functions as F
 
 from logweave.llm import text as tx
 from logweave.llm.licences import Lookup
+from logweave.llm.session import stored
 
 SHINGLE, SIMILARITY = 5, 0.8
 BLOCKS, BLOCK_BITS, FLIPS = 8, 16, 3
 RADIUS = BLOCKS * (FLIPS + 1) - 1
 #: Items of one pass over the documents; 5,576 index entries each.
 BLOCK_ITEMS = 2000
-#: Pairs of a window and an item compared at once.
-AT_ONCE = 1 << 20
+#: Bits of the bitmap of all shingles, at most: 64 MB.
+BITMAP_BITS = 29
+#: Shingles whose signs are summed at once, 1 KB each.
+AT_ONCE = 4096
 
 SCHEMA = "doc_id long, item_id long, first_word long, n_words long, hamming int, similarity double"
 
@@ -101,7 +106,7 @@ class Index:
         for size, grams in grams_of.items():
             self.by_size[size] = Lookup(np.array(sorted(grams), dtype=np.uint64))
         self.any = {n: Lookup(np.unique(np.concatenate([x.keys for s, x in self.by_size.items() if min(SHINGLE, s) == n])), 20) for n in {min(SHINGLE, s) for s in self.by_size}}
-        self.prints = np.concatenate([packed((signs(np.array(list(bag), dtype=np.uint64)) * np.array([c * self.weight[g] for g, c in bag.items()], dtype=np.int64)[:, None]).sum(axis=0, keepdims=True)) for bag in self.bags]) if self.bags else np.zeros((0, 2), dtype=np.uint64)
+        self.prints = packed(np.stack([self._whole(np.repeat(np.array(list(bag), dtype=np.uint64), list(bag.values()))) for bag in self.bags])) if self.bags else np.zeros((0, 2), dtype=np.uint64)
         self.size_of = np.array(self.sizes, dtype=np.int64)
         self.tables = []
         blocks = self.prints.view(np.uint16).reshape(-1, BLOCKS) if self.bags else np.zeros((0, BLOCKS), dtype=np.uint16)
@@ -176,19 +181,37 @@ class Index:
                         self._run(grams, int(np.searchsorted(first, a2)), a2, b2, size, n, at, rows, best)
         return best
 
-    def _sums(self, part: np.ndarray) -> np.ndarray:
-        """Running sums of the weighted signs."""
-        sums = np.zeros((len(part) + 1, 128), dtype=np.int64)
-        np.cumsum(signs(part) * self._weights(part)[:, None], axis=0, out=sums[1:])
-        return sums
+    def _whole(self, part: np.ndarray) -> np.ndarray:
+        """The sum of the weighted signs of all shingles."""
+        total = np.zeros(128, dtype=np.int64)
+        for a in range(0, len(part), AT_ONCE):
+            some = part[a : a + AT_ONCE]
+            total += self._weights(some) @ signs(some)
+        return total
+
+    def _windows(self, part: np.ndarray, span: int) -> np.ndarray:
+        """That sum for each window of `span` shingles: running sums, of which only those at windows' ends are held."""
+        n = len(part) - span + 1
+        low, high, carry = np.zeros((n, 128), dtype=np.int64), np.zeros((n, 128), dtype=np.int64), np.zeros(128, dtype=np.int64)
+        for a in range(0, len(part), AT_ONCE):
+            some = part[a : a + AT_ONCE]
+            sums = carry + np.cumsum(signs(some) * self._weights(some)[:, None], axis=0, dtype=np.int64)  # up to a + 1, a + 2, ...
+            b, carry = a + len(some), sums[-1]
+            lo, hi = max(a + 1, 1), min(b + 1, n)
+            if lo < hi:
+                low[lo:hi] = sums[lo - a - 1 : hi - a - 1]
+            lo, hi = max(a + 1, span), min(b + 1, span + n)
+            if lo < hi:
+                high[lo - span : hi - span] = sums[lo - a - 1 : hi - a - 1]
+        return high - low
 
     def _clipped(self, grams, gram_at, docs, at, best) -> None:
         """Whole documents against all items that are longer."""
-        turn = np.cumsum(gram_at[docs + 1] - gram_at[docs]) // 4096
+        turn = np.cumsum(gram_at[docs + 1] - gram_at[docs]) // AT_ONCE
         for some in np.split(docs, np.flatnonzero(np.diff(turn)) + 1) if len(docs) else []:
             parts = [grams[gram_at[d] : gram_at[d + 1]] for d in some]
             size = at[some + 1] - at[some]
-            w, e, distance = self.near(packed(np.stack([self._sums(part)[-1] for part in parts])), size, clipped=True)
+            w, e, distance = self.near(packed(np.stack([self._whole(part) for part in parts])), size, clipped=True)
             for i, item, d in zip(w.tolist(), e.tolist(), distance.tolist()):
                 s = self.similarity(parts[i], item)
                 if s >= SIMILARITY:
@@ -196,9 +219,8 @@ class Index:
 
     def _run(self, grams, g, a, b, size, n, at, rows, best) -> None:
         part = grams[g : g + (b - a) + size - n + 1]
-        sums = self._sums(part)
         span = size - n + 1
-        w, e, distance = self.near(packed(sums[span:] - sums[:-span]), size)
+        w, e, distance = self.near(packed(self._windows(part, span)), size)
         for i, item, d in zip(w.tolist(), e.tolist(), distance.tolist()):
             s = self.similarity(part[i : i + span], item)
             if s >= SIMILARITY:
@@ -264,6 +286,53 @@ def item_blocks(benchmark: DataFrame) -> list[Block]:
     return [*out, (context.broadcast((uuid.uuid4().hex, block)), common)] if block or not out else out
 
 
+#: The bitmap of all items' shingles, and by how many bits their hashes are shifted to its places; the shingles' lengths.
+Bitmap = tuple[np.ndarray, int, list[int]]
+
+
+def shingle_bitmap(blocks: list[Block]) -> Bitmap:
+    """A place for each shingle of the items: 16 bits a shingle, up to the bound."""
+    hashes, lengths = [], set()
+    for block, _ in blocks:
+        for words in hashed_words([t for _, t in block.value[1]]):
+            if len(words):
+                lengths.add(min(SHINGLE, len(words)))
+                hashes.append(tx.ngrams(words, np.array([0, len(words)]), min(SHINGLE, len(words)))[0])
+    n = sum(map(len, hashes))
+    bits = min(BITMAP_BITS, max(10, (16 * n).bit_length()))
+    bitmap, shift = np.zeros(1 << (bits - 3), dtype=np.uint8), 64 - bits
+    for h in hashes:
+        at = h >> np.uint64(shift)
+        np.bitwise_or.at(bitmap, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+    return bitmap, shift, sorted(lengths)
+
+
+def suspects(column: pa.Array, bitmap: Bitmap) -> np.ndarray:
+    """Whether each text may have a shingle of an item; where this is false, it has none."""
+    bits, shift, lengths = bitmap
+    out = np.zeros(len(column), dtype=bool)
+    for lo, hi, buf, offsets in tx.chunks(column):
+        starts, ends, at = tx.segments(buf, offsets, tx.SPACE)
+        words = tx.segment_hashes(buf, starts, ends)
+        for n in lengths:
+            grams, _, gram_at = tx.ngrams(words, at, n)
+            place = grams >> np.uint64(shift)
+            hit = bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1
+            out[lo:hi] |= tx.range_sum(hit, gram_at[:-1], gram_at[1:]) > 0
+    return out
+
+
+def _split(documents: DataFrame, bitmap: Broadcast, suspected: bool) -> DataFrame:
+    """The documents that may have a shingle of an item, or all others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(suspects(batch["text"], bitmap.value) == suspected))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def _leaks(documents: DataFrame, items: Block) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _index(items)
@@ -274,27 +343,39 @@ def _leaks(documents: DataFrame, items: Block) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64())
                 yield pa.record_batch([batch["doc_id"].cast(pa.int64()).take(pa.array(row)), *(pa.array(v, k) for v, k in zip(rest, kinds))], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return documents.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return documents.mapInArrow(run, SCHEMA)
+
+
+def _clean(documents: DataFrame, items: Block) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _index(items)
+        for batch in batches:
+            if batch.num_rows:
+                drop = np.ones(batch.num_rows, dtype=bool)
+                drop[[x[0] for x in index.search(batch["text"])]] = False
+                yield batch.filter(pa.array(drop))
+
+    return documents.mapInArrow(run, documents.schema)
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document row and item that it has a window of: the most similar window, the first of equals.
 
     n_words are the window's: fewer than the item's if the document is shorter than the item."""
-    return reduce(DataFrame.unionAll, [_leaks(documents, b) for b in item_blocks(benchmark)])
+    blocks, documents = item_blocks(benchmark), documents.select("doc_id", "text")
+    if len(blocks) > 1:
+        bitmap = documents.sparkSession.sparkContext.broadcast(shingle_bitmap(blocks))
+        documents = stored(_split(documents, bitmap, True), "decontaminate-suspects")
+    return reduce(DataFrame.unionAll, [_leaks(documents, b) for b in blocks])
 
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without any match, with all their columns."""
-    for items in item_blocks(benchmark):
-
-        def run(batches: Iterator[pa.RecordBatch], items: Block = items) -> Iterator[pa.RecordBatch]:
-            index = _index(items)
-            for batch in batches:
-                if batch.num_rows:
-                    drop = np.ones(batch.num_rows, dtype=bool)
-                    drop[[x[0] for x in index.search(batch["text"])]] = False
-                    yield batch.filter(pa.array(drop))
-
-        documents = documents.mapInArrow(run, documents.schema)
-    return documents
+    blocks = item_blocks(benchmark)
+    if len(blocks) == 1:
+        return _clean(documents, blocks[0])
+    bitmap = documents.sparkSession.sparkContext.broadcast(shingle_bitmap(blocks))
+    rest = _split(documents, bitmap, True)
+    for block in blocks:
+        rest = _clean(stored(rest, "decontaminate-suspects"), block)
+    return _split(documents, bitmap, False).unionAll(rest)
