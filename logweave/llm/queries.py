@@ -74,7 +74,17 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.read(warc.write(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    found = warc.read(warc.write(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
+
+
+#: SHA-1 in base32: eight groups of five hex digits give four letters each.
+_LETTERS = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {5 * g + 1}, 5))::INT >> {15 - 5 * k}) & 31) + 1, 1)" for g in range(8) for k in range(4))
+OP6_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages),
+d AS (SELECT *, sha1(payload) AS h, page_id IS NOT DISTINCT FROM top AS response FROM p)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, {_LETTERS} AS payload_digest,
+  CASE WHEN response THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN NOT response THEN top END AS refers_to, true AS digest_ok FROM d"""
 
 
 #: (kind, pattern, category, action, day) of the list that stands in every run.
@@ -124,13 +134,61 @@ FROM c LEFT JOIN m ON m.page_id = c.page_id AND m.no = 1"""
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """The fingerprints' distance is left out, as no other engine has these fingerprints."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hamming")
+
+
+def _shingles_sql(words: str) -> str:
+    """The shingles of a list of words, in order: of five words, or all of fewer."""
+    return f"list_transform(range(1, greatest(len({words}) - 3, 2)), lambda i: array_to_string({words}[i:i + 4], ' '))"
+
+
+_WORDS_SQL = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+#: Every window of an item's length that shares a shingle with the item (or a shorter document as a whole), compared
+#: by whole weighted multisets; the fingerprints only choose among these.
+OP8_SQL = f"""
+WITH iw AS (SELECT item_id, row_number() OVER () AS item, {_WORDS_SQL} AS w FROM benchmark),
+i AS (SELECT item_id, item, len(w) AS size, least(5, len(w)) AS n, {_shingles_sql('w')} AS s FROM iw WHERE len(w) > 0),
+ig AS (SELECT item, n, g, count(*) AS k FROM (SELECT item, n, unnest(s) AS g FROM i) GROUP BY ALL),
+total AS (SELECT count(*) AS items FROM i),
+weight AS (SELECT n, g, greatest(1, round(1000 * ln(1 + items / count(*))))::BIGINT AS weight FROM ig, total GROUP BY n, g, items),
+other AS (SELECT greatest(1, round(1000 * ln(1 + items / 1)))::BIGINT AS weight FROM total),
+iw2 AS (SELECT item, sum(k * weight)::BIGINT AS weight FROM ig JOIN weight USING (n, g) GROUP BY item),
+dw AS (SELECT doc_id, row_number() OVER () AS doc, {_WORDS_SQL} AS w FROM documents),
+lengths AS (SELECT DISTINCT n FROM i),
+dg AS (SELECT doc, len(w) AS size, n, unnest(range(len(w) - n + 1)) AS pos, unnest(list_transform(range(1, len(w) - n + 2), lambda x: array_to_string(w[x:x + n - 1], ' '))) AS g FROM dw, lengths WHERE len(w) >= n),
+hit AS (SELECT DISTINCT dg.doc, ig.item, dg.n, dg.pos, dg.size AS words, i.size FROM dg JOIN ig ON ig.n = dg.n AND ig.g = dg.g JOIN i ON i.item = ig.item),
+win AS (
+  SELECT DISTINCT doc, item, n, unnest(range(greatest(0, pos - size + n), least(pos, words - size) + 1)) AS start, size AS len FROM hit WHERE words >= size
+  UNION ALL SELECT DISTINCT doc, item, n, 0, words FROM hit WHERE words < size AND n = 5),
+wg AS (SELECT win.doc, win.item, win.n, win.start, win.len, dg.g, count(*) AS k FROM win JOIN dg ON dg.doc = win.doc AND dg.n = win.n AND dg.pos >= win.start AND dg.pos <= win.start + win.len - win.n GROUP BY ALL),
+sums AS (
+  SELECT wg.doc, wg.item, wg.start, wg.len, sum(wg.k * coalesce(w.weight, o.weight))::BIGINT AS mine, coalesce(sum(least(wg.k, ig.k) * w.weight), 0)::BIGINT AS shared
+  FROM wg CROSS JOIN other o LEFT JOIN weight w ON w.n = wg.n AND w.g = wg.g LEFT JOIN ig ON ig.item = wg.item AND ig.n = wg.n AND ig.g = wg.g GROUP BY ALL),
+sim AS (SELECT s.*, s.shared::DOUBLE / (s.mine + iw2.weight - s.shared)::DOUBLE AS similarity FROM sums s JOIN iw2 ON iw2.item = s.item)
+SELECT dw.doc_id, i.item_id, CAST(sim.start AS BIGINT) AS first_word, CAST(sim.len AS BIGINT) AS n_words, sim.similarity FROM sim JOIN dw ON dw.doc = sim.doc JOIN i ON i.item = sim.item
+WHERE sim.similarity >= 0.8::DOUBLE QUALIFY row_number() OVER (PARTITION BY sim.doc, sim.item ORDER BY sim.similarity DESC, sim.start) = 1"""
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+#: All pairs of texts with a shingle in common, by their whole sets; components by their closure.
+OP9_SQL = f"""
+WITH RECURSIVE dw AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_sort(list_distinct({_shingles_sql('w')})) END AS s FROM dw),
+class AS (SELECT min(doc_id) AS low, count(*) AS copies, s, len(s) AS n, row_number() OVER () AS c FROM sets WHERE len(s) > 0 GROUP BY s),
+g AS (SELECT c, n, unnest(s) AS g FROM class),
+pairs AS (SELECT a.c AS a, b.c AS b, a.n AS an, b.n AS bn, count(*) AS common FROM g a JOIN g b ON a.g = b.g AND a.c <> b.c AND a.n >= 0.8 * b.n AND b.n >= 0.8 * a.n GROUP BY ALL),
+near AS (SELECT a, b FROM pairs WHERE 9 * common >= 4 * (an + bn)),
+reach AS (SELECT c AS a, c AS b FROM class UNION SELECT r.a, n.b FROM reach r JOIN near n ON n.a = r.b),
+named AS (SELECT r.a AS c, min(k.low) AS class_id FROM reach r JOIN class k ON k.c = r.b GROUP BY r.a),
+linked AS (SELECT n.a AS c, sum(k.copies)::BIGINT AS links FROM near n JOIN class k ON k.c = n.b GROUP BY n.a)
+SELECT d.doc_id, CASE WHEN k.c IS NULL THEN d.doc_id ELSE m.class_id END AS class_id, CAST(CASE WHEN k.c IS NULL THEN 0 ELSE k.copies - 1 + coalesce(l.links, 0) END AS BIGINT) AS n_links
+FROM sets d LEFT JOIN class k ON k.s = d.s LEFT JOIN named m ON m.c = k.c LEFT JOIN linked l ON l.c = k.c"""
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
@@ -138,6 +196,14 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(stored(chat.format_turns(turns.unionByName(more)), "chat"))
 
 
+OP10_SQL = r"""
+WITH said AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, coalesce(text, '')) AS rn FROM said),
+c AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY rn) AS turns, coalesce(string_agg(text, '' ORDER BY rn) FILTER (role = 'assistant'), '') AS loss,
+  sum(14 + length(role) + len(regexp_extract_all(role, '\\|###|</turn>|<\||:|\n')) + length(text) + len(regexp_extract_all(text, '\\|###|</turn>|<\|')))::BIGINT AS formatted_chars FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, 0::BIGINT AS n_attachments, 0::BIGINT AS expanded_tokens FROM c""".replace("\\###", "\###")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_kd_sharding": op2_kd_sharding,
@@ -153,5 +219,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_source_mixing": OP3_SQL,
+    "op6_warc": OP6_SQL,
     "op7_url_filters": OP7_SQL,
+    "op8_benchmark_decontamination": OP8_SQL,
+    "op9_ngram_jaccard": OP9_SQL,
+    "op10_chat_formatting": OP10_SQL,
 }

@@ -192,7 +192,7 @@ def _first_slots(index: DataFrame, folder: str) -> tuple[DataFrame, list[dict[st
     ahead = Window.orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
     pages = counts.groupBy("page").agg(F.sum("n").alias("n")).select("page", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))  # a row a page
     inner = F.coalesce(F.sum("n").over(Window.partitionBy("page").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    firsts = stored(counts.withColumn("inner", inner).join(pages, "page").select("page", "shard", (F.col("ahead") + F.col("inner")).alias("first"), "n"), "token-shards")
+    firsts = stored(counts.withColumn("inner", inner).join(pages, "page").select("page", "shard", (F.col("ahead") + F.col("inner")).alias("first"), "n"), "token-shards", keep=True)
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("shard")

@@ -1,5 +1,6 @@
 """Plain definitions that the operators are compared with, and a table of awkward rows."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -24,6 +25,7 @@ def awkward_rows(seed=1):
         (None, "a null id with enough words to be a document of its own here", "en", "a"), (None, None, "en", "a"),
         (9, sentence(rng, 200_000, 10**9), "en", "b"), (10, "x" * 300_000, "en", "b"), (11, "é" * 50 + " 𝒳   ü ñ\x1c" * 20, "fr", "c"),
         (12, "same id, first text " * 4, "en", "a"), (12, "same id, second and other text " * 4, "en", "a"), (-3, "negative id " * 20, "en", "z"),
+        (14, " " * 1_000_000 + "after a long run of white space" + "\n" * 5000, "en", "b"),
         (13, "null\x00byte and \\### Assistant: </turn> text " * 3, "en", "c"),
     ]
     return [(a, b, c, d, None if b is None else len(b)) for a, b, c, d in rows]
@@ -72,3 +74,18 @@ def links(texts):
                 out[i].append(j)
                 out[j].append(i)
     return out
+
+
+def weighted_similarity(a, b, items):
+    """Weighted multiset Jaccard similarity of two word lists; weights are IDFs over the items' shingles, as whole numbers."""
+    n = min(5, len(b))
+
+    def grams(w, n=n):
+        return Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+
+    df = Counter(g for w in items if w for g in set(tuple(w[i : i + min(5, len(w))]) for i in range(len(w) - min(5, len(w)) + 1)))
+    total = sum(1 for w in items if w)
+    weight = lambda g: max(1, round(1000 * math.log(1 + total / max(1, df[g]))))
+    x, y = grams(a), grams(b)
+    shared = sum(weight(g) * k for g, k in (x & y).items())
+    return shared / (sum(weight(g) * k for g, k in x.items()) + sum(weight(g) * k for g, k in y.items()) - shared)

@@ -10,7 +10,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
-from helpers import awkward, awkward_rows, base_counts, empty, links, sentence, shingles, words
+from helpers import awkward, awkward_rows, base_counts, empty, links, sentence, weighted_similarity, words
 from pyspark.sql import functions as F
 
 from logweave.llm import chat, decontaminate, jaccard, licences, mixing, quality, queries, sharding, tokens, urls, warc
@@ -57,6 +57,81 @@ def test_quality_without_usable_labels(spark):
     assert quality.rules(empty(spark), model).count() == 0 == quality.keep(empty(spark), model).count()
 
 
+M64 = 2**64
+
+
+def finalised(x):
+    for _ in range(2):
+        x ^= x >> 32
+        x = x * 0xD6E8FEB86659FD93 % M64
+    return x ^ x >> 32
+
+
+def plain_logit(model, text):
+    """The model's logit of one text, from its definition: n-grams one by one, with whole numbers."""
+    p, n_step = 0x9E3779B97F4A7C15 | 1, 0xBF58476D1CE4E5B9
+
+    def word_hash(w):
+        b = w.encode()
+        total = sum(finalised((x + 1) * 0xA0761D6478BD642F % M64) * pow(p, i, M64) for i, x in enumerate(b))
+        return finalised((total + len(b) * n_step) % M64)
+
+    slots, hashed = [], [word_hash(w) for w in words(text)]
+    for n in quality.WORD_N:
+        grams = []
+        for i in range(len(hashed) - n + 1):
+            h = hashed[i]
+            for k in range(1, n):
+                h = (h * n_step + hashed[i + k]) % M64
+            grams.append(finalised((h + n) % M64) * (0x9FB21C651E98DF25 + 2 * n) % M64 >> 64 - quality.BITS)
+        slots.append(grams)
+    # a character's number: the lead byte's, then six bits for each byte that follows
+    points = [int.from_bytes(c.encode()[:1]) if len(c.encode()) == 1 else None for c in text]
+    for i, c in enumerate(text):
+        if points[i] is None:
+            b, value = c.encode(), c.encode()[0]
+            for x in b[1:]:
+                value = value << 6 | x & 0x3F
+            points[i] = value
+    for n in quality.CHAR_N:
+        grams = []
+        for i in range(len(points) - n + 1):
+            h = points[i]
+            for k in range(1, n):
+                h = (h * 0x01000193 + points[i + k]) % 2**32
+            h = (h ^ h >> 15) * (0x85EBCA6B + 2 * n) % 2**32
+            grams.append(h >> 32 - quality.BITS)
+        slots.append(grams)
+    return model.bias + sum(quality._SCALE * sum(float(model.weights[x]) for x in g) / max(1, len(g)) for g in slots)
+
+
+def test_quality_scores_by_definition(spark, sf):
+    docs = documents(spark, sf)
+    model = quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    rows = [(r["doc_id"], r["text"][:400]) for r in docs.orderBy("doc_id").limit(40).collect()] + [(-1, "é𝒳 ü ñ " * 9), (-2, "a b c d e f g h i j k")]
+    got = {r["doc_id"]: r for r in quality.rules(spark.createDataFrame(rows, "doc_id bigint, text string"), model).collect()}
+    for i, text in rows:
+        z = model.slope * plain_logit(model, text) + model.shift
+        p = 1 / (1 + np.exp(-z))
+        assert got[i]["quality"] == pytest.approx(p, rel=1e-6)
+        assert got[i]["kept"] == (not got[i]["base_failed"] and p >= quality.THRESHOLD)
+
+
+def test_quality_sample_is_bounded(spark, monkeypatch):
+    texts = {i: sentence(random.Random(i), 60, 300 if i % 2 else 10**6) for i in range(30)}
+    rows = [(i, t) for i, t in texts.items()] + [(3, texts[3])] * 5000 + [(4, f"{texts[4]} other {i % 50}") for i in range(2000)]
+    docs, labels = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([(i, i % 2, 0) for i in range(30)], LABELS)
+    seen = []
+    descend = quality._descend
+    monkeypatch.setattr(quality, "_descend", lambda r, s, v, y: seen.append((len(y), len(s))) or descend(r, s, v, y))
+    model = quality.fit(docs, labels)
+    assert model.fitted and seen[-1][0] == 24  # four fifths of 30 rows, however often one is repeated
+    again = quality.fit(docs.repartition(7), labels)
+    assert np.allclose(again.weights, model.weights)
+    monkeypatch.setattr(quality, "SAMPLE_SLOTS", 8000)
+    assert quality.fit(docs, labels).fitted and seen[-1][0] < 24 and seen[-1][1] <= 8000
+
+
 # ---- 2 sharding
 
 
@@ -95,6 +170,52 @@ def test_shards_are_the_same_again_and_can_be_written(spark, sf, tmp_path):
     assert back.count() == df.count() and sorted(map(tuple, back.select("row.doc_id", "shard", "slot").collect())) == a
 
 
+def test_one_row_repeated_is_spread(spark):
+    rows = [(i, sentence(random.Random(i), 30)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'en' as lang", "'s' as source")
+    copies = spark.range(6000).selectExpr("7L as doc_id", "repeat('one row again and again ', 6) as text", "'en' as lang", "'s' as source")
+    out = [sharding.shard(x, 10).select("doc_id", "size", "shard", "slot").toPandas() for x in (df.unionAll(copies), df.unionAll(copies.repartition(3)).repartition(5))]
+    assert sorted(map(tuple, out[0].values.tolist())) == sorted(map(tuple, out[1].values.tolist()))
+    total = out[0].groupby("shard")["size"].sum()
+    assert len(total) == 10 and total.max() <= 1.15 * total.mean() and total.min() >= 0.85 * total.mean()
+    assert (out[0][out[0]["doc_id"] == 7].groupby("shard").size() > 0).sum() > 5
+    for _, g in out[0].groupby("shard"):
+        assert sorted(g["slot"]) == list(range(len(g)))
+
+
+def test_cuts_are_weighted_medians_of_the_widest_dimension(spark):
+    rng = random.Random(3)
+    units = [([rng.random() * 0.3, rng.choice([0.1, 0.5, 0.9]) + rng.random() / 2**20, 0.5 + rng.random() / 2**20, rng.random() ** 3], rng.randrange(1, 100)) for _ in range(6000)]
+    df = spark.createDataFrame([(i, at, w) for i, (at, w) in enumerate(units)], "id bigint, at array<double>, weight bigint")
+    for shards in (1, 2, 7, 40):
+        shard = {r["id"]: r["shard"] for r in sharding.tree(df, shards).collect()}
+        todo = [(list(range(len(units))), 0, shards)]
+        while todo:
+            mine, first, n = todo.pop()
+            assert {shard[i] for i in mine} <= set(range(first, first + n))
+            if n == 1:
+                continue
+            dim = max(range(4), key=lambda d: max(units[i][0][d] for i in mine) - min(units[i][0][d] for i in mine))
+            left, right = [i for i in mine if shard[i] < first + n // 2], [i for i in mine if shard[i] >= first + n // 2]
+            assert max(units[i][0][dim] for i in left) < min(units[i][0][dim] for i in right)
+            total = sum(units[i][1] for i in mine)
+            off = sum(units[i][1] for i in left) - total * (n // 2) / n
+            # as near as the tolerance, or one unit, allows
+            assert abs(off) <= max(sharding.TOLERANCE * total / n, 100)
+            todo += [(left, first, n // 2), (right, first + n // 2, n - n // 2)]
+
+
+def test_written_shards_are_ranges_of_slots(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "FILE_BYTES", 20_000)
+    rows = [(i % 700, sentence(random.Random(i % 700), 30), i) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, extra bigint").selectExpr("*", "'en' as lang", "'s' as source")
+    sharding.write(df, f"{tmp_path}/out", 4)
+    back = spark.read.parquet(f"{tmp_path}/out").select("row.*", "shard", "slot", F.input_file_name().alias("file"))
+    assert sorted(r["extra"] for r in back.collect()) == list(range(1500))
+    ranges = back.groupBy("shard", "file").agg(F.min("slot").alias("a"), F.max("slot").alias("b"), F.count("*").alias("n")).orderBy("shard", "a").collect()
+    assert len(ranges) > 8 and all(r["b"] - r["a"] + 1 == r["n"] for r in ranges)
+
+
 # ---- 3 mixing
 
 
@@ -145,7 +266,7 @@ def test_mix_schedule_is_even_and_repeatable(spark):
     b = mixing.segments(again, sources2, block_tokens=100).toPandas()
     key = ["doc_id", "pass", "block", "first_word", "taken", "slot"]
     assert sorted(map(tuple, seg[key].fillna(-1).values.tolist())) == sorted(map(tuple, b[key].fillna(-1).values.tolist()))
-    assert seg["slot"].isna().mean() < 0.01
+    assert seg["slot"].notna().all() and sorted(seg["slot"].unique()) == list(range(seg["slot"].nunique()))
     # every prefix of the schedule holds about its share of each source
     slots = seg.dropna().drop_duplicates("slot").sort_values("slot")
     share = slots["source"].value_counts(normalize=True)
@@ -154,6 +275,25 @@ def test_mix_schedule_is_even_and_repeatable(spark):
         assert all(abs(part[s] - n * share[s]) < 6 for s in share.index)
 
 
+def test_mix_lays_out_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "_COPIES", 7)
+    rows = [(i, "a", 5 + i % 3) for i in range(40)] + [(3, "a", 9)] * 50 + [(None, "a", i % 4) for i in range(60)] + [(1, None, 3)] * 3
+    placed, _ = mixing.place(spark.createDataFrame(rows, "doc_id bigint, source string, size bigint"))
+    got = placed.collect()
+    assert Counter((r["doc_id"], r["source"], r["size"]) for r in got) == Counter(rows)
+    for s in ("a", None):
+        mine = sorted((r["start"], r["size"]) for r in got if r["source"] == s and r["size"])
+        assert [a for a, _ in mine] == [sum(n for _, n in mine[:k]) for k in range(len(mine))]
+
+
+def test_mix_apply_takes_rows_that_differ_in_other_columns(spark):
+    rows = [(1, "the same words of one text here", "a", i % 2, {"k": i}) for i in range(10)] + [(2, "some other words", "b", 0, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, extra int, more map<string,int>")
+    got = mixing.apply(df).collect()
+    share = Counter(r["extra"] for r in got if r["doc_id"] == 1)
+    assert share[0] and share[1] and all(n <= 10 for n in share.values())
+
+
 def test_mix_apply_repeats_whole_documents(spark):
     df = awkward(spark)
     out = mixing.apply(df)
@@ -214,6 +354,64 @@ def test_licences_base_places(spark, sf):
     assert licences.scan(empty(spark)).count() == 0
 
 
+def brute_templates(text, idf):
+    """Labels and score by trying every place of every template."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    w = "".join(c if ord(c) >= 0x80 or c.isalnum() else " " for c in low).split()
+    places = lambda p: [i for i in range(len(w) - len(p) + 1) if w[i : i + len(p)] == p]
+    labels, score = set(), 0.0
+    for label, phrase in licences.BASE:
+        if places(phrase.split()):
+            labels.add(label)
+            score = 1.0
+    for label, notice, keys in licences.TEMPLATES:
+        t, at, starts, want, before = licences.plain(notice), 0, None, None, 0
+        for key in map(licences.plain, keys):
+            at = next(i for i in range(at, len(t)) if t[i : i + len(key)] == key)
+            there = places(key)
+            if starts is None:
+                first, pairs = at, [(s, s) for s in there]
+            else:
+                slack = max(1, round(licences.SLACK * (at - before)))
+                pairs = [(s, min(near)) for s, x in pairs if (near := [y for y in there if abs(y - (x + at - before)) <= slack])]
+            starts, before = [s for s, _ in pairs], at
+        weight = [max(idf.get(x, 0.0), 1e-3) for x in t]
+        best = 0.0
+        for s in starts:
+            share = sum(g for k, (x, g) in enumerate(zip(t, weight)) if any(0 <= s - first + k + d < len(w) and w[s - first + k + d] == x for d in range(-licences.SPREAD, licences.SPREAD + 1)))
+            best = max(best, share / sum(weight))
+        if best >= licences.MIN_SCORE:
+            labels.add(label)
+            score = max(score, min(best, 1.0))
+    return ",".join(sorted(labels)), score
+
+
+def test_licences_against_all_places(spark, sf):
+    rng = random.Random(2)
+    texts = [r["text"] for r in documents(spark, sf).limit(60).collect()]
+    for _, notice, _ in licences.TEMPLATES:
+        w = notice.split()
+        for _ in range(2):
+            v = [x if rng.random() > 0.06 else rng.choice([x + " extra", "other", ""]) for x in w]
+            texts.append(sentence(rng, rng.randrange(12)) + " " + " ".join(v) + " " + sentence(rng, 5) + " " + rng.choice(licences.TEMPLATES)[1])
+    texts += ["permission is hereby granted " * 40, "gnu general public license " * 30 + "version 3 of the license", "apache license version 2 " * 200]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    idf = licences.word_idf(df)
+    got = {r["doc_id"]: r for r in licences.scan(df).collect()}
+    found = set()
+    for i, text in enumerate(texts):
+        labels, score = brute_templates(text, idf)
+        assert got[i]["labels"] == labels and got[i]["score"] == pytest.approx(score, abs=1e-9), text
+        found |= set(labels.split(","))
+    assert len(found) > 35
+
+
+def test_licences_many_notices_in_one_text(monkeypatch):
+    monkeypatch.setattr(licences, "AT_ONCE", 500)
+    out = licences.PositionalIndex({}).scan(pa.array([(licences.TEMPLATES[0][1] + " and more ") * 3000, None]))
+    assert out["labels"] == ["mit", ""] and out["score"] == [1.0, 0.0]
+
+
 def test_licences_templates(spark):
     mit = licences.TEMPLATES[0][1]
     noisy = mit.replace("obtaining a copy", "who obtains one copy").title()
@@ -273,6 +471,39 @@ def test_tokens_round_trip(spark, sf, tmp_path):
     assert [s for s, *_ in tokens.read(f"file://{tmp_path}/tokens0", 7, 12)] == [7, 8, 9, 10, 11]
 
 
+def test_tokens_of_long_white_space():
+    tok, rng = tokens.tokenizer(), random.Random(3)
+    for n in (10**6, 10**7):
+        for text in (" " * n, "a" + "\n" * n + "b", " \t" * (n // 2) + "\u3000x"):
+            assert tok.decode(np.array(tok.encode(text.encode()))) == text
+    for _ in range(40):  # where the pattern can do it whole, the ids are the same
+        text = "".join(rng.choice(["word", "9", "!", ".", "é"]) + "".join(rng.choice(" \t\n\r\u3000\x85\xa0") for _ in range(rng.choice([1, 2, 4095, 4096, 4097, 9000]))) for _ in range(4)) + rng.choice(["", "end", " end"])
+        assert tok.encode(text.encode()) == tok.encoding.encode_ordinary(text)
+
+
+def test_tokens_stand_in_permuted_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokens, "PER_SHARD", 64)
+    monkeypatch.setattr(tokens, "PAGE", 3)
+    rows = [(i, sentence(random.Random(i), 1 + i * 37 % 1500, 10**6)) for i in range(300)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5).write.parquet(f"{tmp_path}/docs")
+    df = spark.read.schema("doc_id bigint, text string").parquet(f"{tmp_path}/docs")
+    parts, most, bound = tokens.number_range(df)
+    # every document's numbers: its partition's part of the range, and the bounds of the rows before it there
+    where = df.select("doc_id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("no"), F.octet_length("text").alias("size")).orderBy("no").collect()
+    first, used = {}, Counter()
+    for r in where:
+        first[r["doc_id"]] = r["part"] * most + used[r["part"]]
+        used[r["part"]] += -(-(r["size"] + 1) // tokens.LENGTH)
+    assert max(used.values()) == most and sum(used.values()) == bound and parts == max(used) + 1
+    folder = f"file://{tmp_path}/tokens"
+    index = tokens.materialise(df, folder).orderBy("slot").collect()
+    place = tokens.permute(np.array([first[r["doc_id"]] + r["seq"] for r in index]), parts * most)
+    assert [r["slot"] for r in index] == list(range(len(index))) and (np.diff(place) > 0).all()
+    layout = tokens.json.loads(open(f"{tmp_path}/tokens/layout.json").read())
+    assert len(layout["pages"]) > 2 and layout["sequences"] == len(index)
+    assert [(s, d, q) for s, d, q, _ in tokens.read(folder, 11, len(index) - 5)] == [(r["slot"], r["doc_id"], r["seq"]) for r in index[11:-5]]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 64, 1000, 65537])
 def test_permutation(n):
     p = tokens.permute(np.arange(n), n, 42)
@@ -320,6 +551,38 @@ def test_warc_reader_frames_members():
             list(warc.records(io.BytesIO(broken)))
 
 
+def warc_record(kind, block, *head):
+    lines = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:1>", *head, f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_warc_reads_archives_of_others(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\nContent-Length: 3\r\n\r\nabc"
+    sha = warc.digest32(hashlib.sha1(b"abc").digest())
+    kind = "Content-Type: application/http; msgtype=response"
+    cases = [
+        (warc_record("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields"), ("warcinfo", 13, warc.digest32(hashlib.sha1(b"software: x\r\n").digest()), None)),
+        (warc_record("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", "Content-Type: application/http; msgtype=request"), ("request", 0, warc.digest32(hashlib.sha1(b"").digest()), None)),
+        (warc_record("response", http, kind), ("response", 3, sha, None)),
+        (warc_record("response", http, kind, f"WARC-Payload-Digest: sha1:{sha.lower()}"), ("response", 3, sha, True)),
+        (warc_record("response", http, kind, "WARC-Payload-Digest: sha1:" + "A" * 32), ("response", 3, "A" * 32, False)),
+        (warc_record("response", http, kind, "WARC-Payload-Digest: sha256:00"), ("response", 3, sha, None)),
+        (warc_record("revisit", b"", kind, f"WARC-Payload-Digest: sha1:{sha}"), ("revisit", None, sha, True)),
+        (warc_record("revisit", b""), ("revisit", None, None, None)),
+        (warc_record("metadata", b""), ("metadata", 0, warc.digest32(hashlib.sha1(b"").digest()), None)),
+        (warc_record("response", b"HTTP/1.1 200 OK\r\nno end", kind), ("response", 0, warc.digest32(hashlib.sha1(b"").digest()), None)),
+    ]
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(b"".join(warc.member(r) for r, _ in cases))
+    got = warc.read(spark.createDataFrame([(str(path),)], "path string")).collect()
+    assert [(r["record_type"], r["payload_bytes"], r["payload_digest"], r["digest_ok"]) for r in got] == [want for _, want in cases]
+    assert all(r["page_id"] is None and r["refers_to"] is None and r["url"] is None for r in got)
+    good = warc.member(cases[0][0])
+    for broken in (good[:-9], warc.member(b"WARC/1.0\r\nWARC-Type: x\r\n\r\n"), warc.member(b"WARC/1.0\r\nContent-Length: -1\r\n\r\n")):
+        with pytest.raises(ValueError, match=f"record 2 at byte {2 * len(good)}"):
+            list(warc.records(io.BytesIO(good * 2 + broken)))
+
+
 # ---- 7 urls
 
 
@@ -338,12 +601,26 @@ def test_url_intervals_and_screen(spark):
     assert urls.screen(caps, spark.createDataFrame([], entry)).where("blocked").count() == 0
 
 
-# ---- 8 decontamination
+def test_url_lists_of_any_size_give_the_same(spark, sf, monkeypatch):
+    want = sorted(map(tuple, queries.op7_url_filters(spark, sf).collect()), key=repr)
+    assert any(r[3] for r in want)
+    for bits in (26, 8):
+        monkeypatch.setattr(urls, "SMALL_LIST", -1)
+        monkeypatch.setattr(urls, "BITMAP_BITS", bits)
+        assert sorted(map(tuple, queries.op7_url_filters(spark, sf).collect()), key=repr) == want
 
 
-def weighted(index, a, b):
-    """Weighted multiset Jaccard similarity of two word lists, from words."""
-    return index(a, b)
+def test_url_candidates_that_no_list_has_are_not_shuffled(spark):
+    hot = spark.range(3000).selectExpr("id as page_id", "concat('http://www.host', id % 3, '.com/a/b/', id) as url", "date'2024-01-05' as day")
+    entries = spark.sql("SELECT 'domain' AS kind, 'host1.com' AS pattern, 'x' AS category, 'add' AS action, date'2024-01-01' AS day")
+    out = urls.screen(hot, entries)
+    assert out.where("blocked").count() == 0  # www.host1.com is below host1.com only with a dot
+    out = urls.screen(hot, entries.withColumn("pattern", F.lit("www.host1.com")))
+    assert out.where("blocked").count() == 1000
+    assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+
+
+# ---- 8 decontamination
 
 
 def test_decontamination_finds_all_similar_windows():
@@ -371,6 +648,56 @@ def test_decontamination_finds_all_similar_windows():
     assert set(found) - {(r, i) for r, i, _, _ in planted} == {(len(texts) - 1, 102)}
 
 
+def test_decontamination_by_weighted_similarity(monkeypatch):
+    """Items with shared and own words: windows of unlike weights, against every window of every text."""
+    rng = random.Random(12)
+    frames = [sentence(rng, 30, 10**6).split() for _ in range(2)]
+    items = [(i, " ".join(frames[i % 2] + sentence(rng, 20, 10**6).split())) for i in range(24)] + [(24, sentence(rng, 50, 10**6))]
+    lists = [t.split() for _, t in items]
+    index, texts = decontaminate.Index(items), []
+    for w in lists:
+        for edits in range(5):
+            v = w[:]
+            for _ in range(edits):
+                v[rng.randrange(50)] = f"edit{rng.randrange(10**6)}"
+            texts.append(" ".join(sentence(rng, 9, 10**6).split() + v + sentence(rng, 9, 10**6).split()))
+    found = {(x[0], x[1]): x for x in index.search(pa.array(texts, pa.string()))}
+    want = {}
+    for row, text in enumerate(texts):
+        w = text.split()
+        for item, b in enumerate(lists):
+            best = max((weighted_similarity(w[a : a + 50], b, lists), -a) for a in range(len(w) - 49)) if set(w) & set(b) else (0.0, 0)
+            if best[0] >= 0.8:
+                want[row, item] = best
+    assert len(want) > 60 and any(s < 0.9 for s, _ in want.values())
+    # all that the fingerprints' radius reaches, with the exact similarity and place
+    assert found.keys() <= want.keys() and len(found) >= 0.97 * len(want)
+    for k, x in found.items():
+        assert (x[5], -x[2]) == (pytest.approx(want[k][0], rel=1e-12), want[k][1])
+    monkeypatch.setattr(decontaminate, "AT_ONCE", 7)
+    assert {(x[0], x[1]): x for x in decontaminate.Index(items).search(pa.array(texts, pa.string()))} == found
+
+
+def test_decontamination_of_a_very_long_item():
+    rng = random.Random(13)
+    w = sentence(rng, 30_000, 10**7).split()
+    v = w[:]
+    v[100] = v[20_000] = "changed"
+    texts = [" ".join(["before"] * 5 + v + ["behind"]), " ".join(w[:29_000]), " ".join(w[:9000])]
+    found = {x[0]: x[2:] for x in decontaminate.Index([(1, " ".join(w))]).search(pa.array(texts))}
+    assert found.keys() == {0, 1} and found[0][:2] == (5, 30_000) and found[1][:2] == (0, 29_000)
+
+
+def test_suspects_hold_all_that_can_match(spark, sf):
+    docs, bench = documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet")
+    blocks = decontaminate.item_blocks(bench)
+    rows = docs.collect()
+    flags = decontaminate.suspects(pa.array([r["text"] for r in rows], pa.string()), decontaminate.shingle_bitmap(blocks))
+    matched = {r["doc_id"] for r in decontaminate.leaks(docs, bench).collect()}
+    assert matched <= {r["doc_id"] for r, f in zip(rows, flags) if f} and flags.mean() < 0.5
+    assert not decontaminate.suspects(pa.array([None, "", "a b"], pa.string()), decontaminate.shingle_bitmap(blocks)).any()
+
+
 def test_decontamination_finds_cut_items_that_stand_alone():
     rng = random.Random(6)
     items = [(i, sentence(rng, rng.choice([12, 30, 50, 300]), 10**6)) for i in range(40)]
@@ -498,6 +825,17 @@ def test_join_splits_large_buckets_into_tiles(spark, monkeypatch):
     check_join(spark, rows)
 
 
+def test_join_of_a_hot_text_and_a_hot_cluster(spark):
+    rng = random.Random(14)
+    base = sentence(rng, 90, 10**6).split()
+    rows = [(i, "one text that very many documents are copies of " * 2) for i in range(400)]
+    for i in range(300):
+        v = base[:]
+        v[rng.randrange(90)] = f"e{i}"
+        rows.append((1000 + i, " ".join(v)))
+    check_join(spark, rows)
+
+
 def test_join_takes_awkward_rows(spark):
     rows = [(r[0], r[1]) for r in awkward_rows()]
     check_join(spark, rows, lambda df: df.withColumn("digest", F.lit(1)).withColumn("rid", F.lit(2)).withColumn("tokens", F.lit(3)))
@@ -547,22 +885,30 @@ def test_chat_round_trip(spark):
 
 def test_chat_chunks_of_a_long_conversation(spark, monkeypatch):
     monkeypatch.setattr(chat, "CHUNK_CHARS", 50)
-    rows = [(1, i, "assistant" if i % 2 else "user", f"turn {i}") for i in range(40)]
-    texts = [f"turn {i}" for i in range(40)]
-    batch = pa.RecordBatch.from_pylist([{"conv_id": 1, "chunk": k} for k in range(1)])
-    del batch
-    now, chunks = chat._Chunk(1), []
-    for _, i, role, text in rows:
-        if now.chars >= chat.CHUNK_CHARS:
-            chunks.append(now.row())
-            now = chat._Chunk(1, now.chunk + 1, turn=now.turn)
-        now.add(role, *chat.flatten([{"type": "text", "text": text}], now.turn))
-    chunks.append(now.row())
-    assert len(chunks) > 5 and [c["chunk"] for c in chunks] == list(range(len(chunks)))
-    assert [chat.unescape(t[1]) for c in chunks for t in chat.parse(c["formatted"])] == texts
-    df = spark.createDataFrame([(c["conv_id"], c["chunk"], c["formatted"], [(x["start"], x["stop"]) for x in c["loss"]]) for c in chunks], "conv_id bigint, chunk int, formatted string, loss array<struct<start: bigint, stop: bigint>>")
-    r = chat.read_back(df).first()
-    assert r["n_turns"] == 40 and r["loss_sha256"] == hashlib.sha256("".join(texts[1::2]).encode()).hexdigest()
+    rows = [(c, i, "assistant" if i % 2 else "user", f"turn {i} of {c}") for c in range(3) for i in range(40)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(7)
+    formatted = chat.format_turns(df)
+    chunks = defaultdict(list)
+    for r in formatted.orderBy("conv_id", "chunk").collect():
+        chunks[r["conv_id"]].append(r)
+    for c in range(3):
+        assert len(chunks[c]) > 5 and [r["chunk"] for r in chunks[c]] == list(range(len(chunks[c])))
+        assert [chat.unescape(t[1]) for r in chunks[c] for t in chat.parse(r["formatted"])] == [f"turn {i} of {c}" for i in range(40)]
+        assert sum(r["n_turns"] for r in chunks[c]) == 40
+    for r in chat.read_back(formatted).collect():
+        said = "".join(f"turn {i} of {r['conv_id']}" for i in range(1, 40, 2))
+        assert r["n_turns"] == 40 and r["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+
+
+def test_chat_parts_of_any_kind(spark):
+    part = "struct<type: string, text: string, ref: string>"
+    parts = [None, ("video", None, "s3://v"), (None, "lost", None), ("text", "said", None), ("visit", "x", "y"), ("image", None, None)]
+    df = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", [None]), (2, 0, "assistant", [])], f"conv_id bigint, turn bigint, role string, parts array<{part}>")
+    rows = {r["conv_id"]: r for r in chat.format_turns(df).collect()}
+    assert rows[1]["formatted"] == "### user: <|other:0|><|other:1|>said<|other:2|><|image:3|></turn>\n### assistant: </turn>\n"
+    assert [(a["kind"], a["ref"], a["tokens"]) for a in rows[1]["attachments"]] == [("other", "s3://v", 0), ("other", None, 0), ("other", "y", 0), ("image", None, 0)]
+    back = {r["conv_id"]: (r["n_turns"], r["n_attachments"], r["expanded_tokens"]) for r in chat.read_back(chat.format_turns(df)).collect()}
+    assert back == {1: (2, 4, 0), 2: (1, 0, 0)}
 
 
 def test_chat_parts(spark):

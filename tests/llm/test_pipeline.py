@@ -4,6 +4,7 @@ import corpus_pipeline
 import pytest
 from helpers import awkward, empty, links
 
+from logweave import shared
 from logweave.llm import quality
 from logweave.llm.session import stored
 
@@ -43,5 +44,9 @@ def test_stages_take_awkward_rows(spark, sf, make):
         out.count()
 
 
-def test_run(spark, sf):
-    assert corpus_pipeline.run(spark, sf).count() > 100
+def test_run_leaves_only_its_result(spark, sf, tmp_path, monkeypatch):
+    monkeypatch.setattr(shared, "shared_folder", lambda spark: f"file://{tmp_path}")
+    out = corpus_pipeline.run(spark, sf)
+    assert out.count() > 100
+    names = {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()}
+    assert not names & {name for name, _ in corpus_pipeline.STAGES[:-1]} and "tokens" in names
