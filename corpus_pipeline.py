@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from logweave.llm import decontaminate, jaccard, mixing, quality, tokens
 from logweave.llm.queries import table
-from logweave.llm.session import stored
+from logweave.llm.session import delete, new_folder, scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """The last stage's rows. A stage's input, and what it stored on the way, is deleted once its result is stored; the
+    shards and their index stay, as the rows are read from there."""
+    docs, path = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        source, path = path, new_folder(spark, name)
+        with scratch(spark):
+            if name == STAGES[-1][0]:
+                docs = stage(spark, docs, sf_dir)
+            else:
+                out = stage(spark, docs, sf_dir)
+                out.write.parquet(path)
+                docs = spark.read.schema(out.schema).parquet(path)
+        if source:
+            delete(spark, source)
+    return docs

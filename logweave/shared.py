@@ -39,7 +39,7 @@ _scratch: list[list[str]] = []
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables stored in here are deleted at the end, but for those that are to be kept."""
+    """Tables stored in here are deleted at the end; those that are to be kept, at the end of the scratch around it."""
     _scratch.append([])
     try:
         yield
@@ -51,8 +51,8 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """df, written to the shared folder and read from there: lineage ends here, and lost executors cost nothing."""
     path = new_folder(df.sparkSession, name)
-    if _scratch and not keep:
-        _scratch[-1].append(path)
+    if len(_scratch) > keep:
+        _scratch[-1 - keep].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
