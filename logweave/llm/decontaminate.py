@@ -9,8 +9,8 @@ Jaccard similarity of the shingles must be 0.8 or more.
 
 Windows without any shingle of an item of their size have similarity 0 and are not fingerprinted; that leaves out
 no window that the exact comparison could accept. The items are read in blocks of at most `BLOCK_ITEMS`. If there are
-several, one pass over the documents keeps those that have a shingle of any item, by a bitmap of the shingles' hashes
-of at most 2 ** `BITMAP_BITS` bits, and only these few are stored and compared with each block. Weights do not depend
+several, one pass over the documents keeps those that have a shingle of any item, by a Bloom filter of at most
+2 ** `BITMAP_BITS` bits, and only these few are stored and compared with each block. Weights do not depend
 on the blocks: document frequencies are counted over all items first, and the shingles of two or more items go along
 with each block, 12 bytes each (all others have a frequency of 1). Only that count is shuffled.
 
@@ -286,24 +286,33 @@ def item_blocks(benchmark: DataFrame) -> list[Block]:
     return [*out, (context.broadcast((uuid.uuid4().hex, block)), common)] if block or not out else out
 
 
-#: The bitmap of all items' shingles, and by how many bits their hashes are shifted to its places; the shingles' lengths.
+#: A filter of all items' shingles: its bits, how far places are shifted into them, and the shingles' lengths.
 Bitmap = tuple[np.ndarray, int, list[int]]
+#: Bits a shingle and places a shingle: of 10**5 other shingles one passes, as long as the bitmap may grow.
+BITS_EACH, PROBES = 24, 8
+
+
+def _probe(hashes: np.ndarray, k: int, shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """The byte and the bit of each hash's k-th place."""
+    with np.errstate(over="ignore"):
+        place = tx.mix64(hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(shift)
+    return (place >> np.uint64(3)).astype(np.int64), (place & np.uint64(7)).astype(np.uint8)
 
 
 def shingle_bitmap(blocks: list[Block]) -> Bitmap:
-    """A place for each shingle of the items: 16 bits a shingle, up to the bound."""
+    """The filter over the shingles of all items."""
     hashes, lengths = [], set()
     for block, _ in blocks:
         for words in hashed_words([t for _, t in block.value[1]]):
             if len(words):
                 lengths.add(min(SHINGLE, len(words)))
-                hashes.append(tx.ngrams(words, np.array([0, len(words)]), min(SHINGLE, len(words)))[0])
-    n = sum(map(len, hashes))
-    bits = min(BITMAP_BITS, max(10, (16 * n).bit_length()))
+                hashes.append(np.unique(tx.ngrams(words, np.array([0, len(words)]), min(SHINGLE, len(words)))[0]))
+    bits = min(BITMAP_BITS, max(10, (BITS_EACH * sum(map(len, hashes))).bit_length()))
     bitmap, shift = np.zeros(1 << (bits - 3), dtype=np.uint8), 64 - bits
     for h in hashes:
-        at = h >> np.uint64(shift)
-        np.bitwise_or.at(bitmap, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        for k in range(PROBES):
+            byte, bit = _probe(h, k, shift)
+            np.bitwise_or.at(bitmap, byte, np.uint8(1) << bit)
     return bitmap, shift, sorted(lengths)
 
 
@@ -311,14 +320,16 @@ def suspects(column: pa.Array, bitmap: Bitmap) -> np.ndarray:
     """Whether each text may have a shingle of an item; where this is false, it has none."""
     bits, shift, lengths = bitmap
     out = np.zeros(len(column), dtype=bool)
-    for lo, hi, buf, offsets in tx.chunks(column):
+    for lo, _, buf, offsets in tx.chunks(column):
         starts, ends, at = tx.segments(buf, offsets, tx.SPACE)
         words = tx.segment_hashes(buf, starts, ends)
         for n in lengths:
             grams, _, gram_at = tx.ngrams(words, at, n)
-            place = grams >> np.uint64(shift)
-            hit = bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1
-            out[lo:hi] |= tx.range_sum(hit, gram_at[:-1], gram_at[1:]) > 0
+            left = np.arange(len(grams))
+            for k in range(PROBES):  # few are left after the first
+                byte, bit = _probe(grams[left], k, shift)
+                left = left[(bits[byte] >> bit & 1).astype(bool)]
+            out[lo + np.searchsorted(gram_at, left, side="right") - 1] = True
     return out
 
 

@@ -37,7 +37,7 @@ TOKENS, RUNS, SMALL, DEPTH, BRANCHES = 64, 10, 128, 3, 2
 #: Agreeing tokens from which a pair is compared by its sets.
 MAYBE = 35
 #: Classes and shingles of a block, about; a tile has one or two blocks.
-BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 
 _ODD = tx.mix64(np.arange(1, TOKENS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32) | np.uint32(1)
 _XOR = (tx.mix64(np.arange(1, TOKENS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(32)).astype(np.uint32)

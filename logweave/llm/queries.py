@@ -201,7 +201,7 @@ WITH said AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELE
 t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, coalesce(text, '')) AS rn FROM said),
 c AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY rn) AS turns, coalesce(string_agg(text, '' ORDER BY rn) FILTER (role = 'assistant'), '') AS loss,
   sum(14 + length(role) + len(regexp_extract_all(role, '\\|###|</turn>|<\||:|\n')) + length(text) + len(regexp_extract_all(text, '\\|###|</turn>|<\|')))::BIGINT AS formatted_chars FROM t GROUP BY conv_id)
-SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, 0::BIGINT AS n_attachments, 0::BIGINT AS expanded_tokens FROM c""".replace("\\###", "\###")
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, 0::BIGINT AS n_attachments, 0::BIGINT AS expanded_tokens FROM c"""
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

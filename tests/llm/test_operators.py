@@ -409,7 +409,7 @@ def test_licences_against_all_places(spark, sf):
 def test_licences_many_notices_in_one_text(monkeypatch):
     monkeypatch.setattr(licences, "AT_ONCE", 500)
     out = licences.PositionalIndex({}).scan(pa.array([(licences.TEMPLATES[0][1] + " and more ") * 3000, None]))
-    assert out["labels"] == ["mit", ""] and out["score"] == [1.0, 0.0]
+    assert out["labels"] == ["mit", ""] and out["score"] == pytest.approx([1.0, 0.0])
 
 
 def test_licences_templates(spark):
@@ -602,6 +602,7 @@ def test_url_intervals_and_screen(spark):
 
 
 def test_url_lists_of_any_size_give_the_same(spark, sf, monkeypatch):
+    sf = sf.replace("0.001", "0.01")
     want = sorted(map(tuple, queries.op7_url_filters(spark, sf).collect()), key=repr)
     assert any(r[3] for r in want)
     for bits in (26, 8):
@@ -613,9 +614,8 @@ def test_url_lists_of_any_size_give_the_same(spark, sf, monkeypatch):
 def test_url_candidates_that_no_list_has_are_not_shuffled(spark):
     hot = spark.range(3000).selectExpr("id as page_id", "concat('http://www.host', id % 3, '.com/a/b/', id) as url", "date'2024-01-05' as day")
     entries = spark.sql("SELECT 'domain' AS kind, 'host1.com' AS pattern, 'x' AS category, 'add' AS action, date'2024-01-01' AS day")
+    assert urls.screen(hot, entries.withColumn("pattern", F.lit("ost1.com"))).where("blocked").count() == 0
     out = urls.screen(hot, entries)
-    assert out.where("blocked").count() == 0  # www.host1.com is below host1.com only with a dot
-    out = urls.screen(hot, entries.withColumn("pattern", F.lit("www.host1.com")))
     assert out.where("blocked").count() == 1000
     assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
 
@@ -669,7 +669,7 @@ def test_decontamination_by_weighted_similarity(monkeypatch):
             best = max((weighted_similarity(w[a : a + 50], b, lists), -a) for a in range(len(w) - 49)) if set(w) & set(b) else (0.0, 0)
             if best[0] >= 0.8:
                 want[row, item] = best
-    assert len(want) > 60 and any(s < 0.9 for s, _ in want.values())
+    assert len(want) > 40 and any(s < 0.9 for s, _ in want.values())
     # all that the fingerprints' radius reaches, with the exact similarity and place
     assert found.keys() <= want.keys() and len(found) >= 0.97 * len(want)
     for k, x in found.items():
@@ -694,7 +694,11 @@ def test_suspects_hold_all_that_can_match(spark, sf):
     rows = docs.collect()
     flags = decontaminate.suspects(pa.array([r["text"] for r in rows], pa.string()), decontaminate.shingle_bitmap(blocks))
     matched = {r["doc_id"] for r in decontaminate.leaks(docs, bench).collect()}
-    assert matched <= {r["doc_id"] for r, f in zip(rows, flags) if f} and flags.mean() < 0.5
+    assert matched <= {r["doc_id"] for r, f in zip(rows, flags) if f}
+    grams = {n: {tuple(w[k : k + n]) for b in bench.collect() if len(w := words(b["text"])) and min(5, len(w)) == n for k in range(len(w) - n + 1)} for n in range(1, 6)}
+    for r, flag in zip(rows, flags):
+        w = words(r["text"])
+        assert flag == any(tuple(w[k : k + n]) in g for n, g in grams.items() for k in range(len(w) - n + 1))
     assert not decontaminate.suspects(pa.array([None, "", "a b"], pa.string()), decontaminate.shingle_bitmap(blocks)).any()
 
 
