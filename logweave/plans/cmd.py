@@ -45,7 +45,7 @@ def stream_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The command log read as a stream, de-duplicated with keyed state, and the table that the sink wrote."""
     folder, path = new_folder(spark, "stream"), f"{sf_dir}/events.parquet"
     # a glob, since a streaming source takes no single file
-    source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+    source = streaming.log_source(spark, f"{path}*", spark.read.parquet(path).schema)
     streaming.write_statuses(fixtures.as_commands(source), f"{folder}/out", f"{folder}/checkpoint")
     return spark.read.schema(streaming.STATUS_SCHEMA).parquet(f"{folder}/out")
 

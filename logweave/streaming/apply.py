@@ -1,7 +1,8 @@
 """The command log applied as a stream: session de-duplication as keyed state, and tables of micro-batches.
 
 State is never dropped, as in the engine: it has one number per session. Session 0 has no state. Event order within a
-session comes from the log index; the source must deliver a session's commands in order across micro-batches.
+session comes from the log index; the source must deliver a session's commands in order across micro-batches (see
+`ordered` for sources that don't).
 """
 
 from __future__ import annotations
@@ -10,9 +11,10 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 STATUS_SCHEMA = "log_index bigint, session_id bigint, client_seq bigint, status string"
 
@@ -43,6 +45,11 @@ def statuses(commands: DataFrame) -> DataFrame:
     return marked.select(*columns).union(free)
 
 
+def log_source(spark: SparkSession, path: str, schema: StructType | str, files: int = 64) -> DataFrame:
+    """A table of Parquet files as a stream whose micro-batches take at most `files` new files each."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
 def write_statuses(commands: DataFrame, out: str, checkpoint: str) -> None:
     """Apply everything that the source has now, and stop; a later call goes on from the checkpoint."""
     query = statuses(commands).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
