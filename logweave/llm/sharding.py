@@ -41,11 +41,11 @@ def _unit(x: Column) -> Column:
 
 
 def _by_node(values: dict[int, float]) -> Column:
-    """A number for each node, looked up in an array of constants: no join, however many levels."""
+    """A number for each node, looked up in an array of constants: no join, however many levels. Null beyond them."""
     table = np.zeros(max(values, default=0) + 1)
     for k, v in values.items():
         table[k] = v
-    return F.element_at(F.lit(table), (F.col("node") + 1).cast("int"))
+    return F.get(F.lit(table), F.col("node").cast("int"))
 
 
 def _coordinate(dims: dict[int, int]) -> Column:
@@ -60,7 +60,7 @@ def _quantiles(units: DataFrame, nodes: dict[int, dict]) -> dict[int, float]:
         if not nodes:
             break
         lo, step = (_by_node({k: v[c] for k, v in nodes.items()}) for c in ("lo", "step"))
-        inside = units.where(F.col("node") <= max(nodes)).where(_by_node(dict.fromkeys(nodes, 1)) == 1)
+        inside = units.where(_by_node(dict.fromkeys(nodes, 1)) == 1)
         inside = inside.select("node", "weight", _coordinate({k: v["dim"] for k, v in nodes.items()}).alias("x"), lo.alias("lo"), step.alias("step")).where((F.col("x") >= F.col("lo")) & (F.col("x") < F.col("lo") + F.col("step") * BINS))
         cell = F.least(F.floor((F.col("x") - F.col("lo")) / F.col("step")), F.lit(BINS - 1))
         sums = inside.groupBy("node", cell.alias("bin")).agg(F.sum("weight").alias("w"))
