@@ -40,12 +40,31 @@ def _unit(x: Column) -> Column:
     return F.pmod(x, F.lit(1 << 30)) / float(1 << 30)
 
 
-def _by_node(values: dict[int, float]) -> Column:
-    """A number for each node, looked up in an array of constants: no join, however many levels. Null beyond them."""
+def _table(values: dict[int, float]) -> Column:
+    """A number for each node, as an array of constants."""
     table = np.zeros(max(values, default=0) + 1)
     for k, v in values.items():
         table[k] = v
-    return F.get(F.lit(table), F.col("node").cast("int"))
+    return F.lit(table)
+
+
+def _by_node(values: dict[int, float]) -> Column:
+    """The number of a row's node; null for nodes beyond the table."""
+    return F.get(_table(values), F.col("node").cast("int"))
+
+
+def _node(levels: list[tuple[dict[int, int], dict[int, float]]]) -> Column:
+    """A unit's node, by the dimension and cut of each node of the levels so far. One fold over the levels: written out,
+    each level would stand in the next one three times, and in every filter that the optimiser moves below."""
+    if not levels:
+        return F.lit(0).cast("long")
+
+    def deeper(node: Column, level: Column) -> Column:
+        i = node.cast("int")
+        return node * 2 + F.when(F.get("at", F.get(level["dims"], i).cast("int")) >= F.get(level["cuts"], i), 1).otherwise(0)
+
+    steps = F.array(*[F.struct(_table(dims).alias("dims"), _table(cuts).alias("cuts")) for dims, cuts in levels])
+    return F.aggregate(steps, F.lit(0).cast("long"), deeper)
 
 
 def _coordinate(dims: dict[int, int]) -> Column:
@@ -79,9 +98,9 @@ def _quantiles(units: DataFrame, nodes: dict[int, dict]) -> dict[int, float]:
 def tree(units: DataFrame, shards: int) -> DataFrame:
     """units (with `at`, an array of coordinates, and `weight`) with their shard. A unit's node is worked out from the
     cuts so far in the scan itself, so a level costs its aggregations and nothing of the levels before."""
-    level = units.withColumn("node", F.lit(0).cast("long"))
-    sizes, first = {0: shards}, {0: 0}
+    levels, sizes, first = [], {0: shards}, {0: 0}
     while any(n > 1 for n in sizes.values()):
+        level = units.withColumn("node", _node(levels))
         split = {k for k, n in sizes.items() if n > 1}
         at = [F.element_at("at", i + 1) for i in range(_DIMS)]
         stats = level.groupBy("node").agg(F.sum("weight").alias("w"), *[F.min(a).alias(f"a{i}") for i, a in enumerate(at)], *[F.max(a).alias(f"b{i}") for i, a in enumerate(at)])
@@ -94,14 +113,12 @@ def tree(units: DataFrame, shards: int) -> DataFrame:
         dims = {k: v["dim"] for k, v in nodes.items()}
         cuts = _quantiles(level, nodes)
         # a node that isn't cut, or has no units, keeps all it has on its left, for its shards to have numbers
-        keeps = dict.fromkeys(sizes, np.inf) | cuts
-        right = F.when(_coordinate(dict.fromkeys(sizes, 0) | dims) >= _by_node(keeps), 1).otherwise(0)
-        level = level.withColumn("node", F.col("node") * 2 + right)
+        levels.append((dict.fromkeys(sizes, 0) | dims, dict.fromkeys(sizes, np.inf) | cuts))
         sizes, first = (
             {c: n for k, s in sizes.items() for c, n in ([(2 * k, s // 2), (2 * k + 1, s - s // 2)] if s > 1 else [(2 * k, 1)])},
             {c: n for k, s in sizes.items() for c, n in ([(2 * k, first[k]), (2 * k + 1, first[k] + s // 2)] if s > 1 else [(2 * k, first[k])])},
         )
-    return level.withColumn("shard", _by_node(first).cast("int")).drop("node")
+    return units.withColumn("node", _node(levels)).withColumn("shard", _by_node(first).cast("int")).drop("node")
 
 
 def slots(rows: DataFrame, buckets: int) -> DataFrame:
