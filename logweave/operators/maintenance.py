@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave import schema
-from logweave.functions import unsigned
+from logweave.functions import order, unsigned
 from logweave.operators import mvcc
 from logweave.shared import partitions, stored
 
@@ -126,6 +126,13 @@ def compaction_sources(catalog: DataFrame) -> DataFrame:
     return catalog.withColumn("_low", low).where("level = 0 or id = _low").drop("_low")
 
 
+def leaving(tables: DataFrame, excess: int) -> DataFrame:
+    """The tables of one level that compactions of its lowest id, one after the other, take until `excess` bytes are
+    gone: those before which fewer left. What a level gives away doesn't depend on the level below."""
+    summed = order.running_sums(tables, ["level"], "id", {"upto": F.col("bytes")})
+    return summed.where(F.col("upto") - F.col("bytes") < excess).drop("upto")
+
+
 #: Cells of the key space in which overlaps are looked for.
 CELLS = 1024
 
@@ -242,19 +249,24 @@ def catalog(versions: DataFrame) -> DataFrame:
 def settle(versions: DataFrame, horizon: int, levels: int, trigger: int = schema.LEVEL0_TRIGGER, base: int = schema.LEVEL_BASE_BYTES, multiplier: int = schema.LEVEL_MULTIPLIER, target_bytes: int = schema.TABLE_BYTES, next_id: int | None = None) -> DataFrame:
     """versions (level, id, key, seq, value) after compactions until none is due; `levels` levels, the last never due.
 
-    Each round takes the first due level, merges its sources with the tables of the level below that meet their key
-    range, and stores the result; the driver sees one row a level. At the bottom, where all deeper levels are empty,
+    Each round takes the first due level and brings it to its limit: all of level 0, elsewhere the lowest ids that have
+    to go, in one merge with the tables of the level below that meet their key range. So there is a round a level at
+    most, whatever the number of tables; it leaves as many of a level's tables behind as one table a round would, but those
+    below are cut once instead of once for each. The driver sees one row a level. At the bottom, where all deeper levels are empty,
     tombstones at or below the horizon go."""
     versions = stored(versions.select("level", "id", "key", "seq", "value"), "settle")
-    next_id = versions.agg(F.coalesce(F.max("id"), F.lit(0)) + 1).first()[0] if next_id is None else next_id
     while True:
-        tables = catalog(versions)
+        tables = stored(catalog(versions), "settle-catalog")
         state = {r["level"]: r for r in compaction_due(tables, levels, trigger, base, multiplier).collect()}
         due = [i for i in range(levels - 1) if state[i]["due"]]
         if not due:
             return versions
         level = due[0]
-        sources = compaction_sources(tables.where(F.col("level") == level)).select("id", "min_key", "max_key")
+        next_id = max(next_id or 0, tables.agg(F.coalesce(F.max("id"), F.lit(0)) + 1).first()[0])
+        sources = tables.where(F.col("level") == level)
+        if level:
+            sources = leaving(sources, state[level]["bytes"] - state[level]["byte_limit"])
+        sources = sources.select("id", "min_key", "max_key")
         span = sources.agg(F.min("min_key").alias("lo"), F.max("max_key").alias("hi"))
         below = tables.where(F.col("level") == level + 1).join(F.broadcast(span)).where("max_key >= lo and min_key <= hi").select("level", "id")
         taken = stored(sources.select(F.lit(level).alias("level"), "id").unionByName(below), "settle-taken")
@@ -262,7 +274,6 @@ def settle(versions: DataFrame, horizon: int, levels: int, trigger: int = schema
         inputs = versions.join(taken, ["level", "id"], "left_semi").select("key", "seq", "value")
         out = compact([inputs], horizon, bottom, target_bytes).select(F.lit(level + 1).alias("level"), (F.col("table") + next_id).alias("id"), "key", "seq", "value")
         versions = stored(versions.join(taken, ["level", "id"], "left_anti").unionByName(out), "settle")
-        next_id = max(next_id, versions.agg(F.coalesce(F.max("id"), F.lit(0)) + 1).first()[0])
 
 
 def write_tables(log: DataFrame, path: str, files: int) -> None:

@@ -166,6 +166,35 @@ def test_settled_levels_hold_the_same(spark):
     assert pairs.count() == 0
 
 
+def test_a_level_is_settled_in_one_round(spark, monkeypatch):
+    rng = random.Random(4)
+    log = [(f"k{rng.randrange(300):03d}", i + 1, None if rng.random() < 0.2 else "v" * rng.randrange(30)) for i in range(1200)]
+    versions = mvcc.literal_log(spark, log).selectExpr("cast(floor((seq - 1) / 20) % 3 as int) as level", "floor((seq - 1) / 20) as id", "*")
+    rounds, compact = [], maintenance.compact
+    monkeypatch.setattr(maintenance, "compact", lambda *a: rounds.append(1) or compact(*a))
+    # 40 tables and more have to leave level 1; numbers below those that are taken are not given again
+    out = maintenance.settle(versions, 500, 4, 4, 1_000, 4, 500, 5).cache()
+    assert len(rounds) <= 3
+    assert maintenance.compaction_due(maintenance.catalog(out), 4, 4, 1_000, 4).where("due and level < 3").count() == 0
+    for seq in (500, 800, 1200):
+        assert sorted(rows(mvcc.dump(out.select("key", "seq", "value"), seq))) == sorted(rows(mvcc.dump(mvcc.literal_log(spark, log), seq)))
+    assert maintenance.catalog(out).where("level > 0 and id < 60 and level < 3").count() == 0
+
+
+def test_tables_leave_a_level_by_id_until_enough_bytes_are_gone(spark):
+    rng = random.Random(8)
+    sizes = [rng.randrange(1, 100) for _ in range(50)]
+    tables = spark.createDataFrame([(1, 7 * i, b) for i, b in enumerate(sizes)], "level int, id bigint, bytes bigint").repartition(3)
+    for excess in (1, sizes[0], sizes[0] + 1, 900, sum(sizes)):
+        left, want = 0, []
+        for i, b in enumerate(sizes):
+            if left >= excess:
+                break
+            want.append(7 * i)
+            left += b
+        assert [r["id"] for r in maintenance.leaving(tables, excess).orderBy("id").collect()] == want
+
+
 def test_written_tables_serve_point_and_range_reads(spark, tmp_path):
     log = mvcc.literal_log(spark, [(f"k{i % 400:04d}", i + 1, str(i)) for i in range(4000)])
     maintenance.write_tables(log, f"{tmp_path}/tables", 8)
