@@ -128,8 +128,13 @@ def tombstones(log: DataFrame, rows: DataFrame, seq: int) -> DataFrame:
 
 
 def replace_all(log: DataFrame, rows: DataFrame, seq: int) -> DataFrame:
-    """The log after a batch that deletes every live key that rows lack and puts all rows (key, value)."""
-    return log.unionByName(tombstones(log, rows, seq)).unionByName(rows.select("key", F.lit(seq).cast("bigint").alias("seq"), "value"))
+    """The log after a batch that deletes every live key that rows lack and puts all rows (key, value).
+
+    The batch has sequence number seq, or the one after the log's last if the log has come to seq or beyond: a batch
+    comes after all that it replaces."""
+    after = log.agg(F.greatest(F.lit(seq).cast("bigint"), F.max("seq") + 1).alias("seq"))
+    batch = tombstones(log, rows, seq).drop("seq").unionByName(rows.select("key", "value"))
+    return log.unionByName(batch.join(F.broadcast(after)).select(*log.columns))  # one row
 
 
 def position(log: DataFrame) -> DataFrame:

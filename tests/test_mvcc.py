@@ -67,6 +67,18 @@ def test_batches_and_replacement(spark):
     assert dict(rows(mvcc.scan(mvcc.replace_all(log, new, 10)))) == {"c": "z"}
 
 
+def test_replacement_comes_after_a_longer_log(spark):
+    log = mvcc.literal_log(spark, [("a", 1, "x"), ("b", 10, "y"), ("c", 25, "z"), ("d", 30, "w")])
+    new = mvcc.literal_log(spark, [("a", 0, "1"), ("c", 0, "2")]).select("key", "value")
+    for seq, want in ((10, 31), (30, 31), (31, 31), (40, 40)):
+        out = mvcc.replace_all(log, new, seq).cache()
+        assert dict(rows(mvcc.scan(out))) == {"a": "1", "c": "2"}
+        assert sorted(rows(mvcc.scan(out, snapshot=30))) == sorted(rows(mvcc.scan(log)))
+        assert {r["seq"] for r in out.where("seq > 30").collect()} == {want} and out.count() == 8
+    empty = mvcc.replace_all(log.limit(0), new, 3)
+    assert {r["seq"] for r in empty.collect()} == {3} and empty.columns == log.columns
+
+
 def test_horizon(spark):
     log = mvcc.literal_log(spark, [("a", 1, "x"), ("a", 7, "y")])
     pins = spark.createDataFrame([(3,), (5,)], "seq bigint")
