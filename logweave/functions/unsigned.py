@@ -32,6 +32,11 @@ def to_unit(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(11)).astype(np.float64) / float(1 << 53)
 
 
+def below_share(x: np.ndarray, p: float) -> np.ndarray:
+    """Whether a draw, over 2**64 - 1, is below p."""
+    return x.astype(np.float64) / float(2**64 - 1) < p
+
+
 def hash_bytes(values: list[bytes]) -> np.ndarray:
     """FNV-1a of each value: one step for all values that are long enough at each position of their joined bytes."""
     out = np.full(len(values), FNV_OFFSET, dtype=np.uint64)
@@ -87,13 +92,21 @@ def chance(x: Column, p: float) -> Column:
 
     @F.pandas_udf(T.BooleanType())
     def run(v: pd.Series) -> pd.Series:
-        return pd.Series(v.to_numpy().view(np.uint64).astype(np.float64) / float(2**64 - 1) < p)
+        return pd.Series(below_share(v.to_numpy().view(np.uint64), p))
 
     return run(x)
 
 
 def below(x: Column, n: Column | int) -> Column:
-    return _below(x, (F.lit(n) if isinstance(n, int) else n).cast("long"))
+    """A draw modulo n. With a plain number it is a function of the draw alone, which Spark runs in the draw's process."""
+    if not isinstance(n, int):
+        return _below(x, n.cast("long"))
+
+    @F.pandas_udf(T.LongType())
+    def run(v: pd.Series) -> pd.Series:
+        return signed(v.to_numpy().view(np.uint64) % np.uint64(n))
+
+    return run(x)
 
 
 def between(x: Column, lo: int, hi: int) -> Column:

@@ -9,8 +9,10 @@ from typing import Any
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logweave import schema
 from logweave.functions import unsigned
@@ -134,14 +136,26 @@ def client_operations(rows: DataFrame, seed: int = 3) -> DataFrame:
 
 def deliver(messages: DataFrame, blocked: DataFrame, drop: float, duplicate: float, delay_ms: tuple[int, int], seed: int = 5) -> DataFrame:
     """messages (id, sender, receiver, sent) as delivered: blocked links and drops take some, duplicates come twice, each
-    copy with a delay of its own; ordered by (time, id, copy) they are the event queue."""
-    s = F.lit(seed).cast("bigint")
-    kept = messages.join(blocked, ["sender", "receiver"], "left_anti").where(~unsigned.chance(unsigned.draw(s, F.col("id") * 4 + 1), drop))
-    twice = unsigned.chance(unsigned.draw(s, F.col("id") * 4 + 2), duplicate)
-    copies = kept.withColumn("copy", F.explode(F.when(twice, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    copy with a delay of its own; ordered by (time, id, copy) they are the event queue.
+
+    All draws are made in one pass over Arrow batches, so a task has one Python process, not one for each draw."""
     lo, hi = delay_ms
-    delay = unsigned.below(unsigned.draw(s, F.col("id") * 4 + 3 + F.col("copy")), hi - lo + 1) + lo
-    return copies.withColumn("time", F.col("sent") + delay)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i = batch.column("id").cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+            kept = ~unsigned.below_share(unsigned.draws(seed, i * 4 + 1), drop)
+            batch, i = batch.filter(pa.array(kept)), i[kept]
+            times = 1 + unsigned.below_share(unsigned.draws(seed, i * 4 + 2), duplicate).astype(np.int64)
+            at = np.repeat(np.arange(len(i)), times)
+            copy = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+            delay = (unsigned.draws(seed, i[at] * 4 + 3 + copy) % np.uint64(hi - lo + 1)).astype(np.int64) + lo
+            batch = batch.take(pa.array(at))
+            time = pc.add(batch.column("sent").cast(pa.int64()), pa.array(delay))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(copy.astype(np.int32)), time], names=[*batch.schema.names, "copy", "time"])
+
+    wanted = messages.join(blocked, ["sender", "receiver"], "left_anti")
+    return wanted.mapInArrow(run, T.StructType([*wanted.schema.fields, T.StructField("copy", T.IntegerType()), T.StructField("time", T.LongType())]))
 
 
 def event_queue(*events: DataFrame) -> DataFrame:

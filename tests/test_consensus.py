@@ -287,3 +287,32 @@ def test_fault_schedule_takes_its_draws_in_order(spark):
         end = events[-1]["time"]
         assert end >= 6000 and [e["event"] for e in events if e["time"] == end][0] == "heal"
         assert {e["nodes"][0] for e in events if e["event"] == "restart"} == {n for n, at in down.items() if at > end}
+
+
+def test_messages_are_delivered_in_one_python_process(spark):
+    from pyspark.sql import functions as F
+
+    sent = [(i, i % 3, i * 7 % 3, i * 2, f"m{i}") for i in range(-40, 2000)]
+    messages = spark.createDataFrame([*sent, (2000, 1, 1, None, "late")], "id bigint, sender bigint, receiver bigint, sent bigint, body string").repartition(3)
+    blocked = spark.createDataFrame([(0, 0)], "sender bigint, receiver bigint")
+    out = workload.deliver(messages, blocked, 0.2, 0.3, (4, 9), 5)
+
+    def draw(place):
+        return reference_draw(5, place)
+
+    want = []
+    for i, sender, receiver, at, body in [*sent, (2000, 1, 1, None, "late")]:
+        if (sender, receiver) == (0, 0) or draw(i * 4 + 1) / (2**64 - 1) < 0.2:
+            continue
+        for copy in range(2 if draw(i * 4 + 2) / (2**64 - 1) < 0.3 else 1):
+            want.append((i, sender, receiver, at, body, copy, None if at is None else at + 4 + draw(i * 4 + 3 + copy) % 6))
+    assert sorted(map(tuple, out.select("id", "sender", "receiver", "sent", "body", "copy", "time").collect()), key=str) == sorted(want, key=str)
+    assert workload.deliver(messages.limit(0), blocked, 0.2, 0.3, (4, 9)).count() == 0
+
+    def processes(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return sum(plan.count(x) for x in ("ArrowEvalPython", "MapInArrow"))
+
+    assert processes(out) == 1
+    d = unsigned.draw(F.lit(5), F.col("id"))
+    assert processes(messages.select(unsigned.between(d, 3, 8), unsigned.pick(d, ["a", "b"]))) == 1
