@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logweave.shared import stored
+
 
 def kth_largest(values: Column, k: Column) -> Column:
     """The k-th largest (from 1) of an array; null if it is shorter."""
@@ -43,3 +45,16 @@ def running_sums(rows: DataFrame, by: list[str], at: str, values: dict[str, Colu
         same &= F.col(b).eqNullSafe(F.col(f"_by_{b}"))
     rows = rows.join(totals, same).withColumns({k: F.col(f"_i_{k}") + F.col(f"_a_{k}") for k in values})
     return rows.drop("_run", "_at", *[f"_by_{b}" for b in by], *[f"_{x}_{k}" for x in "vai" for k in values])
+
+
+def numbered(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """rows with their place from 1 in the order of `by`.
+
+    They are sorted in ranges and stored once with their place in their range; the rows before each range are added to
+    that. Only a row for each range, of which there are as many as shuffle partitions at most, is in one task."""
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    rows = stored(rows.orderBy(*by).withColumn("_at", F.monotonically_increasing_id()), "numbered").withColumn("_range", F.shiftright("_at", 33))
+    counts = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("_range", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + inside + 1).drop("_at", "_range", "_before")

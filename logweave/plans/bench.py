@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logweave import schema
-from logweave.functions import unsigned
+from logweave.functions import order, unsigned
 from logweave.operators import checks, maintenance, metrics, workload
 from logweave.sources import fixtures
 
@@ -150,7 +150,7 @@ QUERIES = {
     "workload_e": lambda s, d: workload.operations(s, "E", fixtures.events(s, d).count(), KEYS, SEED).select("op_index", "kind", "key", "scan_length"),
     "run_plan": lambda s, d: workload.run_plan(s, "B", fixtures.events(s, d).count(), 32, KEYS, SEED).select("client", "op_index", "kind", "key"),
     "draw_helpers": _helpers,
-    "event_queue": lambda s, d: _queue(s, d).withColumn("place", F.monotonically_increasing_id()).select(F.row_number().over(Window.orderBy("place")).cast("long").alias("place"), "time", "seq", "event"),
+    "event_queue": lambda s, d: order.numbered(_queue(s, d), ["time", "seq"], "place").select("place", "time", "seq", "event"),
     "load_partitions": lambda s, d: workload.load_ranges(s, 1003, 16),
     "read_modify_write": lambda s, d: workload.read_modify_write(fixtures.events(s, d).select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), (F.col("event_id") % 3).alias("seen")), s.range(100).select(F.col("id").alias("key"), (F.col("id") % 3).alias("value"))),
     "fault_profiles": lambda s, d: workload.fault_profiles(_numbers(s, d).select(F.col("i").alias("seed"))),

@@ -316,3 +316,20 @@ def test_messages_are_delivered_in_one_python_process(spark):
     assert processes(out) == 1
     d = unsigned.draw(F.lit(5), F.col("id"))
     assert processes(messages.select(unsigned.between(d, 3, 8), unsigned.pick(d, ["a", "b"]))) == 1
+
+
+def test_places_are_numbered_without_one_task_for_all_rows(spark, sf):
+    from logweave.functions import order
+    from logweave.plans import bench
+
+    rng = random.Random(3)
+    data = [(rng.choice([None, rng.randrange(50)]), i, f"e{i}") for i in range(3000)]
+    out = order.numbered(spark.createDataFrame(data, "time bigint, seq bigint, event string").repartition(7), ["time", "seq"], "place")
+    want = sorted(data, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert [(r["place"], r["time"], r["seq"], r["event"]) for r in out.orderBy("place").collect()] == [(i + 1, *r) for i, r in enumerate(want)]
+    assert out.columns == ["time", "seq", "event", "place"] and dict(out.dtypes)["place"] == "bigint"
+    assert order.numbered(out.drop("place").limit(0), ["time"], "place").count() == 0
+    # the only rows that one task sees all of are the counts of the ranges
+    plan = bench.QUERIES["event_queue"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.split("\n") if "Window [" in line]
+    assert len(windows) == 1 and "sum(_n" in windows[0]
