@@ -251,9 +251,10 @@ def settle(versions: DataFrame, horizon: int, levels: int, trigger: int = schema
 
     Each round takes the first due level and brings it to its limit: all of level 0, elsewhere the lowest ids that have
     to go, in one merge with the tables of the level below that meet their key range. So there is a round a level at
-    most, whatever the number of tables; it leaves as many of a level's tables behind as one table a round would, but those
-    below are cut once instead of once for each. The driver sees one row a level. At the bottom, where all deeper levels are empty,
-    tombstones at or below the horizon go."""
+    most, whatever the number of tables. From the same state a level keeps the tables that one table a round would
+    leave; those below are cut once instead of once for each, so their bounds and numbers may differ from that. The
+    driver sees one row a level. At the bottom, where all deeper levels are empty, tombstones at or below the horizon
+    go."""
     versions = stored(versions.select("level", "id", "key", "seq", "value"), "settle")
     while True:
         tables = stored(catalog(versions), "settle-catalog")
